@@ -1,0 +1,44 @@
+"""Salting plans for hot keys."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+@dataclass(frozen=True)
+class SaltPlan:
+    """buckets: how many hash buckets the rows are laid into. salts: of each hot key, over how many salts it is spread.
+
+    A key is hot when it has more rows than one bucket is meant to hold, so ``salts`` never has more entries than
+    ``buckets``: that bounds what reaches the driver, whatever the number of keys."""
+
+    buckets: int
+    salts: dict[str, int] = field(default_factory=dict)
+
+    def _ways(self, key: Column) -> Column:
+        if not self.salts:
+            return F.lit(1)
+        pairs = [F.lit(x) for kv in self.salts.items() for x in kv]
+        return F.coalesce(F.try_element_at(F.create_map(*pairs), key), F.lit(1))
+
+    def bucket(self, key: Column, spread: Column) -> Column:
+        """Bucket of a row of the large side; ``spread`` decides on the salt. Null keys are spread over all buckets."""
+        salt = F.pmod(F.xxhash64(spread), self._ways(F.coalesce(key, F.lit(""))).cast("long"))
+        return F.when(key.isNull(), F.pmod(F.xxhash64(spread), F.lit(self.buckets))).otherwise(F.pmod(F.xxhash64(key, salt), F.lit(self.buckets))).cast("int")
+
+    def copies(self, key: Column) -> Column:
+        """Buckets, without repetition, that a row of the other side must reach."""
+        salts = F.sequence(F.lit(0).cast("long"), (self._ways(key) - 1).cast("long"))
+        return F.array_distinct(F.transform(salts, lambda s: F.pmod(F.xxhash64(key, s), F.lit(self.buckets)).cast("int")))
+
+
+def salt_plan(rows: DataFrame, key: str, rows_per_bucket: int, least_buckets: int = 1) -> SaltPlan:
+    """Counts per key are pre-aggregated before the shuffle; only keys of over ``rows_per_bucket`` rows reach the driver,
+    of which there are at most rows / rows_per_bucket."""
+    total = rows.count()
+    buckets = max(least_buckets, -(-total // rows_per_bucket))
+    hot = rows.filter(F.col(key).isNotNull()).groupBy(key).count().filter(F.col("count") > rows_per_bucket).collect()
+    return SaltPlan(buckets, {r[key]: min(buckets, -(-2 * r["count"] // rows_per_bucket)) for r in hot})
