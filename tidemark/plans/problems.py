@@ -103,7 +103,7 @@ d AS (SELECT key AS accession_number, version, seen_at, was AS period, CAST(-1 A
 """
 )
 P2_TOTALS_SQL = _VERSIONS_SQL + "SELECT period, CAST(sum(delta) AS BIGINT) AS filings, CAST(count(*) FILTER (delta > 0) AS BIGINT) AS added, CAST(count(*) FILTER (delta < 0) AS BIGINT) AS retracted FROM d GROUP BY period"
-P2_DELTAS_SQL = _VERSIONS_SQL + "SELECT accession_number, CAST(version AS BIGINT) AS version, seen_at AS "at", period, delta FROM d"
+P2_DELTAS_SQL = _VERSIONS_SQL + 'SELECT accession_number, CAST(version AS BIGINT) AS version, seen_at AS "at", period, delta FROM d'
 
 # ---------------------------------------------------------------- 3: nested records
 
@@ -234,8 +234,8 @@ def p7_rolling(spark: SparkSession, d: str) -> DataFrame:
         F.col("entity").alias("symbol"),
         "day",
         *[F.col(f"total_{k}").alias(f"volume_{k}") for k in (7, 30)],
-        *[F.round(f"mean_{k}", 6).alias(f"mean_volume_{k}") for k in (7, 30)],
-        *[F.round(f"level_{k}", 6).alias(f"mean_close_{k}") for k in (7, 30)],
+        *[F.col(f"mean_{k}").alias(f"mean_volume_{k}") for k in (7, 30)],
+        *[F.col(f"level_{k}").alias(f"mean_close_{k}") for k in (7, 30)],
     )
 
 
@@ -250,7 +250,7 @@ P7_ROLLING_SQL = (
     _P7
     + """w AS (SELECT symbol, day, coalesce(sum(v) OVER p7, 0) AS volume_7, coalesce(sum(v) OVER p30, 0) AS volume_30, CAST(sum(c) OVER p7 AS DOUBLE) / nullif(sum(n) OVER p7, 0) AS c7, CAST(sum(c) OVER p30 AS DOUBLE) / nullif(sum(n) OVER p30, 0) AS c30
   FROM f WINDOW p7 AS (PARTITION BY symbol ORDER BY day ROWS 6 PRECEDING), p30 AS (PARTITION BY symbol ORDER BY day ROWS 29 PRECEDING))
-SELECT symbol, day, volume_7, volume_30, round(volume_7 / 7, 6) AS mean_volume_7, round(volume_30 / 30, 6) AS mean_volume_30, round(c7, 6) AS mean_close_7, round(c30, 6) AS mean_close_30 FROM w
+SELECT symbol, day, volume_7, volume_30, volume_7 / 7 AS mean_volume_7, volume_30 / 30 AS mean_volume_30, c7 AS mean_close_7, c30 AS mean_close_30 FROM w
 """
 )
 
