@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import normal as N
-from ..operators import asof, dedup, history, late, nested, rolling
+from ..operators import asof, dedup, history, late, nested, rolling, spikes
 from ..sources.tables import table
 
 # ---------------------------------------------------------------- 1: attributes as known at event time
@@ -152,6 +152,19 @@ def p3_line_owners(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.col("child_record").alias("delivery_id"), F.col("parent_name").alias("line_type"), F.col("parent_ordinal").alias("line"), F.col("child_value").alias("code"))
 
 
+# ---------------------------------------------------------------- 4: implausible readings
+
+
+def p4_flags(spark: SparkSession, d: str) -> DataFrame:
+    b = table(spark, d, "daily_bars").select(F.col("provider").alias("source"), N.symbol(F.col("symbol")).alias("series"), F.col("date").alias("day"), "high", "low", "close", "adj_close", "volume", "split_factor", F.col("available_at").alias("known_at"))
+    return spikes.implausible(b)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    # a reading's reasons stand in one task's output side by side, but readings are few: one small exchange
+    return p4_flags(spark, d).select(F.col("source").alias("provider"), F.col("series").alias("symbol"), N.day_text(F.col("day")).alias("session_date"), "field").distinct()
+
+
 # ---------------------------------------------------------------- 5: messages delivered more than once
 
 _ACCESSION = N.accession(F.col("accession_number"), F.col("provider_record_id"))
@@ -254,7 +267,7 @@ SELECT symbol, day, volume_7, volume_30, volume_7 / 7 AS mean_volume_7, volume_3
 """
 )
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_versions, p2_found, p2_totals, p2_deltas, p3_found, p3_nodes, p3_line_owners, p5_found, p5_kept, p5_new_batch, p6_found, p7_found, p7_rolling)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_versions, p2_found, p2_totals, p2_deltas, p3_found, p3_nodes, p3_line_owners, p4_found, p4_flags, p5_found, p5_kept, p5_new_batch, p6_found, p7_found, p7_rolling)}
 SQL = {
     "p1_found": P1_FOUND_SQL, "p1_versions": P1_VERSIONS_SQL, "p2_found": P2_FOUND_SQL, "p2_totals": P2_TOTALS_SQL, "p2_deltas": P2_DELTAS_SQL, "p5_found": P5_FOUND_SQL,
     "p5_kept": P5_KEPT_SQL, "p5_new_batch": P5_NEW_BATCH_SQL, "p6_found": P6_FOUND_SQL, "p7_found": P7_FOUND_SQL, "p7_rolling": P7_ROLLING_SQL,
