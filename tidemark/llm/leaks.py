@@ -11,12 +11,11 @@ from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import partial
-from math import ceil
 
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .words import words
@@ -110,8 +109,10 @@ def _passages(found: list[list[int]], n: int) -> list[tuple[int, int, int, int,
             q, i, length = found[y]
             gap_p, gap_j = p - q - length, j - i - length
             overlap = max(0, -gap_p, -gap_j)
-            if gap_p <= GAP and gap_j <= GAP and overlap < SEED and overlap < size and p > q and j > i and score[y] + size - overlap > score[x]:
-                score[x], first[x] = score[y] + size - overlap, first[y]
+            if gap_p <= GAP and gap_j <= GAP and overlap < SEED and overlap < size and p > q and j > i:
+                gained = score[y] + size - overlap + (gap_p > 0)  # one edited word is made up for
+                if gained > score[x]:
+                    score[x], first[x] = gained, first[y]
             y -= 1
     best: dict[int, int] = {}
     for x in range(len(found)):
@@ -123,8 +124,8 @@ def _passages(found: list[list[int]], n: int) -> list[tuple[int, int, int, int,
 def recurring(item: list[str], index: dict[tuple, list[int]], text: list[str]) -> int:
     """Words of the item in its best one or two passages of the text, the second after the first in both.
 
-    A changed or missing word inside a passage counts, as the passage goes on over it."""
-    made = [(to - at, at, to, i, j) for _, at, to, i, j in _passages(_stretches(item, index, text), len(item))]
+    Of words that differ between two stretches of a passage one counts, as an occasional edit must not matter."""
+    made = _passages(_stretches(item, index, text), len(item))
     top = max((m[0] for m in made), default=0)
     if PASSAGES < 2 or len(made) < 2:
         return top
@@ -174,11 +175,11 @@ def _verify(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64()))], names=["item_id", "doc_id", "share"])
 
 
-def least_shared(n: int, share: float = SHARE) -> int:
+def least_shared(n: Column, share: float) -> Column:
     """Shingles that a text holding ``share`` of n words in PASSAGES passages shares with the item at least, each edit
     costing SHINGLE of them."""
-    need = ceil(share * n)
-    return max(1, need - PASSAGES * (SHINGLE - 1) - SHINGLE * ceil(need / EDIT_EVERY))
+    need = F.ceil(n * F.lit(share))
+    return F.greatest(F.lit(1), need - PASSAGES * (SHINGLE - 1) - SHINGLE * F.ceil(need / EDIT_EVERY))
 
 
 def leaks(documents: DataFrame, items: DataFrame, share: float = SHARE, broadcast_shingles: int = BROADCAST_SHINGLES) -> DataFrame:
@@ -202,12 +203,9 @@ def leaks(documents: DataFrame, items: DataFrame, share: float = SHARE, broadcas
     # rarest first; a shingle that no text has is the rarest and costs nothing
     once = of_items.groupBy("item_id", "item_words", "shingle").agg(F.min("item_pos").alias("item_pos")).join(frequency, "shingle", "left").na.fill(0, ["frequency"])
     per_item = Window.partitionBy("item_id", "item_words")
-    least = F.udf(partial(least_shared, share=share), "int")
-    lengths = once.select("item_words").distinct().withColumn("least", least("item_words"))
     prefix = (
         once.withColumns({"rank": F.row_number().over(per_item.orderBy("frequency", "shingle")), "count": F.count("*").over(per_item)})
-        .join(lengths, "item_words")
-        .filter("frequency > 0 and rank <= count - least + 1")
+        .filter((F.col("frequency") > 0) & (F.col("rank") <= F.col("count") - least_shared(F.col("item_words"), share) + 1))
         .select("item_id", "item_words", "item_pos", "shingle")
     )
     need = F.ceil(F.col("item_words") * F.lit(share))
