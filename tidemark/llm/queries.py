@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import bpe, leaks
+from . import bpe, langid, leaks
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -23,5 +23,15 @@ def p9_items(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.count("*").alias("documents"), F.max("share").alias("largest_share"))
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p9_found, p9_items)}
+def p10_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's segments in order, each with its language and confidence."""
+    found = langid.segments(table(spark, d, "documents"), table(spark, d, "lang_samples"))
+    return found.select("doc_id", F.explode("segments").alias("s")).select("doc_id", "s.segment", "s.lang", "s.confidence", "s.sentences")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return langid.mislabelled(langid.segments(table(spark, d, "documents"), table(spark, d, "lang_samples")))
+
+
+QUERIES = {f.__name__: f for f in (p8_ids, p9_found, p9_items, p10_found, p10_segments)}
 SQL: dict[str, str] = {}
