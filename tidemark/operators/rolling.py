@@ -36,3 +36,14 @@ def trailing(daily: DataFrame, periods: tuple[int, ...] = (7, 30)) -> DataFrame:
         total = F.coalesce(F.sum("total").over(w), F.lit(0.0))
         out |= {f"total_{k}": total, f"mean_{k}": total / F.lit(float(k)), f"level_{k}": F.sum("level_sum").over(w).cast("double") / F.nullif(F.sum("level_n").over(w).cast("double"), F.lit(0.0)), f"active_{k}": F.coalesce(F.sum("active").over(w), F.lit(0)).cast("long")}
     return grid.withColumns(out).withColumn("day", F.date_from_unix_date("n_day")).select("entity", "day", *out)
+
+
+def ordered_index(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """rows with their position from 0 in the given total order, without one task seeing them all.
+
+    Rows are sorted over range partitions; each adds what the partitions before it hold. Only one count per partition
+    passes through a window of its own."""
+    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    sizes = sorted_.groupBy("__part").agg(F.count("*").alias("__size"))
+    before = sizes.select("__part", F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    return sorted_.join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__i")).drop("__part", "__before", "__i", "__size")

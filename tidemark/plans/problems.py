@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import normal as N
@@ -55,7 +55,7 @@ SELECT cik, nullif(point, TIMESTAMP '0001-01-01') AS starts, interval_id FROM c
 def _filings(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "sec_raw_records")
     return r.select(
-        N.accession(F.col("accession_number"), F.col("provider_record_id")).alias("key"),
+        _accession().alias("key"),
         N.loose_date(F.col("report_date")).alias("stated_day"),
         "accepted_at",
         F.col("retrieved_at").alias("arrived_at"),
@@ -135,7 +135,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
         .when(is_fetch, F.struct(F.lit("fetch").alias("kind"), F.col("record").cast("string").alias("parent_key"), value.alias("child_key")))
         .alias("r"),
     ).filter("r is not null and r.child_key is not null")
-    keys = raw.select(F.col("delivery_id").alias("record"), N.accession(F.col("accession_number"), F.col("provider_record_id")).alias("accession_number"))
+    keys = raw.select(F.col("delivery_id").alias("record"), _accession().alias("accession_number"))
     return rows.join(keys, "record").select("accession_number", "r.kind", "r.parent_key", "r.child_key").distinct()
 
 
@@ -167,26 +167,32 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 # ---------------------------------------------------------------- 5: messages delivered more than once
 
-_ACCESSION = N.accession(F.col("accession_number"), F.col("provider_record_id"))
-_ARRIVAL = [F.col("retrieved_at"), F.col("delivery_id")]
 _DELIVERY = ["delivery_id", "accession_number", "provider_record_id", "retrieved_at"]
 
 
+def _accession() -> Column:
+    return N.accession(F.col("accession_number"), F.col("provider_record_id"))
+
+
+def _arrival() -> list[Column]:
+    return [F.col("retrieved_at"), F.col("delivery_id")]
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "sec_raw_records").select(*_DELIVERY)
-    return dedup.copies(m, _ACCESSION, _ARRIVAL, "delivery_id").select("delivery_id")
+    return dedup.copies(m, _accession(), _arrival(), "delivery_id").select("delivery_id")
 
 
 def p5_kept(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "sec_raw_records").select(*_DELIVERY)
-    return dedup.keep_first(m, _ACCESSION, _ARRIVAL).select("delivery_id", _ACCESSION.alias("accession_number"))
+    return dedup.keep_first(m, _accession(), _arrival()).select("delivery_id", _accession().alias("accession_number"))
 
 
 def p5_new_batch(spark: SparkSession, d: str) -> DataFrame:
     """The last provider's deliveries as a new batch against what the others have stored."""
     m = table(spark, d, "sec_raw_records").select("provider", *_DELIVERY)
-    new = dedup.new_messages(m.filter("provider = 'sec-quarterly'"), m.filter("provider <> 'sec-quarterly'"), _ACCESSION, _ACCESSION, _ARRIVAL)
-    return new.select("delivery_id", _ACCESSION.alias("accession_number"))
+    new = dedup.new_messages(m.filter("provider = 'sec-quarterly'"), m.filter("provider <> 'sec-quarterly'"), _accession(), _accession(), _arrival())
+    return new.select("delivery_id", _accession().alias("accession_number"))
 
 
 _P5 = _FILINGS_SQL + ", k AS (SELECT delivery_id, key, row_number() OVER (PARTITION BY key ORDER BY retrieved_at, delivery_id) AS rn FROM f WHERE key <> '')"
