@@ -91,7 +91,13 @@ _feature_query("volatility_20d", "Deviation of daily returns over 20 sessions, a
 _feature_query("median_volume_20d", "Rolling median of volume, and that of 20 sessions before.", "median_volume_20d", "median_volume_20d_prior")
 _feature_query("ma20_slope", "Least-squares slope of the mean of 20 over five sessions.", "ma20_slope_5d")
 _feature_query("signed_volume_ratio", "Volume signed by the day's direction, over all volume of 20 sessions.", "signed_volume_ratio_20d")
-_feature_query("adv63", "Mean traded value of 63 sessions, from the first on.", "adv63")
+@_query(f"""WITH {BARS_SQL}, t AS (SELECT symbol, date, CAST(close * volume AS DECIMAL(28, 4)) AS traded FROM bars)
+SELECT symbol, date, CAST(sum(traded) OVER w AS DOUBLE) / nullif(count(traded) OVER w, 0) AS adv63 FROM t WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS 62 PRECEDING)""")
+def adv63(spark: SparkSession, d: str) -> DataFrame:
+    """Mean traded value of 63 sessions, from the first on; summed in decimals, so in any order the same."""
+    w = _w().rowsBetween(-62, 0)
+    t = bars(spark, d).select("symbol", "date", (F.col("close") * F.col("volume")).cast("decimal(28,4)").alias("traded"))
+    return t.select("symbol", "date", (F.sum("traded").over(w).cast("double") / F.nullif(F.count("traded").over(w).cast("double"), F.lit(0.0))).alias("adv63"))
 
 
 @_query(_FEATURES_SQL + "SELECT symbol, date, round(ma50, 9) + 0.0 AS ma50, round(ma20, 9) + 0.0 AS ma20, round(return_3m, 9) + 0.0 AS return_3m, round(high_52w, 9) + 0.0 AS high_52w, new_52_week_low, round(volatility_20d, 9) + 0.0 AS volatility_20d, round(median_volume_20d, 9) + 0.0 AS median_volume_20d, round(signed_volume_ratio_20d, 9) + 0.0 AS signed_volume_ratio_20d FROM c")
