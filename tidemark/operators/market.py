@@ -85,7 +85,7 @@ def history_percentile(rows: DataFrame, value: str, limit: int, least: int) -> D
 def coverage(requested: DataFrame, bars: DataFrame, max_lag_days: int) -> DataFrame:
     """Of each requested symbol: last session, lag behind the newest of all, and MISSING, STALE or COVERED."""
     last = bars.groupBy("symbol").agg(F.max("date").alias("last_session"))
-    newest = last.agg(F.max("last_session").alias("newest"))  # one row
-    joined = requested.select("symbol").distinct().join(last, "symbol", "left").crossJoin(F.broadcast(newest))
-    lag = F.datediff("newest", "last_session")
+    newest = last.agg(F.max("last_session")).first()[0]  # one value
+    joined = requested.select("symbol").distinct().join(last, "symbol", "left")
+    lag = F.datediff(F.lit(newest).cast("date"), "last_session")
     return joined.select("symbol", "last_session", lag.alias("lag_days"), F.when(F.col("last_session").isNull(), "MISSING").when(lag > max_lag_days, "STALE").otherwise("COVERED").alias("status"))
