@@ -7,20 +7,20 @@ from pyspark.sql import functions as F
 
 
 def session_at_or_after(events: DataFrame, sessions: DataFrame, at: str) -> DataFrame:
-    """events with ``session_idx``: the first session whose close is not before ``at``; null past the last one.
+    """events with ``session_idx`` (replaced if there is one): the first session whose close is not before ``at``; null past the last one.
 
     sessions: session_date, session_idx, close_utc. The calendar becomes a table from day to next session, so this is an
     equi join on the day and one comparison with that session's close: no range join, however many events there are."""
-    s = sessions.select("session_date", F.col("session_idx").cast("long").alias("session_idx"), F.col("close_utc").cast("timestamp_ntz").alias("close_utc"))
-    order = Window.orderBy("session_idx")  # over the calendar only
-    spans = s.withColumn("since", F.coalesce(F.date_add(F.lag("session_date").over(order), 1), F.col("session_date"))).withColumn("next_idx", F.lead("session_idx").over(order))
-    days = spans.select("session_idx", "close_utc", "next_idx", F.explode(F.sequence("since", "session_date")).alias("__day"))
-    first = s.agg(F.min("session_date").alias("day"), F.min_by("session_idx", "session_date").alias("idx")).first()  # two values
+    s = sessions.select(F.col("session_date").alias("__date"), F.col("session_idx").cast("long").alias("__own"), F.col("close_utc").cast("timestamp_ntz").alias("__close"))
+    order = Window.orderBy("__own")  # over the calendar only
+    spans = s.withColumn("__since", F.coalesce(F.date_add(F.lag("__date").over(order), 1), F.col("__date"))).withColumn("__next", F.lead("__own").over(order))
+    days = spans.select("__own", "__close", "__next", F.explode(F.sequence("__since", "__date")).alias("__day"))
+    first = s.agg(F.min("__date").alias("day"), F.min_by("__own", "__date").alias("idx")).first()  # two values
     day = F.to_date(F.col(at))
-    j = events.join(days, day == F.col("__day"), "left")
-    found = F.when(F.col(at) <= F.col("close_utc"), F.col("session_idx")).otherwise(F.col("next_idx"))
+    j = events.drop("session_idx").join(days, day == F.col("__day"), "left")
+    found = F.when(F.col(at) <= F.col("__close"), F.col("__own")).otherwise(F.col("__next"))
     idx = F.when(day < F.lit(first["day"]), F.lit(first["idx"])).otherwise(found)
-    return j.withColumn("__idx", idx).drop("session_idx", "close_utc", "next_idx", "__day").withColumnRenamed("__idx", "session_idx")
+    return j.withColumn("session_idx", idx.cast("long")).drop("__own", "__close", "__next", "__day")
 
 
 def forward_outcomes(bars: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
