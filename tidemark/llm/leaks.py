@@ -199,6 +199,7 @@ def leaks(documents: DataFrame, items: DataFrame, share: float = SHARE, broadcas
     else:
         hits = docs.mapInArrow(partial(_emit, wanted=None), _HITS).join(distinct, "shingle", "left_semi").select("id", "n_words", "pos", "shingle")
     hits = hits.persist(StorageLevel.MEMORY_AND_DISK)
+    hits.count()  # two branches of the plan read it; without this both would read the texts
     frequency = hits.groupBy("shingle").agg(F.count("*").alias("frequency"))
     # rarest first; a shingle that no text has is the rarest and costs nothing
     once = of_items.groupBy("item_id", "item_words", "shingle").agg(F.min("item_pos").alias("item_pos")).join(frequency, "shingle", "left").na.fill(0, ["frequency"])
