@@ -7,6 +7,7 @@ language are a segment."""
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,13 +34,16 @@ PENALTY = 30.0
 SENTENCE_LETTERS, SENTENCE_WORDS, SENTENCE_SIGNS = 18, 4, 8
 
 _SCRAP = regex.compile(r"#{1,6} [^\n]*|```.*?```|`[^`\n]{0,300}`|<[^<>]{1,200}>|&(?:#\d+|[a-zA-Z]{2,8});|https?://\S+|\{[^{}]{0,2000}\}|\([^()]{0,120}\)|（[^（）]{0,120}）|\[[^\[\]]{0,120}\]", regex.S)
-_BREAK = regex.compile(r"(?<=[。！？])|(?<=[.!?…][\"'”»)]?)(?=\s)|\n\s*\n|\n(?=\s*(?:[-*#•]|\d+[.)]|[A-Z]:)\s)")
+_HAS_SCRAP = re.compile(r"[#`<&{(（\[]|://")
+_BREAK = re.compile(r"(?<=[。！？])|(?<=[.!?…])[\"'”»)]*\s+|\n\s*\n|\n(?=\s*(?:[-*#•]|\d+[.)]|[A-Z]:)\s)")
+_ASCII_CONTROLS = {i: None for i in range(32) if not chr(i).isspace()} | {127: None}
 _INVISIBLE = regex.compile(r"[\p{Cf}\p{Co}\p{Cn}]|[\p{Cc}--\s]", regex.V1)
-_CODE = regex.compile(r"[A-Za-z]*\d[A-Za-z\d]*")
+_CODE = re.compile(r"[A-Za-z]*\d[A-Za-z\d]*")
 #: Ends of a sentence, maybe in quotes; what begins or ends with dots was cut off.
-_ENDED = regex.compile(r"[.!?。！？;:][\"'”»)\]]*$")
+_ENDED = re.compile(r"[.!?。！？;:][\"'”»)\]]*$")
 _UNLETTER = regex.compile(r"[^\p{L}\p{M}]+")
-_SIGN = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
+_ASCII_UNLETTER = re.compile(r"[^a-z]+")
+_SIGN = re.compile("[\u2e80-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
 
 #: Names of the languages in ISO 639-1, ISO 639-2 and ISO 639-2/B.
 ISO = {
@@ -58,38 +62,38 @@ def iso_language(label: Column) -> Column:
 def sentences(text: str) -> list[str]:
     """Stretches up to a sentence's end, in order, without scraps: mark-up, headings, code, data, links,
     what stands in brackets."""
-    return [s for s in (x.strip() for x in _BREAK.split(_SCRAP.sub(" ", _INVISIBLE.sub("", text)))) if s]
+    text = text.translate(_ASCII_CONTROLS) if text.isascii() else _INVISIBLE.sub("", text)
+    if _HAS_SCRAP.search(text):
+        text = _SCRAP.sub(" ", text)
+    return [s for s in (x.strip() for x in _BREAK.split(text)) if s]
 
 
 def letters(sentence: str) -> str:
     """What n-grams are taken of: small letters, one space between words."""
-    return " " + " ".join(_UNLETTER.sub(" ", _CODE.sub(" ", unicodedata.normalize("NFKC", sentence)).lower()).split()) + " "
+    plain = sentence.isascii()
+    flat = _CODE.sub(" ", sentence if plain else unicodedata.normalize("NFKC", sentence)).lower()
+    return " " + (_ASCII_UNLETTER if plain else _UNLETTER).sub(" ", flat).strip() + " "
 
 
 def is_whole(sentence: str, flat: str) -> bool:
     if sentence[0] == "…" or sentence.startswith("...") or sentence[-1] == "…" or sentence.endswith("...") or not _ENDED.search(sentence):
         return False
-    signs = len(_SIGN.findall(flat))
-    if signs >= SENTENCE_SIGNS:
+    if not flat.isascii() and len(_SIGN.findall(flat)) >= SENTENCE_SIGNS:
         return True
     return len(flat.split()) >= SENTENCE_WORDS and len(flat.replace(" ", "")) >= SENTENCE_LETTERS
 
 
-def _grams(flat: str) -> tuple[np.ndarray, np.ndarray]:
-    """Table rows of all n-grams, and of which order each is."""
-    codes = np.frombuffer(flat.encode("utf-32-le"), np.uint32).astype(np.uint64)
-    rows, orders = [], []
-    h = np.zeros(len(codes), np.uint64)
+def _grams(flats: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of each order: its number, the table rows of its n-grams, and to which of ``flats`` each belongs (ascending)."""
+    codes = np.frombuffer("".join(flats).encode("utf-32-le"), np.uint32)
+    owner = np.repeat(np.arange(len(flats)), [len(f) for f in flats])
+    h = np.zeros(len(codes), np.uint32)
     for k in range(max(ORDERS)):
-        if len(codes) <= k:
-            break
-        h = h[: len(codes) - k]
-        h = (h ^ (codes[k:] + np.uint64(k + 1))) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(31)
-        if k + 1 in ORDERS:
-            rows.append((h & np.uint64(BUCKETS - 1)).astype(np.int64))
-            orders.append(np.full(len(h), k, np.int64))
-    return np.concatenate(rows), np.concatenate(orders)
+        h = (h[: len(codes) - k] ^ (codes[k:] + np.uint32(k + 1))) * np.uint32(0x9E3779B1)
+        h ^= h >> np.uint32(15)
+        if k + 1 in ORDERS and len(h):
+            inside = owner[: len(h)] == owner[k:]
+            yield k, (h & np.uint32(BUCKETS - 1))[inside].astype(np.int64), owner[: len(h)][inside]
 
 
 @dataclass
@@ -97,8 +101,14 @@ class Model:
     languages: list[str]
     table: np.ndarray  # BUCKETS x languages: log probabilities
 
-    def scores(self, flat: str) -> np.ndarray:
-        return self.table[_grams(flat)[0]].sum(axis=0, dtype=np.float64) * TEMPER
+    def scores(self, flats: list[str]) -> np.ndarray:
+        """Log likelihood of each of ``flats`` (none empty) in each language."""
+        out = np.zeros((len(flats), len(self.languages)))
+        for _, rows, owner in _grams(flats):
+            starts = np.concatenate([[0], np.flatnonzero(np.diff(owner)) + 1])
+            if len(rows):
+                out[owner[starts]] += np.add.reduceat(self.table[rows], starts, axis=0)
+        return out * TEMPER
 
 
 def fit(samples: list[tuple[str, str]]) -> Model:
@@ -110,10 +120,10 @@ def fit(samples: list[tuple[str, str]]) -> Model:
     for lang, text in samples:
         k = languages.index(lang)
         for form, weight in ((text, 1.0), ("".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c)), 0.4)):
-            rows, orders = _grams(letters(form))
-            np.add.at(counts[:, k], rows, weight)
-            np.add.at(totals[:, k], orders, weight)
-            kind[rows] = orders
+            for order, rows, _ in _grams([letters(form)]):
+                np.add.at(counts[:, k], rows, weight)
+                totals[order, k] += weight * len(rows)
+                kind[rows] = order
     share = counts / np.maximum(totals[kind], 1.0)
     return Model(languages, np.log((1 - SMOOTHING) * share + SMOOTHING / 2000.0).astype(np.float32))
 
@@ -154,7 +164,7 @@ def document_languages(model: Model, text: str | None) -> list[tuple[int, str, s
     parts = [(s, f) for s in sentences(text or "") if is_whole(s, f := letters(s))]
     if not parts:
         return []
-    scores = np.array([model.scores(f) for _, f in parts])
+    scores = model.scores([f for _, f in parts])
     kept, post = mixture(scores)
     best = post.argmax(axis=1)
     out: list[list] = []
