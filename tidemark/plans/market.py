@@ -177,12 +177,12 @@ def sector_ratio(spark: SparkSession, d: str) -> DataFrame:
     return j.select("symbol", "week_start", "etf", F.round(F.col("adj_close") / F.nullif(F.col("benchmark_close"), F.lit(0.0)), 6).alias("ratio"))
 
 
-@_query(_MANSFIELD_SQL + """SELECT symbol, week_start, round(s, 6) AS slope_4w, s > 0 AS improving FROM (SELECT symbol, week_start,
+@_query(_MANSFIELD_SQL + """SELECT symbol, week_start, round(s, 9) + 0.0 AS slope_4w, round(s, 9) > 0 AS improving FROM (SELECT symbol, week_start,
  lag(mansfield, 3) OVER w * -0.3 + lag(mansfield, 2) OVER w * -0.1 + lag(mansfield, 1) OVER w * 0.1 + mansfield * 0.3 AS s FROM f WINDOW w AS (PARTITION BY symbol ORDER BY week_start))""")
 def slope_4w(spark: SparkSession, d: str) -> DataFrame:
     """Least-squares slope over four weeks, null where any of them is."""
     s = Wf.slope(F.col("mansfield"), Window.partitionBy("symbol").orderBy("week_start"), 4)
-    return _mansfield(spark, d).withColumn("slope_4w", s).select("symbol", "week_start", F.round("slope_4w", 6).alias("slope_4w"), (F.col("slope_4w") > 0).alias("improving"))
+    return _mansfield(spark, d).withColumn("slope_4w", s).select("symbol", "week_start", (F.round("slope_4w", 9) + 0.0).alias("slope_4w"), (F.round("slope_4w", 9) > 0).alias("improving"))
 
 
 _MIDRANK_SQL = _FEATURES_SQL + """, v AS (SELECT symbol, date, round(volatility_20d, 8) AS x, row_number() OVER (PARTITION BY symbol ORDER BY date) AS n FROM c WHERE volatility_20d IS NOT NULL)
