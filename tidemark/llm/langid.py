@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 #: Labelled sentences the model is fitted on at most, taken in order of sample_id.
 TRAINING_ROWS = 20_000
+#: Documents, and sentences of each, that the model learns from besides, if their label agrees with what it finds in them.
+REFIT_DOCUMENTS, REFIT_SENTENCES = 3_000, 6
 #: Orders of the character n-grams, and the hashed table's rows.
 ORDERS, BUCKETS = (1, 2, 3, 4, 5), 1 << 17
 #: Share of an n-gram's probability that is spread over all n-grams.
@@ -84,9 +86,12 @@ def is_whole(sentence: str, flat: str) -> bool:
 
 
 def _grams(flats: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Of each order: its number, the table rows of its n-grams, and to which of ``flats`` each belongs (ascending)."""
+    """Of each order, and of blocks of letters: its number, the table rows of its n-grams, and to which of ``flats`` each
+    belongs (ascending)."""
     codes = np.frombuffer("".join(flats).encode("utf-32-le"), np.uint32)
     owner = np.repeat(np.arange(len(flats)), [len(f) for f in flats])
+    # which script a letter is of says something of letters never seen, too
+    yield max(ORDERS), ((codes >> np.uint32(7)) * np.uint32(0x9E3779B1) >> np.uint32(9) & np.uint32(BUCKETS - 1)).astype(np.int64), owner
     h = np.zeros(len(codes), np.uint32)
     for k in range(max(ORDERS)):
         h = (h[: len(codes) - k] ^ (codes[k:] + np.uint32(k + 1))) * np.uint32(0x9E3779B1)
@@ -115,7 +120,7 @@ def fit(samples: list[tuple[str, str]]) -> Model:
     """samples: (language, text). Each is learnt as it stands and without its accents, as texts come both ways."""
     languages = sorted({lang for lang, _ in samples})
     counts = np.zeros((BUCKETS, len(languages)))
-    totals = np.zeros((max(ORDERS), len(languages)))
+    totals = np.zeros((max(ORDERS) + 1, len(languages)))
     kind = np.zeros(BUCKETS, np.int64)
     for lang, text in samples:
         k = languages.index(lang)
@@ -190,18 +195,42 @@ def _segments(batches: Iterator[pa.RecordBatch], model: object) -> Iterator[pa.R
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array(rows, _SEGMENT)], names=["doc_id", "label", "segments"])
 
 
-def fitted(samples: DataFrame, training_rows: int = TRAINING_ROWS) -> Model:
+def labelled_samples(samples: DataFrame, training_rows: int = TRAINING_ROWS) -> list[tuple[str, str]]:
     rows = samples.select("sample_id", "lang", "text").filter("lang is not null and text is not null").orderBy("sample_id").limit(training_rows).collect()
-    return fit([(r["lang"], r["text"]) for r in rows])
+    return [(r["lang"], r["text"]) for r in rows]
 
 
-def segments(documents: DataFrame, samples: DataFrame, training_rows: int = TRAINING_ROWS) -> DataFrame:
+def _agreeing(batches: Iterator[pa.RecordBatch], model: object) -> Iterator[pa.RecordBatch]:
+    m: Model = model.value
+    for batch in batches:
+        langs, texts = [], []
+        for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
+            found = document_languages(m, text)
+            if len(found) == 1 and found[0][2] == label:
+                whole = [s for s in sentences(text) if is_whole(s, letters(s))][:REFIT_SENTENCES]
+                langs += [label] * len(whole)
+                texts += whole
+        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(texts, pa.string())], names=["lang", "text"])
+
+
+def refitted(model: Model, samples: list[tuple[str, str]], documents: DataFrame, refit_documents: int = REFIT_DOCUMENTS) -> Model:
+    """A model that knows the corpus' words, too: fitted on the samples and on sentences of ``refit_documents`` documents, taken
+    by the hash of their id, whose label agrees with the only language the first model finds. What reaches the driver is at
+    most REFIT_SENTENCES sentences of each. Without such documents it is the first model."""
+    drawn = documents.filter("text is not null and label is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(refit_documents)
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+    more = drawn.repartition(8).mapInArrow(partial(_agreeing, model=shared), "lang string, text string").collect()
+    return fit([*samples, *((r["lang"], r["text"]) for r in more if r["lang"] in model.languages)]) if more else model
+
+
+def segments(documents: DataFrame, samples: DataFrame, training_rows: int = TRAINING_ROWS, refit_documents: int = REFIT_DOCUMENTS) -> DataFrame:
     """(doc_id, label, segments): the label as ISO code or null, and the document's segments in order.
 
     documents: doc_id long, text, lang; samples: sample_id, lang, text; other columns are dropped. A text without whole
     sentences (null, empty, blank, numbers, code) has no segments. Rows stay where they are; repeated rows are repeated."""
-    model = documents.sparkSession.sparkContext.broadcast(fitted(samples, training_rows))
     rows = documents.select("doc_id", "text", iso_language(F.col("lang")).alias("label"))
+    known = labelled_samples(samples, training_rows)
+    model = documents.sparkSession.sparkContext.broadcast(refitted(fit(known), known, rows, refit_documents))
     ddl = "doc_id long, label string, segments array<struct<segment:int,text:string,lang:string,confidence:double,sentences:int>>"
     return rows.mapInArrow(partial(_segments, model=model), ddl)
 
