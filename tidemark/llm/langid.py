@@ -29,8 +29,8 @@ ORDERS, BUCKETS = (1, 2, 3, 4, 5), 1 << 17
 SMOOTHING = 0.05
 #: N-grams overlap, so each counts for a part only.
 TEMPER = 1.0 / len(ORDERS)
-#: A further language must raise the document's log likelihood by so much. One whole sentence raises it by 40 or more; an
-#: odd phrase, a name or a slip by under 25.
+#: A further language must raise the document's log likelihood by so much. One whole sentence raises it by far more, an odd
+#: phrase, a name or a slip by less.
 PENALTY = 30.0
 #: Letters of a whole sentence: at least so many of an alphabet in so many words, or so many of a script without spaces.
 SENTENCE_LETTERS, SENTENCE_WORDS, SENTENCE_SIGNS = 18, 4, 8
