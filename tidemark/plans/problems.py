@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import normal as N
 from ..operators import asof, dedup, history, late, nested, rolling, spikes
-from ..sources.tables import table
+from ..sources.tables import spread_table, table
 
 # ---------------------------------------------------------------- 1: attributes as known at event time
 
@@ -113,8 +113,8 @@ _NAMES = [*_LINES, "nonDerivativeTable", "derivativeTable", "reportingOwner", "r
 
 def _records_with_nodes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     raw = table(spark, d, "sec_raw_records")
-    # the accession travels through the parser's input only as the join key's owner, not as text on every node
-    nodes = nested.label_nodes(raw, F.col("delivery_id"), ["payload", "provenance"], _NAMES)
+    # nodes carry the delivery's number only; the accession joins them at the end
+    nodes = nested.label_nodes(spread_table(spark, d, "sec_raw_records").select("delivery_id", "payload", "provenance"), F.col("delivery_id"), ["payload", "provenance"], _NAMES)
     return raw, nodes
 
 
