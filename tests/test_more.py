@@ -75,3 +75,15 @@ def test_spacing_in_a_stream(spark, tmp_path):
     s = stateful.spaced(run.file_stream(spark, str(tmp_path), "t"), "k", "at", 10)
     got = [x["at"] for x in run.to_table(s, "append").collect()]
     assert [t - min(got) for t in sorted(got)] == [0, 10, 21]
+
+
+def test_amendment_chains(spark):
+    from tidemark.operators import resolve
+
+    rows = [("k", 1, "o1", False), ("k", 3, "a1", True), ("k", 3, "a1", True), ("k", 5, "a2", True), ("k", 7, "o2", False), ("j", 1, "x", True), ("i", 1, "o", False), ("i", 2, "p", True), ("i", 2, "q", True), (None, 1, "n", True), ("h", None, "t", False)]
+    df = spark.createDataFrame(rows, "link string, at int, id string, amends boolean")
+    got = {x.id: (x.revision, x.replaces, x.valid_to, x.problem) for x in resolve.amendments(df, ["link"], "at", "id", F.col("amends")).collect()}
+    assert got == {
+        "o1": (0, None, 3, None), "a1": (1, "o1", 5, None), "a2": (2, "a1", None, None), "o2": (0, None, None, None), "x": (None, None, None, "NO_PREDECESSOR"), "o": (0, None, None, None),
+        "p": (None, None, None, "AMBIGUOUS"), "q": (None, None, None, "AMBIGUOUS"), "n": (None, None, None, "NO_KEY"), "t": (None, None, None, "NO_KEY"),
+    }

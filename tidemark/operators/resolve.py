@@ -45,3 +45,29 @@ def prior_unique_value(events: DataFrame, observations: DataFrame, days: int) ->
     w = Window.partitionBy("key").orderBy(F.unix_date("day")).rangeBetween(-days, 0)
     low, high = F.min("low").over(w), F.max("high").over(w)
     return both.withColumn("value", F.when(low == high, low)).filter("is_event").select("event_id", "key", "day", "value")
+
+
+def amendments(rows: DataFrame, link: list[str], at: str, row_id: str, is_amendment: Column) -> DataFrame:
+    """rows with ``revision``, ``replaces``, ``valid_to`` and ``problem``: statements of one link in order of ``at``.
+
+    An amendment replaces the statement before it and takes the next revision; originals start at 0 again. Problems:
+    NO_PREDECESSOR for an amendment with nothing before it, AMBIGUOUS for one of a time that several statements of its link
+    share, NO_KEY for rows with a null in the link or no time; such rows replace nothing and are replaced by nothing.
+    Statements are ranked within their link only; repeated rows are one."""
+    marked = rows.distinct().withColumn("__amends", F.coalesce(is_amendment, F.lit(False)))
+    keyed = F.lit(True)
+    for c in [*link, at]:
+        keyed = keyed & F.col(c).isNotNull()
+    marked = marked.withColumn("__keyed", keyed)
+    same = F.count("*").over(Window.partitionBy(*link, at))
+    first = F.min(at).over(Window.partitionBy(*link))
+    problem = F.when(~F.col("__keyed"), "NO_KEY").when(F.col("__amends") & (same > 1), "AMBIGUOUS").when(F.col("__amends") & (F.col(at) == first), "NO_PREDECESSOR")
+    marked = marked.withColumn("problem", problem)
+    # only rows without a problem take part, so a chain goes on over a quarantined one
+    chain = Window.partitionBy(*link, F.col("problem").isNull()).orderBy(at, row_id)
+    ok = F.col("problem").isNull()
+    start = F.max(F.when(~F.col("__amends"), F.col("__n"))).over(chain.rowsBetween(Window.unboundedPreceding, 0))
+    out = marked.withColumn("__n", F.row_number().over(chain))
+    out = out.withColumns({"revision": F.when(ok, F.col("__n") - F.coalesce(start, F.lit(1))).cast("long"), "replaces": F.when(ok & F.col("__amends"), F.lag(row_id).over(chain))})
+    replaced = F.lead("__amends").over(chain)
+    return out.withColumn("valid_to", F.when(ok & replaced, F.lead(at).over(chain))).drop("__amends", "__keyed", "__n")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import normal as N
 from ..functions import scores
-from ..operators import bootstrap, overlap
+from ..operators import bootstrap, overlap, resolve
 from ..sources.tables import table
 from .adapters import BARS_SQL, SIGNALS_SQL, TX_SQL, bars, signals, transactions
 from .registry import Registry
@@ -120,3 +120,48 @@ def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     """Bootstrap interval of the mean outcome per horizon and year."""
     g = _grouped(spark, d).withColumn("year", F.year("date").cast("long"))
     return bootstrap.poisson_bootstrap_mean(g, ["horizon", "year"], "forward_return", ["symbol", "session_idx", "horizon"])
+
+
+@query(_X + """, r AS (SELECT DISTINCT issuer, owner, part, known_date, code, accession * 10 + line AS id FROM tx WHERE code IN ('P', 'S')),
+m AS (SELECT *, code = 'S' AS amends, CASE WHEN code = 'S' AND count(*) OVER (PARTITION BY issuer, owner, part, known_date) > 1 THEN 'AMBIGUOUS' WHEN code = 'S' AND known_date = min(known_date) OVER (PARTITION BY issuer, owner, part) THEN 'NO_PREDECESSOR' END AS problem FROM r),
+n AS (SELECT *, row_number() OVER w AS n, lag(id) OVER w AS prior, lead(amends) OVER w AS next_amends, lead(known_date) OVER w AS next_at FROM m WINDOW w AS (PARTITION BY issuer, owner, part, problem IS NULL ORDER BY known_date, id)),
+s AS (SELECT *, max(CASE WHEN NOT amends THEN n END) OVER (PARTITION BY issuer, owner, part, problem IS NULL ORDER BY known_date, id ROWS UNBOUNDED PRECEDING) AS start FROM n)
+SELECT issuer, owner, part, id, known_date, problem, CASE WHEN problem IS NULL THEN CAST(n - coalesce(start, 1) AS BIGINT) END AS revision, CASE WHEN problem IS NULL AND amends THEN prior END AS replaces, CASE WHEN problem IS NULL AND next_amends THEN next_at END AS valid_to FROM s""")
+def amendment_chains(spark: SparkSession, d: str) -> DataFrame:
+    """Chains of statements and their amendments, with those that can't be placed set aside."""
+    r = transactions(spark, d).filter("code in ('P', 'S')").select("issuer", "owner", "part", "known_date", "code", (F.col("accession") * 10 + F.col("line")).alias("id"))
+    return resolve.amendments(r, ["issuer", "owner", "part"], "known_date", "id", F.col("code") == "S").drop("code")
+
+
+@query(r"""WITH f AS (SELECT regexp_extract(provider_record_id, '[0-9]{10}-[0-9]{2}-[0-9]{6}') AS accession, CAST(retrieved_at AS DATE) AS day, form_type, delivery_id FROM sec_raw_records)
+SELECT accession, min(day) AS first_day, count(DISTINCT day) AS days, count(DISTINCT upper(form_type)) > 1 AS conflicting FROM f WHERE accession <> '' GROUP BY accession""")
+def republished_filings(spark: SparkSession, d: str) -> DataFrame:
+    """Filings published on several days: the earliest counts, differing content is a conflict."""
+    f = table(spark, d, "sec_raw_records").select(F.regexp_extract("provider_record_id", r"\d{10}-\d{2}-\d{6}", 0).alias("accession"), F.to_date("retrieved_at").alias("day"), F.upper("form_type").alias("form")).filter("accession <> ''")
+    return f.groupBy("accession").agg(F.min("day").alias("first_day"), F.count_distinct("day").alias("days"), (F.count_distinct("form") > 1).alias("conflicting"))
+
+
+@query(_X + """, c AS (SELECT DISTINCT accession FROM tx WHERE code = 'P'), o AS (SELECT accession, list_sort(list_distinct(list(owner))) AS owners FROM tx WHERE role <> '1-URGENT' GROUP BY accession) SELECT c.accession, owners, owners IS NULL AS missing FROM c LEFT JOIN o USING (accession)""")
+def owner_enrichment(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates with the set of their owners; candidates without any are shown as missing."""
+    t = transactions(spark, d)
+    c = t.filter("code = 'P'").select("accession").distinct()
+    o = t.filter("role <> '1-URGENT'").join(c, "accession", "left_semi").groupBy("accession").agg(F.array_sort(F.collect_set("owner")).alias("owners"))
+    return c.join(o, "accession", "left").withColumn("missing", F.col("owners").isNull())
+
+
+@query(f"""WITH {BARS_SQL}, m AS (SELECT provider, count(*) AS rows, count(volume) / count(*) AS filled, count(DISTINCT date) AS days FROM bars GROUP BY provider) SELECT provider, rows, days, CASE WHEN filled >= 0.999 AND days >= 1000 THEN 'A' WHEN filled >= 0.99 THEN 'B' ELSE 'C' END AS tier FROM m""")
+def quality_tiers(spark: SparkSession, d: str) -> DataFrame:
+    """A tier out of several measured rates."""
+    m = bars(spark, d).groupBy("provider").agg(F.count("*").alias("rows"), (F.count("volume") / F.count("*")).alias("filled"), F.count_distinct("date").alias("days"))
+    return m.select("provider", "rows", "days", F.when((F.col("filled") >= 0.999) & (F.col("days") >= 1000), "A").when(F.col("filled") >= 0.99, "B").otherwise("C").alias("tier"))
+
+
+@query(_X + """, c AS (SELECT accession, line, issuer, row_number() OVER (PARTITION BY accession ORDER BY line, known_date, part, tx_date, value) AS pos FROM tx), k AS (SELECT l_orderkey AS accession, l_suppkey AS issuer, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, greatest(CAST(l_shipdate AS DATE), CAST(o_orderdate AS DATE)), l_partkey, l_shipdate, l_extendedprice) AS pos FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+SELECT c.accession, count(*) AS rows, count(*) FILTER (c.issuer <> k.issuer) AS mismatches FROM c JOIN k USING (accession, pos) GROUP BY ALL""")
+def positional_join(spark: SparkSession, d: str) -> DataFrame:
+    """Two tables matched by position within their group, and how many rows then disagree."""
+    order = ["line", "known_date", "part", "tx_date", "value"]
+    c = transactions(spark, d).withColumn("pos", F.row_number().over(Window.partitionBy("accession").orderBy(*order)))
+    other = c.select("accession", "pos", F.col("issuer").alias("other"))
+    return c.join(other, ["accession", "pos"]).groupBy("accession").agg(F.count("*").alias("rows"), F.count_if(F.col("issuer") != F.col("other")).alias("mismatches"))
