@@ -54,10 +54,9 @@ def shingles(tokens: list[str], cache: dict[str, int] | None = None) -> np.ndarr
     return out.view(np.int64)
 
 
-def _emit(batches: Iterator[pa.RecordBatch], wanted: object | None) -> Iterator[pa.RecordBatch]:
-    """(id, n_words, pos, shingle) of column 0 and text in column 1; only ``wanted`` shingles if given."""
+def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, n_words, pos, shingle) of column 0 and the text in column 1."""
     cache: dict[str, int] = {}
-    only = None if wanted is None else wanted.value
     for batch in batches:
         for lo in range(0, batch.num_rows, 1000):
             ids, counts, positions, hashes = [], [], [], []
@@ -66,21 +65,47 @@ def _emit(batches: Iterator[pa.RecordBatch], wanted: object | None) -> Iterator[
                     continue
                 tokens = words(text)
                 h = shingles(tokens, cache)
-                at = np.arange(len(h), dtype=np.int32)
-                if only is not None and len(h):
-                    spot = np.searchsorted(only, h)
-                    spot[spot == len(only)] = 0
-                    at = np.flatnonzero(only[spot] == h).astype(np.int32) if len(only) else at[:0]
-                if len(at):
-                    ids.append(np.full(len(at), key, np.int64))
-                    counts.append(np.full(len(at), len(tokens), np.int32))
-                    positions.append(at)
-                    hashes.append(h[at])
+                if len(h):
+                    ids.append(np.full(len(h), key, np.int64))
+                    counts.append(np.full(len(h), len(tokens), np.int32))
+                    positions.append(np.arange(len(h), dtype=np.int32))
+                    hashes.append(h)
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (ids, counts, positions, hashes)], names=["id", "n_words", "pos", "shingle"])
 
 
 _HITS = "id long, n_words int, pos int, shingle long"
+_HIT_DOCUMENTS = "doc_id long, doc_text string, n_words int, hits array<struct<pos:int,shingle:long>>"
+
+
+def _hit_documents(batches: Iterator[pa.RecordBatch], wanted: object) -> Iterator[pa.RecordBatch]:
+    """The documents that hold any wanted shingle, each with its text and where which one stands."""
+    cache: dict[str, int] = {}
+    only = wanted.value
+    if not len(only):
+        return
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 500):
+            part = batch.slice(lo, 500)
+            rows, counts, ends, positions, hashes = [], [], [0], [], []
+            for i, (key, text) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist())):
+                if key is None or not text:
+                    continue
+                tokens = words(text)
+                h = shingles(tokens, cache)
+                spot = np.searchsorted(only, h)
+                spot[spot == len(only)] = 0
+                at = np.flatnonzero(only[spot] == h)
+                if len(at):
+                    rows.append(i)
+                    counts.append(len(tokens))
+                    ends.append(ends[-1] + len(at))
+                    positions.append(at.astype(np.int32))
+                    hashes.append(h[at])
+            if rows:
+                hits = pa.StructArray.from_arrays([pa.array(np.concatenate(positions)), pa.array(np.concatenate(hashes))], names=["pos", "shingle"])
+                kept = part.take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array(counts, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), hits)], names=["doc_id", "doc_text", "n_words", "hits"])
 
 
 def _stretches(item: list[str], index: dict[tuple, list[int]], text: list[str]) -> list[list[int]]:
@@ -191,15 +216,18 @@ def leaks(documents: DataFrame, items: DataFrame, share: float = SHARE, broadcas
     spark = documents.sparkSession
     docs = documents.select("doc_id", F.col("text").alias("doc_text")).filter("doc_id is not null and doc_text is not null")
     its = items.select("item_id", F.col("text").alias("item_text")).filter("item_id is not null and item_text is not null").distinct()
-    of_items = its.mapInArrow(partial(_emit, wanted=None), _HITS).withColumnsRenamed({"id": "item_id", "n_words": "item_words", "pos": "item_pos"}).persist(StorageLevel.MEMORY_AND_DISK)
+    of_items = its.mapInArrow(_emit, _HITS).withColumnsRenamed({"id": "item_id", "n_words": "item_words", "pos": "item_pos"}).persist(StorageLevel.MEMORY_AND_DISK)
     distinct = of_items.select("shingle").distinct()
     if distinct.limit(broadcast_shingles + 1).count() <= broadcast_shingles:
         wanted = spark.sparkContext.broadcast(np.sort(distinct.toPandas()["shingle"].to_numpy(np.int64)))
-        hits = docs.mapInArrow(partial(_emit, wanted=wanted), _HITS)
+        # only documents with a hit go on, their texts with them: no text without one is shuffled or read again
+        found = docs.mapInArrow(partial(_hit_documents, wanted=wanted), _HIT_DOCUMENTS).persist(StorageLevel.MEMORY_AND_DISK)
+        hits = found.select(F.col("doc_id").alias("id"), "n_words", F.explode("hits").alias("h")).select("id", "n_words", "h.pos", "h.shingle")
+        texts = found.select("doc_id", "doc_text")
     else:
-        hits = docs.mapInArrow(partial(_emit, wanted=None), _HITS).join(distinct, "shingle", "left_semi").select("id", "n_words", "pos", "shingle")
-    hits = hits.persist(StorageLevel.MEMORY_AND_DISK)
-    hits.count()  # two branches of the plan read it; without this both would read the texts
+        found = hits = docs.mapInArrow(_emit, _HITS).join(distinct, "shingle", "left_semi").select("id", "n_words", "pos", "shingle").persist(StorageLevel.MEMORY_AND_DISK)
+        texts = docs
+    found.count()  # several branches of the plan read it; without this each would read the texts
     frequency = hits.groupBy("shingle").agg(F.count("*").alias("frequency"))
     # rarest first; a shingle that no text has is the rarest and costs nothing
     once = of_items.groupBy("item_id", "item_words", "shingle").agg(F.min("item_pos").alias("item_pos")).join(frequency, "shingle", "left").na.fill(0, ["frequency"])
@@ -216,4 +244,4 @@ def leaks(documents: DataFrame, items: DataFrame, share: float = SHARE, broadcas
     elsewhere = F.least("item_words", "n_words")
     slack = F.ceil(F.col("item_words") / F.lit(EDIT_EVERY))
     pairs = hits.join(prefix, "shingle").filter((reach + slack >= need) | (elsewhere + slack >= need)).select("item_id", F.col("id").alias("doc_id")).distinct()
-    return pairs.join(docs, "doc_id").join(its, "item_id").mapInArrow(partial(_verify, share=share), "item_id long, doc_id long, share double").groupBy("item_id", "doc_id").agg(F.max("share").alias("share"))
+    return pairs.join(texts, "doc_id").join(its, "item_id").mapInArrow(partial(_verify, share=share), "item_id long, doc_id long, share double").groupBy("item_id", "doc_id").agg(F.max("share").alias("share"))
