@@ -15,3 +15,26 @@ def points_in_intervals(points: DataFrame, intervals: DataFrame, key: str, at: s
     p = points.filter(F.col(key).isNotNull() & F.col(at).isNotNull()).withColumn("__bin", day(F.col(at)))
     i = intervals.filter(F.col(key).isNotNull() & (F.col(starts) < F.col(ends))).withColumn("__bin", F.explode(F.sequence(day(F.col(starts)), day(F.col(ends)))))
     return p.join(i, [key, "__bin"]).filter((F.col(at) > F.col(starts)) & (F.col(at) <= F.col(ends))).drop("__bin")
+
+
+def cluster_triggers(rows: DataFrame, days: int, least: int, strong: int) -> DataFrame:
+    """(issuer, session, owners, anchor, strong): for each day of disclosure the window [anchor - days, anchor] of trading
+    days with most distinct owners.
+
+    rows: issuer, owner, tx_date and known_date dates, accession, line. A window counts rows known by the session only, its
+    anchor is the trading day of one of them, and it must hold a row disclosed on the session; of windows with equally many
+    owners the one whose anchor became known first is taken. Triggers have ``least`` owners or more. Only an owner's first
+    word of a trading day is kept, and joins are by issuer and bin of time, so no task sees all of an issuer."""
+    b = rows.filter("issuer is not null and tx_date is not null and known_date is not null").withColumn("__bin", F.floor(F.unix_date("tx_date") / F.lit(days + 1)))
+    fresh = b.select("issuer", "__bin", "tx_date", F.col("known_date").alias("session")).distinct()
+    first = b.groupBy("issuer", "__bin", "tx_date").agg(F.min(F.struct("known_date", "accession", "line")).alias("first"))
+    # anchors follow the new row by at most ``days``: they lie in its bin or the next
+    ahead = fresh.withColumn("__bin", F.explode(F.array(F.col("__bin"), F.col("__bin") + 1)))
+    anchors = first.withColumnsRenamed({"tx_date": "anchor"}).join(ahead, ["issuer", "__bin"])
+    anchors = anchors.filter((F.col("first.known_date") <= F.col("session")) & (F.datediff("anchor", "tx_date").between(0, days))).select("issuer", "__bin", "anchor", "session", "first").distinct()
+    facts = b.filter("owner is not null").groupBy("issuer", "__bin", "owner", "tx_date").agg(F.min("known_date").alias("known_date"))
+    back = anchors.withColumn("__bin", F.explode(F.array(F.col("__bin"), F.col("__bin") - 1)))
+    members = back.join(facts, ["issuer", "__bin"]).filter((F.col("known_date") <= F.col("session")) & (F.datediff("anchor", "tx_date").between(0, days)))
+    windows = members.groupBy("issuer", "session", "anchor", "first").agg(F.count_distinct("owner").alias("owners"))
+    best = windows.groupBy("issuer", "session").agg(F.min(F.struct((-F.col("owners")).alias("fewer"), "first", "anchor")).alias("w"))
+    return best.select("issuer", "session", (-F.col("w.fewer")).alias("owners"), "w.anchor").filter(F.col("owners") >= least).withColumn("strong", F.col("owners") >= strong)

@@ -57,6 +57,22 @@ def cluster_triggers(spark: SparkSession, d: str) -> DataFrame:
     return days.withColumn("owners", n).filter("owners >= 3").select("issuer", "known_date", "owners")
 
 
+#: Calendar days that a cluster's window reaches back from its anchor, and the owners that make a cluster and a strong one.
+CLUSTER_DAYS, CLUSTER_OWNERS, STRONG_OWNERS = 30, 2, 3
+
+
+@query(_X + f""", b AS (SELECT issuer, owner, tx_date, known_date, accession, line FROM tx WHERE code = 'P'), s AS (SELECT DISTINCT issuer, known_date AS session, tx_date AS fresh FROM b),
+a AS (SELECT DISTINCT s.issuer, s.session, b.tx_date AS anchor FROM s JOIN b ON b.issuer = s.issuer AND b.known_date <= s.session AND b.tx_date BETWEEN s.fresh AND s.fresh + {CLUSTER_DAYS}),
+w AS (SELECT a.issuer, a.session, a.anchor, count(DISTINCT b.owner) AS owners FROM a JOIN b ON b.issuer = a.issuer AND b.known_date <= a.session AND b.tx_date BETWEEN a.anchor - {CLUSTER_DAYS} AND a.anchor GROUP BY ALL),
+f AS (SELECT issuer, tx_date AS anchor, min((known_date, accession, line)) AS first FROM b GROUP BY ALL),
+r AS (SELECT w.*, row_number() OVER (PARTITION BY w.issuer, w.session ORDER BY owners DESC, first, w.anchor) AS rn FROM w JOIN f ON f.issuer = w.issuer AND f.anchor = w.anchor)
+SELECT issuer, session, owners, anchor, owners >= {STRONG_OWNERS} AS strong FROM r WHERE rn = 1 AND owners >= {CLUSTER_OWNERS}""")
+def cluster_triggers_pit(spark: SparkSession, d: str) -> DataFrame:
+    """Per day of disclosure, the window of trading days with most owners among all purchases known by then, of those
+    windows that hold a newly disclosed one; of equal windows the one whose anchor was disclosed first."""
+    return overlap.cluster_triggers(transactions(spark, d).filter("code = 'P'"), CLUSTER_DAYS, CLUSTER_OWNERS, STRONG_OWNERS)
+
+
 @query("WITH q AS (SELECT DISTINCT lpad(cik, 10, '0') AS cik, interval_id FROM ticker_intervals), r AS (SELECT *, row_number() OVER (PARTITION BY cik ORDER BY interval_id) AS turn FROM q) SELECT cik, interval_id, turn FROM r")
 def round_robin_order(spark: SparkSession, d: str) -> DataFrame:
     """Turns by which requests go once around all issuers before any gets its second."""
