@@ -3,7 +3,7 @@
 import datetime as dt
 import random
 
-from tidemark.operators import overlap
+from tidemark.operators import overlap, rolling
 
 D0 = dt.date(2024, 1, 1)
 
@@ -39,3 +39,24 @@ def test_cluster_triggers_look_at_trading_days_known_by_the_session(spark):
     got = {(x.issuer, x.session, x.owners, x.anchor, x.strong) for x in overlap.cluster_triggers(df, 30, 2, 3).collect()}
     assert got == reference_triggers(rows, 30, 2, 3)
     assert ("late", day(300), 3, day(110), True) in got and not any(x[0] == "apart" for x in got)
+
+
+def test_barometer_counts_what_is_known_by_each_day(spark):
+    r = random.Random(5)
+    rows = [("a", "P", day(0), day(10), 5.0), ("a", "P", day(1), day(40), 7.0), ("b", "S", day(3), day(2), 2.0), ("b", "P", day(5), day(20), None), ("c", "G", day(0), day(0), 1.0), ("c", "P", day(8), None, 1.0)]
+    rows += [(r.choice("abcde"), r.choice("PS"), day(t := r.randrange(40, 160)), day(t + r.choice([-3, 0, 1, 20, 29, 30, 90])), r.choice([1.25, 3.1, 10.0] * 5 + [-1.0, None])) for _ in range(120)]
+    df = spark.createDataFrame(rows, "issuer string, code string, tx_date date, known_date date, value double")
+    got = {x.day: x for x in rolling.barometer(df, 30, {"P": "buy", "S": "sale"}).collect()}
+    used = [x for x in rows if x[1] in "PS" and x[3]]
+    first, last = min(x[2] for x in used), max(max(x[2], x[3]) for x in used)
+    assert sorted(got) == [first + dt.timedelta(k) for k in range((last - first).days + 1)]
+    for at, x in got.items():
+        inside = [y for y in used if at - dt.timedelta(29) <= y[2] <= at and y[3] <= at]
+        buys, sales = ([y for y in inside if y[1] == c] for c in "PS")
+        dollars = [None if any(y[4] is None or y[4] < 0 for y in side) else sum(y[4] for y in side) for side in (buys, sales)]
+        assert (x.purchases_30d, x.sales_30d) == (len(buys), len(sales))
+        assert [None if v is None else round(v, 6) for v in (x.buy_dollars, x.sale_dollars)] == [None if v is None else round(v, 6) for v in dollars]
+        assert (x.buying_companies, x.selling_companies, x.active_companies) == tuple(len({y[0] for y in side}) for side in (buys, sales, inside))
+        assert (x.ratio is None) == (not sales) and (x.dollar_ratio is None) == (None in dollars or not dollars[1])
+    assert got[day(9)].purchases_30d == 0 and got[day(10)].purchases_30d == 1
+    assert rolling.barometer(df.limit(0), 30, {"P": "buy", "S": "sale"}).count() == 0

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import windows as Wf
+from ..operators import rolling
 from ..sources.tables import table
 from .adapters import TX_SQL, transactions
 from .registry import Registry
@@ -156,6 +157,21 @@ def barometer_rolling_30d(spark: SparkSession, d: str) -> DataFrame:
     return f.select("day", F.coalesce(F.sum("p").over(w), F.lit(0)).alias("purchases_30d"), F.coalesce(F.sum("s").over(w), F.lit(0)).alias("sales_30d"))
 
 
+_SIDES = {"P": "buy", "S": "sale"}
+
+
+@query(_X + """, t AS (SELECT issuer, code, value, tx_date, greatest(tx_date, known_date) AS enters FROM tx WHERE code IN ('P', 'S')), e AS (SELECT min(tx_date) AS a, max(enters) AS b FROM t),
+c AS (SELECT CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS day FROM e),
+w AS (SELECT day, count(*) FILTER (code = 'P') AS purchases_30d, count(*) FILTER (code = 'S') AS sales_30d, sum(CAST(value AS DECIMAL(28, 6))) FILTER (code = 'P' AND value >= 0 AND isfinite(value)) AS bd, sum(CAST(value AS DECIMAL(28, 6))) FILTER (code = 'S' AND value >= 0 AND isfinite(value)) AS sd,
+  bool_or(NOT coalesce(value >= 0 AND isfinite(value), false)) FILTER (code = 'P') AS bm, bool_or(NOT coalesce(value >= 0 AND isfinite(value), false)) FILTER (code = 'S') AS sm, count(DISTINCT issuer) FILTER (code = 'P') AS buying_companies, count(DISTINCT issuer) FILTER (code = 'S') AS selling_companies, count(DISTINCT issuer) AS active_companies
+  FROM c LEFT JOIN t ON t.enters <= day AND t.tx_date BETWEEN day - 29 AND day GROUP BY day),
+d AS (SELECT *, CASE WHEN NOT coalesce(bm, false) THEN CAST(coalesce(bd, 0) AS DOUBLE) END AS buy_dollars, CASE WHEN NOT coalesce(sm, false) THEN CAST(coalesce(sd, 0) AS DOUBLE) END AS sale_dollars FROM w)
+SELECT day, purchases_30d, sales_30d, purchases_30d / nullif(sales_30d, 0) AS ratio, buy_dollars, sale_dollars, buy_dollars / nullif(sale_dollars, 0) AS dollar_ratio, buying_companies, selling_companies, active_companies FROM d""")
+def barometer_known_30d(spark: SparkSession, d: str) -> DataFrame:
+    """Market-wide counts, dollars, companies and ratios of the 30 trading days up to each day, as known by its end."""
+    return rolling.barometer(transactions(spark, d), 30, _SIDES)
+
+
 _MONTHS = _X + ", m AS (SELECT CAST(date_trunc('month', tx_date) AS DATE) AS month, count(*) FILTER (code = 'P') AS p, count(*) FILTER (code = 'S') AS s FROM tx GROUP BY ALL)"
 
 
