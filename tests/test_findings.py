@@ -60,3 +60,22 @@ def test_barometer_counts_what_is_known_by_each_day(spark):
         assert (x.ratio is None) == (not sales) and (x.dollar_ratio is None) == (None in dollars or not dollars[1])
     assert got[day(9)].purchases_30d == 0 and got[day(10)].purchases_30d == 1
     assert rolling.barometer(df.limit(0), 30, {"P": "buy", "S": "sale"}).count() == 0
+
+
+def test_republished_filings_in_any_spelling_and_by_content(spark):
+    from tidemark.plans.research import _republished
+
+    def xml(shares, layout=""):
+        return f"<ownershipDocument>{layout}<documentType>4</documentType><issuer><issuerCik>0000000007</issuerCik></issuer><reportingOwner><reportingOwnerId><rptOwnerCik>0000000009</rptOwnerCik></reportingOwnerId><reportingOwnerRelationship><isDirector>1</isDirector><isOfficer>0</isOfficer></reportingOwnerRelationship></reportingOwner><nonDerivativeTable><nonDerivativeTransaction><transactionDate><value>2024-01-05</value></transactionDate><transactionAmounts><transactionShares><value>{shares}</value></transactionShares></transactionAmounts></nonDerivativeTransaction></nonDerivativeTable></ownershipDocument>"
+
+    json_ = '{"issuer": {"issuerCik": "7"}, "reportingOwner": [{"reportingOwnerId": {"rptOwnerCik": "9"}, "reportingOwnerRelationship": {"isDirector": true}}], "nonDerivativeTable": {"nonDerivativeTransaction": {"transactionDate": "2024-01-05", "transactionAmounts": {"transactionShares": 100}}}}'
+    at = lambda k: dt.datetime(2024, 1, k, 12)
+    rows = [
+        (1, "000000000124000001", "row-000001", "4", at(9), xml(100)), (2, "0000000001-24-000001", "x/0000000001-24-000001.txt", "4 ", at(3), json_), (3, None, "a/0000000001-24-000001.txt", "4", at(9), xml("100.0", "\n ")),
+        (4, "0000000001-24-000002", "row-1", "4", at(5), xml(100)), (5, "000000000124000002", "row-2", "4", at(6), xml(200)),
+        (6, "0000000001-24-000003", "row-3", "4", at(5), xml(100)), (7, "0000000001-24-000003", "row-3", "4/A", at(5), None), (8, "0000000001-24-000003", "row-3", "4", at(5), "<ownershipDocument><issuer>"),
+        (9, None, "row-4", "4", at(5), xml(1)),
+    ]
+    raw = spark.createDataFrame([(*r[:5], r[5] and r[5].encode()) for r in rows], "delivery_id long, accession_number string, provider_record_id string, form_type string, retrieved_at timestamp_ntz, payload binary")
+    got = {x.accession[-1]: (x.first_day.day, x.days, x.deliveries, x.form_conflict, x.content_conflict, x.conflicting) for x in _republished(raw).collect()}
+    assert got == {"1": (3, 2, 3, False, False, False), "2": (5, 2, 2, False, True, True), "3": (5, 1, 3, True, False, True)}

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import normal as N
 from ..functions import scores
 from ..operators import bootstrap, overlap, resolve
-from ..sources.tables import table
+from ..sources import ownership
+from ..sources.tables import spread_table, table
 from .adapters import BARS_SQL, SIGNALS_SQL, TX_SQL, bars, signals, transactions
 from .registry import Registry
 from .study import _grouped
@@ -157,6 +158,20 @@ def republished_filings(spark: SparkSession, d: str) -> DataFrame:
     return f.groupBy("accession").agg(F.min("day").alias("first_day"), F.count_distinct("day").alias("days"), (F.count_distinct("form") > 1).alias("conflicting"))
 
 
+@query()
+def republished_accessions(spark: SparkSession, d: str) -> DataFrame:
+    """Filings, by their number in any column and spelling: first day, days and deliveries, and whether deliveries differ in
+    form or in the content of their documents."""
+    return _republished(spread_table(spark, d, "sec_raw_records"))
+
+
+def _republished(raw: DataFrame) -> DataFrame:
+    f = raw.select("delivery_id", N.accession(F.col("accession_number"), F.col("provider_record_id")).alias("accession"), F.to_date("retrieved_at").alias("day"), F.upper(F.trim("form_type")).alias("form")).filter("accession is not null")
+    both = f.join(ownership.fingerprints(raw, "delivery_id", "payload"), F.col("delivery_id") == F.col("record"), "left")
+    g = both.groupBy("accession").agg(F.min("day").alias("first_day"), F.count_distinct("day").alias("days"), F.count("*").alias("deliveries"), (F.count_distinct("form") > 1).alias("form_conflict"), (F.count_distinct("fingerprint") > 1).alias("content_conflict"))
+    return g.withColumn("conflicting", F.col("form_conflict") | F.col("content_conflict"))
+
+
 @query(_X + """, c AS (SELECT DISTINCT accession FROM tx WHERE code = 'P'), o AS (SELECT accession, list_sort(list_distinct(list(owner))) AS owners FROM tx WHERE role <> '1-URGENT' GROUP BY accession) SELECT c.accession, owners, owners IS NULL AS missing FROM c LEFT JOIN o USING (accession)""")
 def owner_enrichment(spark: SparkSession, d: str) -> DataFrame:
     """Candidates with the set of their owners; candidates without any are shown as missing."""
