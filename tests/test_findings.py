@@ -3,7 +3,11 @@
 import datetime as dt
 import random
 
-from tidemark.operators import overlap, rolling
+import numpy as np
+
+from pyspark.sql import functions as F
+
+from tidemark.operators import bootstrap, overlap, rolling
 
 D0 = dt.date(2024, 1, 1)
 
@@ -79,3 +83,27 @@ def test_republished_filings_in_any_spelling_and_by_content(spark):
     raw = spark.createDataFrame([(*r[:5], r[5] and r[5].encode()) for r in rows], "delivery_id long, accession_number string, provider_record_id string, form_type string, retrieved_at timestamp_ntz, payload binary")
     got = {x.accession[-1]: (x.first_day.day, x.days, x.deliveries, x.form_conflict, x.content_conflict, x.conflicting) for x in _republished(raw).collect()}
     assert got == {"1": (3, 2, 3, False, False, False), "2": (5, 2, 2, False, True, True), "3": (5, 1, 3, True, False, True)}
+
+
+def test_bootstrap_intervals_are_of_medians(spark):
+    rng = np.random.default_rng(1)
+    x = {"odd": np.round(np.exp(rng.normal(0, 2, 401)), 2), "even": np.exp(rng.normal(1, 2, 300)), "one": np.array([3.0]), "two": np.array([0.0, 1.0]), "ties": np.repeat([1.0, 2.0, 5.0], [3, 4, 2])}
+    rows = [(g, float(v)) for g, vs in x.items() for v in vs] + [("none", None), ("none", float("nan")), ("odd", float("inf"))]
+    df = spark.createDataFrame(rows, "g string, x double")
+    drawn = bootstrap.medians(df, ["g"], "x").collect()
+    assert drawn and sorted(drawn) == sorted(bootstrap.medians(df.repartition(7), ["g"], "x").collect())
+    got = {y.g: y for y in bootstrap.median_intervals(spark.createDataFrame(drawn, "g string, n long, median double, draws array<double>")).collect()}
+    draws = {y.g: y.draws for y in drawn}
+    assert (got["none"].n, got["none"].median, got["none"].low) == (0, None, None)
+    assert (got["one"].median, got["one"].low, got["one"].high) == (3.0, 3.0, 3.0)
+    for g in set(x) - {"one"}:
+        plain = np.median(rng.choice(x[g], (20000, len(x[g]))), axis=1)
+        assert got[g].n == len(x[g]) and got[g].median == np.median(x[g]) and len(draws[g]) == 2000
+        assert [got[g].low, got[g].high] == list(np.quantile(draws[g], [0.025, 0.975])) or np.allclose([got[g].low, got[g].high], np.quantile(draws[g], [0.025, 0.975]))
+        for v in np.quantile(plain, [0.05, 0.3, 0.6, 0.9]):  # the same distribution, within the error of 2,000 draws
+            assert abs((np.array(draws[g]) <= v).mean() - (plain <= v).mean()) < 0.05
+    pair = spark.createDataFrame([(got["odd"].median, draws["odd"], got["even"].median, draws["even"])], "a double, x array<double>, b double, y array<double>")
+    one = pair.select(*bootstrap.median_difference(F.col("a"), F.col("x"), F.col("b"), F.col("y"))).collect()[0]
+    plain = np.median(rng.choice(x["odd"], (20000, 401)), axis=1) - np.median(rng.choice(x["even"], (20000, 300)), axis=1)
+    assert one[0] == got["odd"].median - got["even"].median and np.allclose(one[1:], np.quantile(plain, [0.025, 0.975]), atol=0.25)
+    assert bootstrap.medians(df.limit(0), ["g"], "x").count() == 0

@@ -134,9 +134,13 @@ def symbol_mentions(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
-    """Bootstrap interval of the mean outcome per horizon and year."""
+    """Bootstrap intervals of the median outcome per horizon and year, and of its difference from the year before."""
     g = _grouped(spark, d).withColumn("year", F.year("date").cast("long"))
-    return bootstrap.poisson_bootstrap_mean(g, ["horizon", "year"], "forward_return", ["symbol", "session_idx", "horizon"])
+    m = bootstrap.medians(g, ["horizon", "year"], "forward_return")
+    before = m.select("horizon", (F.col("year") + 1).alias("year"), F.col("median").alias("before"), F.col("draws").alias("before_draws"))
+    both = m.join(before, ["horizon", "year"], "left")
+    change, low, high = bootstrap.median_difference(F.col("median"), F.col("draws"), F.col("before"), F.col("before_draws"))
+    return bootstrap.median_intervals(both.withColumns({"change": change, "change_low": low, "change_high": high})).select("horizon", "year", "n", "median", "low", "high", "change", "change_low", "change_high")
 
 
 @query(_X + """, r AS (SELECT DISTINCT issuer, owner, part, known_date, code, accession * 10 + line AS id FROM tx WHERE code IN ('P', 'S')),
