@@ -107,3 +107,17 @@ def test_bootstrap_intervals_are_of_medians(spark):
     plain = np.median(rng.choice(x["odd"], (20000, 401)), axis=1) - np.median(rng.choice(x["even"], (20000, 300)), axis=1)
     assert one[0] == got["odd"].median - got["even"].median and np.allclose(one[1:], np.quantile(plain, [0.025, 0.975]), atol=0.25)
     assert bootstrap.medians(df.limit(0), ["g"], "x").count() == 0
+
+
+def test_filings_of_several_owners(spark):
+    r = random.Random(7)
+    sets = {(i, a): set(r.sample("pqrst", r.choice([1, 1, 2, 3]))) for i in "xyz" for a in range(12)}
+    days = {k: day(r.randrange(60)) for k in sets}
+    rows = [(i, a, o, days[i, a]) for (i, a), s in sets.items() for o in s for _ in range(r.choice([1, 2]))]
+    df = spark.createDataFrame(rows, "issuer string, accession int, owner string, tx_date date")
+    got = {(x.issuer, x.accession): x.independent for x in overlap.disjoint_filings(df).collect()}
+    assert got == {(i, a): sum(j == i and b != a and not s & t for (j, b), t in sets.items()) for (i, a), s in sets.items()}
+    got = {(x.issuer, x.accession): x.candidates for x in overlap.including_filings(df).collect()}
+    month = lambda k: days[k].replace(day=1)
+    assert got == {(i, a): sum(j == i and b < a and month((j, b)) == month((i, a)) and t >= s for (j, b), t in sets.items()) for (i, a), s in sets.items()}
+    assert any(len(s) > 1 for s in sets.values()) and max(got.values()) > 0

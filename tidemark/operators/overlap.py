@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -38,3 +38,41 @@ def cluster_triggers(rows: DataFrame, days: int, least: int, strong: int) -> Dat
     windows = members.groupBy("issuer", "session", "anchor", "first").agg(F.count_distinct("owner").alias("owners"))
     best = windows.groupBy("issuer", "session").agg(F.min(F.struct((-F.col("owners")).alias("fewer"), "first", "anchor")).alias("w"))
     return best.select("issuer", "session", (-F.col("w.fewer")).alias("owners"), "w.anchor").filter(F.col("owners") >= least).withColumn("strong", F.col("owners") >= strong)
+
+
+def disjoint_filings(rows: DataFrame) -> DataFrame:
+    """(issuer, accession, independent): how many other filings of the issuer have no owner in common with each.
+
+    rows: issuer, accession, owner. Counted as all filings minus those that share an owner, by distinct sets of owners: sets
+    that meet are found by the owner they share, each pair once, and filings of equal sets are never paired."""
+    sets = rows.groupBy("issuer", "accession").agg(F.array_sort(F.collect_set("owner")).alias("s"))
+    counted = sets.groupBy("issuer", "s").agg(F.count("*").alias("n"))
+    all_ = counted.groupBy("issuer").agg(F.sum("n").alias("all"))
+    by_owner = counted.withColumn("owner", F.explode("s"))
+    other = by_owner.select("issuer", "owner", F.col("s").alias("met"), F.col("n").alias("met_n"))
+    # a pair that shares several owners is kept at the least of them
+    pairs = by_owner.join(other, ["issuer", "owner"]).filter(F.col("owner") == F.array_min(F.array_intersect("s", "met")))
+    meeting = pairs.groupBy("issuer", "s").agg(F.sum("met_n").alias("meeting"))
+    by_set = counted.select("issuer", "s").join(meeting, ["issuer", "s"], "left").join(all_, "issuer")
+    each = by_set.select("issuer", "s", (F.col("all") - F.coalesce("meeting", F.lit(0))).alias("rest"), (F.size("s") == 0).alias("empty"))
+    # a set without owners meets none, not even itself
+    return sets.join(each, ["issuer", "s"]).select("issuer", "accession", (F.col("rest") - F.col("empty").cast("long")).alias("independent"))
+
+
+def including_filings(rows: DataFrame) -> DataFrame:
+    """(issuer, accession, candidates): how many earlier filings of the issuer's month have all owners of each, and others maybe.
+
+    rows: issuer, accession, owner, tx_date. Filings are first reduced to one row per set of owners, with which the few sets
+    of a month are compared; how many earlier filings each set has is a running count, so equal filings are never paired with
+    each other."""
+    o = rows.groupBy("issuer", "accession").agg(F.array_sort(F.collect_set("owner")).alias("s"), F.min("tx_date").alias("day")).withColumn("m", F.date_trunc("month", "day"))
+    sets = o.select("issuer", "m", "s").distinct()
+    wide = sets.select("issuer", "m", F.col("s").alias("outer"))
+    # a set that includes another holds its least owner: joined by that owner, not by the month alone
+    inner = sets.withColumn("owner", F.element_at("s", 1))
+    holds = wide.withColumn("owner", F.explode("outer")).join(inner, ["issuer", "m", "owner"]).filter(F.size(F.array_except("s", "outer")) == 0).select("issuer", "m", "s", "outer")
+    asked = o.join(holds, ["issuer", "m", "s"]).select("issuer", "m", "accession", F.col("outer").alias("s"), F.lit(1).alias("asks"))
+    both = asked.unionByName(o.select("issuer", "m", "accession", "s", F.lit(0).alias("asks")))
+    w = Window.partitionBy("issuer", "m", "s").orderBy("accession").rangeBetween(Window.unboundedPreceding, -1)
+    earlier = both.withColumn("n", F.coalesce(F.sum(F.lit(1) - F.col("asks")).over(w), F.lit(0))).filter("asks = 1")
+    return earlier.groupBy("issuer", "accession").agg(F.sum("n").alias("candidates"))

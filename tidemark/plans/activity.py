@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import windows as Wf
-from ..operators import rolling
+from ..operators import overlap, rolling
 from ..sources.tables import table
 from .adapters import TX_SQL, transactions
 from .registry import Registry
@@ -266,15 +266,8 @@ def accession_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_X + ", d AS (SELECT DISTINCT issuer, owner, accession FROM tx WHERE code = 'P'), s AS (SELECT issuer, accession, list(owner) AS o FROM d GROUP BY ALL) SELECT a.issuer, a.accession, count(b.accession) AS independent FROM s a LEFT JOIN s b ON a.issuer = b.issuer AND a.accession <> b.accession AND NOT list_has_any(a.o, b.o) GROUP BY ALL")
 def independent_filings(spark: SparkSession, d: str) -> DataFrame:
-    """Of each filing, how many others of its issuer share no owner with it.
-
-    Counted as all minus those that share one, by owner: the pairs themselves are never written out. A filing here has
-    one owner; for filings of several, the count by owner would be corrected by inclusion and exclusion."""
-    dist = transactions(spark, d).filter("code = 'P'").select("issuer", "owner", "accession").distinct()
-    one = dist.groupBy("issuer", "accession").agg(F.min("owner").alias("owner"), F.count("*").alias("owners"))
-    every = one.groupBy("issuer").agg(F.count("*").alias("all"))
-    same = one.groupBy("issuer", "owner").agg(F.count("*").alias("same"))
-    return one.join(every, "issuer").join(same, ["issuer", "owner"]).select("issuer", "accession", (F.col("all") - F.col("same")).alias("independent"))
+    """Of each filing, how many others of its issuer share no owner with it."""
+    return overlap.disjoint_filings(transactions(spark, d).filter("code = 'P'"))
 
 
 @query("SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS k FROM events GROUP BY event_type")

@@ -31,21 +31,8 @@ def interval_overlap(spark: SparkSession, d: str) -> DataFrame:
 @query(_X + """, o AS (SELECT issuer, accession, list(DISTINCT owner) AS s, min(tx_date) AS day FROM tx GROUP BY ALL), m AS (SELECT issuer, accession, day, s, date_trunc('month', day) AS m FROM o)
 SELECT a.issuer, a.accession, count(b.accession) AS candidates FROM m a LEFT JOIN m b ON a.issuer = b.issuer AND a.m = b.m AND b.accession < a.accession AND list_has_all(b.s, a.s) GROUP BY ALL""")
 def owner_subset_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Earlier filings of an issuer's month whose owners include all of this one's.
-
-    Filings are first reduced to one row per set of owners, with which the few sets of a month are compared; how many
-    earlier filings each set has is a running count, so equal filings are never paired with each other."""
-    o = transactions(spark, d).groupBy("issuer", "accession").agg(F.array_sort(F.collect_set("owner")).alias("s"), F.min("tx_date").alias("day")).withColumn("m", F.date_trunc("month", "day"))
-    sets = o.select("issuer", "m", "s").distinct()
-    wide = sets.select("issuer", "m", F.col("s").alias("outer"))
-    # a set that includes another holds its least owner: joined by that owner, not by the month alone
-    inner = sets.withColumn("owner", F.element_at("s", 1))
-    holds = wide.withColumn("owner", F.explode("outer")).join(inner, ["issuer", "m", "owner"]).filter(F.size(F.array_except("s", "outer")) == 0).select("issuer", "m", "s", "outer")
-    asked = o.join(holds, ["issuer", "m", "s"]).select("issuer", "m", "accession", F.col("outer").alias("s"), F.lit(1).alias("asks"))
-    both = asked.unionByName(o.select("issuer", "m", "accession", "s", F.lit(0).alias("asks")))
-    w = Window.partitionBy("issuer", "m", "s").orderBy("accession").rangeBetween(Window.unboundedPreceding, -1)
-    earlier = both.withColumn("n", F.coalesce(F.sum(F.lit(1) - F.col("asks")).over(w), F.lit(0))).filter("asks = 1")
-    return earlier.groupBy("issuer", "accession").agg(F.sum("n").alias("candidates"))
+    """Earlier filings of an issuer's month whose owners include all of this one's."""
+    return overlap.including_filings(transactions(spark, d))
 
 
 @query(_X + """, b AS (SELECT DISTINCT issuer, owner, tx_date, known_date FROM tx WHERE code = 'P'), s AS (SELECT DISTINCT issuer, known_date FROM b),
