@@ -121,3 +121,17 @@ def test_filings_of_several_owners(spark):
     month = lambda k: days[k].replace(day=1)
     assert got == {(i, a): sum(j == i and b < a and month((j, b)) == month((i, a)) and t >= s for (j, b), t in sets.items()) for (i, a), s in sets.items()}
     assert any(len(s) > 1 for s in sets.values()) and max(got.values()) > 0
+
+
+def test_outliers_are_looked_for_until_none_is_left(monkeypatch):
+    from tidemark.operators import spikes
+
+    g = np.random.default_rng(2960)
+    n, size = int(g.integers(30, 200)), 0.01
+    x = np.cumsum(g.normal(0, size, n)) + g.normal(0, size, n)
+    k = int(g.integers(5, n // 2))
+    at = g.choice(n, k, False)
+    x[at] += size * 1.2 ** g.uniform(0, 12, k) * g.choice([-1, 1], k)
+    rounds, median = [], spikes.running_median
+    monkeypatch.setattr(spikes, "running_median", lambda y, half: rounds.append(1) or median(y, half))
+    assert spikes.phase_space_outliers(x, 4).sum() > 162 and len(rounds) > 8  # 162 is what eight rounds find

@@ -45,8 +45,9 @@ def _scale(x: np.ndarray) -> float:
     return 1.4826 * float(mad)
 
 
-def phase_space_outliers(x: np.ndarray, half: int, rounds: int = 8) -> np.ndarray:
-    """Mask of the readings outside any of the three robust ellipses, found iteratively."""
+def phase_space_outliers(x: np.ndarray, half: int) -> np.ndarray:
+    """Mask of the readings outside any of the three robust ellipses, drawn anew until nothing new lies out. The mask only
+    grows, so that ends."""
     n = len(x)
     out = np.zeros(n, bool)
     if n < 5:
@@ -54,7 +55,7 @@ def phase_space_outliers(x: np.ndarray, half: int, rounds: int = 8) -> np.ndarra
     radius = np.sqrt(2 * np.log(n))
     y = x.copy()
     at = np.arange(n)
-    for _ in range(rounds):
+    while True:
         u = y - running_median(y, half)
         d1 = np.gradient(u)
         d2 = np.gradient(d1)
