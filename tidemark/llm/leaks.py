@@ -207,6 +207,15 @@ def least_shared(n: Column, share: float) -> Column:
     return F.greatest(F.lit(1), need - PASSAGES * (SHINGLE - 1) - SHINGLE * F.ceil(need / EDIT_EVERY))
 
 
+def _may_reach(need: Column) -> Column:
+    """Position bound: whether the words around a hit suffice. Passages follow each other in item and text alike, so no more
+    recurs before and after the hit than the shorter of the two has there; an item that holds the shingle at several places
+    counts at its best ones. That includes the length bound, as no reach is longer than item or text."""
+    reach = F.least("item_last", "pos") + F.least(F.col("item_words") - F.col("item_pos"), F.col("n_words") - F.col("pos"))
+    # words the text has otherwise: an edit in so many, and no more than one to a stretch as verification counts them
+    return reach + F.greatest(F.ceil(F.col("item_words") / F.lit(EDIT_EVERY)), F.ceil(need / F.lit(SEED + 1))) >= need
+
+
 def leaks(documents: DataFrame, items: DataFrame, share: float = SHARE, broadcast_shingles: int = BROADCAST_SHINGLES) -> DataFrame:
     """(item_id, doc_id, share), distinct: the items of which at least ``share`` recurs in the document.
 
@@ -230,18 +239,13 @@ def leaks(documents: DataFrame, items: DataFrame, share: float = SHARE, broadcas
     found.count()  # several branches of the plan read it; without this each would read the texts
     frequency = hits.groupBy("shingle").agg(F.count("*").alias("frequency"))
     # rarest first; a shingle that no text has is the rarest and costs nothing
-    once = of_items.groupBy("item_id", "item_words", "shingle").agg(F.min("item_pos").alias("item_pos")).join(frequency, "shingle", "left").na.fill(0, ["frequency"])
+    once = of_items.groupBy("item_id", "item_words", "shingle").agg(F.min("item_pos").alias("item_pos"), F.max("item_pos").alias("item_last")).join(frequency, "shingle", "left").na.fill(0, ["frequency"])
     per_item = Window.partitionBy("item_id", "item_words")
     prefix = (
         once.withColumns({"rank": F.row_number().over(per_item.orderBy("frequency", "shingle")), "count": F.count("*").over(per_item)})
         .filter((F.col("frequency") > 0) & (F.col("rank") <= F.col("count") - least_shared(F.col("item_words"), share) + 1))
-        .select("item_id", "item_words", "item_pos", "shingle")
+        .select("item_id", "item_words", "item_pos", "item_last", "shingle")
     )
     need = F.ceil(F.col("item_words") * F.lit(share))
-    # position bound of a single passage: around the hit, item and text must have the words on either side; two passages
-    # can lie anywhere, but their words must fit into the text
-    reach = F.least("item_pos", "pos") + F.least(F.col("item_words") - F.col("item_pos"), F.col("n_words") - F.col("pos"))
-    elsewhere = F.least("item_words", "n_words")
-    slack = F.ceil(F.col("item_words") / F.lit(EDIT_EVERY))
-    pairs = hits.join(prefix, "shingle").filter((reach + slack >= need) | (elsewhere + slack >= need)).select("item_id", F.col("id").alias("doc_id")).distinct()
+    pairs = hits.join(prefix, "shingle").filter(_may_reach(need)).select("item_id", F.col("id").alias("doc_id")).distinct()
     return pairs.join(texts, "doc_id").join(its, "item_id").mapInArrow(partial(_verify, share=share), "item_id long, doc_id long, share double").groupBy("item_id", "doc_id").agg(F.max("share").alias("share"))
