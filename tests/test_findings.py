@@ -144,3 +144,21 @@ def test_position_bound_excludes_what_cannot_reach(spark):
     rows = [("end meets start", 44, 44, 0, 300), ("around", 20, 20, 100, 300), ("also early in the item", 2, 44, 0, 300), ("short text", 10, 10, 3, 9)]
     df = spark.createDataFrame([(n, 50, *x) for n, *x in rows], "name string, item_words int, item_pos int, item_last int, pos int, n_words int")
     assert {x.name for x in df.filter(leaks._may_reach(F.lit(20))).collect()} == {"around", "also early in the item"}
+
+
+def test_positional_join_of_sides_that_differ(spark):
+    schema = "symbol string, pos int, {0} struct<date:date,close:double>"
+    left = spark.createDataFrame([("a", 1, (day(1), 1.0)), ("a", 2, (day(2), 2.0)), ("a", 3, (day(4), 3.0)), ("b", 1, (day(1), 1.0))], schema.format("l"))
+    right = spark.createDataFrame([("a", 1, (day(1), 1.0)), ("a", 2, (day(2), 2.5)), ("a", 3, (day(3), 3.0)), ("a", 4, (day(4), 3.0)), ("b", 1, (day(1), 1.0))], schema.format("r"))
+    got = {x.symbol: (x.rows, x.other_day, x.other_close, x.alone) for x in overlap.positional(left, right).collect()}
+    assert got == {"a": (4, 1, 1, 1), "b": (1, 0, 0, 0)}
+
+
+def test_user_snapshots_have_a_row_per_user(spark, tmp_path):
+    from tidemark.plans.identity import user_changes
+
+    early, late = dt.datetime(2024, 1, 2), dt.datetime(2024, 1, 20)
+    rows = [(u, early, u, "view") for u in range(1200)] + [(2000 + u, late, u, "view") for u in range(0, 1200, 2)] + [(5000, late, 1500, "view"), (5001, early, 1600, "click")]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    got = {x.user_id: x.change for x in user_changes(spark, str(tmp_path)).collect()}
+    assert got == {**{u: "CHANGED" for u in range(0, 1200, 2)}, 1500: "ADDED", 1600: "REMOVED"}

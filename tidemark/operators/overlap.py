@@ -76,3 +76,10 @@ def including_filings(rows: DataFrame) -> DataFrame:
     w = Window.partitionBy("issuer", "m", "s").orderBy("accession").rangeBetween(Window.unboundedPreceding, -1)
     earlier = both.withColumn("n", F.coalesce(F.sum(F.lit(1) - F.col("asks")).over(w), F.lit(0))).filter("asks = 1")
     return earlier.groupBy("issuer", "accession").agg(F.sum("n").alias("candidates"))
+
+
+def positional(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(symbol, rows, other_day, other_close, alone) of two sides matched by symbol and pos; l and r: structs of date, close."""
+    both = left.join(right, ["symbol", "pos"], "full")
+    alone, same_day = F.col("l").isNull() | F.col("r").isNull(), F.col("l.date") == F.col("r.date")
+    return both.groupBy("symbol").agg(F.count("*").alias("rows"), F.count_if(~same_day).alias("other_day"), F.count_if(same_day & ~F.col("l.close").eqNullSafe(F.col("r.close"))).alias("other_close"), F.count_if(alone).alias("alone"))

@@ -152,6 +152,15 @@ def snapshot_changes(spark: SparkSession, d: str) -> DataFrame:
     return C.changes(a, b, ["k"], ["id"])
 
 
+@query("WITH a AS (SELECT user_id, max(event_id) AS id FROM events WHERE user_id IS NOT NULL AND ts < TIMESTAMP '2024-01-16' GROUP BY ALL), b AS (SELECT user_id, max(event_id) AS id FROM events WHERE user_id IS NOT NULL AND event_type <> 'click' GROUP BY ALL) SELECT user_id, CASE WHEN a.id IS NULL THEN 'ADDED' WHEN b.id IS NULL THEN 'REMOVED' ELSE 'CHANGED' END AS change FROM a FULL JOIN b USING (user_id) WHERE a.id IS DISTINCT FROM b.id")
+def user_changes(spark: SparkSession, d: str) -> DataFrame:
+    """What changed between two snapshots of every user's last event."""
+    e = table(spark, d, "events").filter("user_id is not null")
+    a = e.filter("ts < timestamp_ntz'2024-01-16'").groupBy("user_id").agg(F.max("event_id").alias("id"))
+    b = e.filter("event_type <> 'click'").groupBy("user_id").agg(F.max("event_id").alias("id"))
+    return C.changes(a, b, ["user_id"], ["id"])
+
+
 @query("""WITH r AS (SELECT count(*) FILTER (NOT coalesce(high >= low, false)) AS a, count(*) FILTER (NOT coalesce(close > 0, false)) AS b, count(*) FILTER (NOT coalesce(volume >= 0, false)) AS c, count(*) FILTER (NOT coalesce(close BETWEEN low AND high, false)) AS d FROM daily_bars)
 SELECT unnest(['high_low', 'close_positive', 'volume_not_negative', 'close_in_range']) AS rule, unnest([a, b, c, d]) AS rows FROM r""")
 def bar_constraints(spark: SparkSession, d: str) -> DataFrame:

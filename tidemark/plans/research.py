@@ -187,3 +187,17 @@ def positional_join(spark: SparkSession, d: str) -> DataFrame:
     c = transactions(spark, d).withColumn("pos", F.row_number().over(Window.partitionBy("accession").orderBy(*order)))
     other = c.select("accession", "pos", F.col("issuer").alias("other"))
     return c.join(other, ["accession", "pos"]).groupBy("accession").agg(F.count("*").alias("rows"), F.count_if(F.col("issuer") != F.col("other")).alias("mismatches"))
+
+
+@query("""WITH b AS (SELECT provider, upper(trim(symbol)) AS symbol, date, max(close) AS close FROM daily_bars WHERE symbol IS NOT NULL AND date IS NOT NULL AND provider IS NOT NULL GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (PARTITION BY provider, symbol ORDER BY date) AS pos FROM b), s AS (SELECT symbol, min(provider) AS one, max(provider) AS two FROM b GROUP BY symbol),
+l AS (SELECT n.* FROM n JOIN s ON s.symbol = n.symbol AND s.one = n.provider AND s.one < s.two), r AS (SELECT n.* FROM n JOIN s ON s.symbol = n.symbol AND s.two = n.provider AND s.one < s.two)
+SELECT coalesce(l.symbol, r.symbol) AS symbol, count(*) AS rows, count(*) FILTER (l.date <> r.date) AS other_day, count(*) FILTER (l.date = r.date AND l.close IS DISTINCT FROM r.close) AS other_close, count(*) FILTER (r.pos IS NULL OR l.pos IS NULL) AS alone FROM l FULL JOIN r ON l.symbol = r.symbol AND l.pos = r.pos GROUP BY ALL""")
+def positional_bars(spark: SparkSession, d: str) -> DataFrame:
+    """Bars of a symbol's first and last provider matched by position, and how many then differ in day or close, or have no
+    partner: what holds the identity of the two sides has none of these."""
+    named = table(spark, d, "daily_bars").select("provider", N.symbol(F.col("symbol")).alias("symbol"), "date", "close").filter("symbol is not null and date is not null and provider is not null")
+    b = named.groupBy("provider", "symbol", "date").agg(F.max("close").alias("close")).withColumn("pos", F.row_number().over(Window.partitionBy("provider", "symbol").orderBy("date")))
+    two = named.groupBy("symbol").agg(F.min("provider").alias("one"), F.max("provider").alias("two")).filter("one < two")
+    side = lambda p, c: b.join(two.select("symbol", F.col(p).alias("provider")), ["symbol", "provider"]).select("symbol", "pos", F.struct("date", "close").alias(c))
+    return overlap.positional(side("one", "l"), side("two", "r"))
