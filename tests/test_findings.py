@@ -137,15 +137,6 @@ def test_outliers_are_looked_for_until_none_is_left(monkeypatch):
     assert spikes.phase_space_outliers(x, 4).sum() > 162 and len(rounds) > 8  # 162 is what eight rounds find
 
 
-def test_position_bound_excludes_what_cannot_reach(spark):
-    from tidemark.llm import leaks
-
-    # item of 50 words, 20 needed: a hit at the item's end and the text's start leaves too few, though the text is long
-    rows = [("end meets start", 44, 44, 0, 300), ("around", 20, 20, 100, 300), ("also early in the item", 2, 44, 0, 300), ("short text", 10, 10, 3, 9)]
-    df = spark.createDataFrame([(n, 50, *x) for n, *x in rows], "name string, item_words int, item_pos int, item_last int, pos int, n_words int")
-    assert {x.name for x in df.filter(leaks._may_reach(F.lit(20))).collect()} == {"around", "also early in the item"}
-
-
 def test_positional_join_of_sides_that_differ(spark):
     schema = "symbol string, pos int, {0} struct<date:date,close:double>"
     left = spark.createDataFrame([("a", 1, (day(1), 1.0)), ("a", 2, (day(2), 2.0)), ("a", 3, (day(4), 3.0)), ("b", 1, (day(1), 1.0))], schema.format("l"))
