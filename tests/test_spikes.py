@@ -64,3 +64,32 @@ def test_order_repeats_nulls_and_short_series(spark):
     shuffled = found(spark, [*reversed(rows), *rows[:80], *odd])
     assert shuffled == once | {("v", rows[0][2], "close", "impossible")}
     assert found(spark, []) == set()
+
+
+def walk(sigma, n=300, seed=3):
+    r = np.random.default_rng(seed)
+    return np.cumsum(r.normal(0, sigma, n)) + 4
+
+
+def test_the_ellipsoid_decides(monkeypatch):
+    """One and the same jump that is taken back is a spike where the series is quiet and none where it is wild."""
+    flagged = {}
+    for sigma in (0.004, 0.08):
+        x = walk(sigma)
+        x[150] += 0.25
+        flagged[sigma] = spikes.taken_back(x, 4)
+    assert flagged[0.004].nonzero()[0].tolist() == [150] and not flagged[0.08].any()
+    x = walk(0.004)
+    x[150] += 0.25
+    ellipsoid = spikes.phase_space_outliers
+    for everything in (True, False):  # with all readings outside, or none, no spike stands out
+        monkeypatch.setattr(spikes, "phase_space_outliers", lambda *a: (np.full(len(a[0]), everything), ellipsoid(*a)[1]))
+        assert not spikes.taken_back(x, 4).any()
+
+
+def test_neighbours_of_a_spike_go_back_in():
+    x = walk(0.01)
+    x[100:102] += 0.5
+    x[200] -= 0.4
+    mask, _ = spikes.phase_space_outliers(x, 4, spikes.PRICE_WIDTH, spikes.PRICE_FLOOR)
+    assert mask.nonzero()[0].tolist() == [100, 101, 200]

@@ -1,11 +1,11 @@
 """Implausible readings in measurement series, told from each source's own behaviour.
 
-Phase-space thresholding: of the log readings, freed of their local level, and their first and second differences, each
-pair spans a plane in which normal readings fill an ellipse; its axes come from medians, its radius from the number of
-readings. What lies outside is replaced from its neighbours and the ellipses are drawn anew, until nothing new lies out.
-Points found that way become spikes if the series takes them back within a few readings and they stand out by a multiple
-of its usual step. Runs of zero difference and bounds catch the other faults, and steps that last are looked up to see
-whether they bear out a stated split."""
+Phase-space thresholding: the log readings, freed of their local level, and their first and second differences span a
+space in which normal readings fill an ellipsoid; its axes come from medians, its size from the number of readings. What
+lies outside farthest of its neighbourhood is replaced from the readings around it and the ellipsoid is drawn anew, until
+nothing new lies out; what then fits the cleaned series was only a neighbour of a fault and goes back in. Outliers become
+spikes if the series takes them back within a few readings. Runs of zero difference and bounds catch the other faults,
+and steps that last are looked up to see whether they bear out a stated split."""
 
 from __future__ import annotations
 
@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 
 #: Readings of a spike at most.
 BACK_WITHIN = 3
-#: A spike's least height over both neighbours, in usual steps of the series and in logs.
-REACH, FLOOR = 6.0, 0.08
-#: Least log of a volume over its local level: two dozen times.
-VOLUME_FLOOR = float(np.log(24.0))
+#: How far beyond the extremes of normal noise the ellipsoid reaches: log prices have long tails, log volumes don't.
+PRICE_WIDTH, VOLUME_WIDTH = 1.7, 1.0
+#: Least half-axis of the ellipsoid, in logs: for prices, and for volumes two dozen times the local level.
+PRICE_FLOOR, VOLUME_FLOOR = 0.08, float(np.log(24.0))
 #: Shares that no day can trade.
 VOLUME_BOUND = 1e12
 #: Readings of one value that are a standstill.
@@ -37,74 +37,51 @@ def running_median(x: np.ndarray, half: int) -> np.ndarray:
 
 
 def _scale(x: np.ndarray) -> float:
-    """Median deviation as a normal sigma; of mostly equal values that of the others."""
-    mad = np.median(np.abs(x))
-    if mad == 0:
-        rest = np.abs(x[x != 0])
-        mad = np.median(rest) if len(rest) else 0.0
-    return 1.4826 * float(mad)
+    """Median deviation as a normal sigma, of the readings that deviate at all: a series at rest on most days isn't judged
+    by its rest."""
+    a = np.abs(x)
+    a = a[a > 1e-12]
+    return 1.4826 * float(np.partition(a, len(a) // 2)[len(a) // 2]) if len(a) else 0.0
 
 
-def phase_space_outliers(x: np.ndarray, half: int) -> np.ndarray:
-    """Mask of the readings outside any of the three robust ellipses, drawn anew until nothing new lies out. The mask only
-    grows, so that ends."""
+def phase_space_outliers(x: np.ndarray, half: int, width: float, floor: float) -> tuple[np.ndarray, float]:
+    """(mask of the readings outside the ellipsoid, its half-axis along single steps), drawn anew until nothing new lies
+    out. The mask only grows meanwhile, so that ends. ``floor``: least half-axis along values."""
     n = len(x)
     out = np.zeros(n, bool)
     if n < 5:
-        return np.ones(n, bool) if n > 2 else out
-    radius = np.sqrt(2 * np.log(n))
-    y = x.copy()
-    at = np.arange(n)
+        return out, np.inf
+    radius = width * np.sqrt(2 * np.log(n))
+    at, y = np.arange(n), x
     while True:
         u = y - running_median(y, half)
         d1 = np.gradient(u)
         d2 = np.gradient(d1)
-        su, s1, s2 = _scale(u), _scale(d1), _scale(d2)
-        if min(su, s1, s2) == 0:
-            new = (np.abs(u) > 0) & ~out if su == 0 else np.zeros(n, bool)
-        else:
-            theta = np.arctan(np.dot(u, d2) / np.dot(u, u))
-            c, s = np.cos(theta), np.sin(theta)
-            a, b = c * u + s * d2, c * d2 - s * u
-            sa, sb = max(_scale(a), 1e-12), max(_scale(b), 1e-12)
-            r = np.maximum.reduce([(u / su) ** 2 + (d1 / s1) ** 2, (d1 / s1) ** 2 + (d2 / s2) ** 2, (a / sa) ** 2 + (b / sb) ** 2])
-            new = (r > radius**2) & ~out
-        if not new.any():
-            break
-        out |= new
-        if out.all():
+        power = np.dot(u, u)
+        theta = np.arctan(np.dot(u, d2) / power) if power > 0 else 0.0
+        c, s = np.cos(theta), np.sin(theta)
+        # of white noise the central differences have these parts of its deviation
+        parts = ((u, 1.0), (d1, 0.5**0.5), (d2, 0.5), (c * u + s * d2, 1.0), (c * d2 - s * u, 0.5))
+        axes = [max(radius * _scale(v), floor * part, 1e-12) for v, part in parts]
+        q0, q1, q2, qa, qb = ((v / axis) ** 2 for (v, _), axis in zip(parts, axes))
+        r = np.where(out, 0.0, np.nan_to_num(np.maximum(np.maximum(q0 + q1, q1 + q2), qa + qb)))
+        new = r > 1
+        if not new.any() or n - out.sum() < 3:
             break
+        near = np.lib.stride_tricks.sliding_window_view(np.pad(r, BACK_WITHIN), 2 * BACK_WITHIN + 1).max(axis=1)
+        out |= new & (r >= near)
         y = np.where(out, np.interp(at, at[~out], x[~out]), x)
-    return out
+    return out & (np.abs(x - y + u) > axes[0]), max(radius * _scale(np.diff(y)), floor)
 
 
 def taken_back(x: np.ndarray, half: int) -> np.ndarray:
-    """Runs of up to BACK_WITHIN readings, a phase-space outlier among them, that stand out over both neighbours on one side.
-
-    The ellipses are drawn only where some run stands out: elsewhere nothing they flag could be confirmed."""
-    n = len(x)
-    out = np.zeros(n, bool)
-    steps = np.abs(np.diff(x))
-    usual = _scale(steps[steps > 0]) if (steps > 0).any() else 0.0
-    least = max(REACH * usual, FLOOR)
-    if n < 3 or steps.max() < least:
-        return out
-    candidate = None
-    for length in range(1, BACK_WITHIN + 1):
-        m = n - length - 1
-        if m < 1:
-            break
-        window = np.lib.stride_tricks.sliding_window_view(x[1:-1], length)
-        before, after = x[:m], x[length + 1 :]
-        up = window.min(axis=1) - np.maximum(before, after)
-        down = np.minimum(before, after) - window.max(axis=1)
-        hit = np.maximum(up, down) >= least
-        if not hit.any():
-            continue
-        candidate = phase_space_outliers(x, half) if candidate is None else candidate
-        hit &= np.lib.stride_tricks.sliding_window_view(candidate[1:-1], length).any(axis=1)
-        for i in np.flatnonzero(hit):
-            out[i + 1 : i + 1 + length] = True
+    """Runs of up to BACK_WITHIN outliers which the series enters and leaves by steps, to one side, beyond the ellipsoid."""
+    out = np.zeros(len(x), bool)
+    mask, step = phase_space_outliers(x, half, PRICE_WIDTH, PRICE_FLOOR)
+    for a, b in _runs(mask):
+        if b - a <= BACK_WITHIN and 0 < a and b < len(x):
+            run, before, after = x[a:b], x[a - 1], x[b]
+            out[a:b] = max(run.min() - max(before, after), min(before, after) - run.max()) >= step
     return out
 
 
@@ -168,11 +145,11 @@ def _series_faults(c: dict[str, np.ndarray]) -> list[tuple[np.ndarray, str, str]
         at = np.flatnonzero((volume > 0) & (volume < VOLUME_BOUND))
         if len(at) > 2:
             x = np.log(volume[at])
-            high = x - running_median(x, 10) >= VOLUME_FLOOR
-            if high.any():
-                for a, b in _runs(high & phase_space_outliers(x, 10)):
-                    if b - a <= BACK_WITHIN:
-                        add(at[a:b], "volume", "spike")
+            mask, _ = phase_space_outliers(x, 10, VOLUME_WIDTH, VOLUME_FLOOR)
+            for a, b in _runs(mask):
+                # volume differs from day to day by itself, so a run is taken back when it ends
+                if b - a <= BACK_WITHIN and x[a:b].min() > np.median(x[max(0, a - 10) : b + 10]):
+                    add(at[a:b], "volume", "spike")
         for field, values in (("close", close), ("adj_close", adj), ("volume", volume)):
             at = np.flatnonzero(~np.isnan(values))
             add(at[standstill(values[at], trading[at])], field, "standstill")
