@@ -122,6 +122,10 @@ def test_differential_stream_state(spark, tmp_path):
         totals.apply(spark.createDataFrame(rows, schema), i)
     totals.apply(spark.createDataFrame(batches[2], schema), 2)  # delivered again
     assert {(x.period, x.filings) for x in totals.totals().collect()} == {("2024-01", 2), ("2024-02", 0)}
-    assert [x.key for x in totals.beyond_cut_off(2).collect()] == ["c"]
+    assert [x.key for x in totals.beyond_cut_off().collect()] == ["c"]
+    totals.apply(spark.createDataFrame([], schema), 3)
+    totals.apply(spark.createDataFrame([("c", dt.date(2024, 5, 20), t, dt.datetime(2024, 5, 25), 5), ("d", None, None, None, 6)], schema), 4)  # c was seen in time for another month
+    assert {(x.period, x.filings) for x in totals.totals().collect()} == {("2024-01", 2), ("2024-02", 0), ("2024-05", 1)}
+    assert totals.beyond_cut_off().collect() == []
     once = late_ops.totals(late_ops.deltas(late_ops.versions(late_ops.facts(spark.createDataFrame([r for b in batches for r in b], schema)))))
     assert {(x.period, x.filings) for x in once.collect()} == {("2024-01", 2), ("2024-02", 0)}

@@ -8,7 +8,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import asof, dedup, fold, history, late, rolling
-from tidemark.operators.skew import salt_plan
 
 T0 = dt.datetime(2024, 1, 1)
 EVENTS = "event_id string, entity string, t timestamp_ntz"
@@ -54,14 +53,38 @@ def test_asof_empty_sides(spark):
     assert [x.interval_id for x in asof.asof_attributes(some, nothing).collect()] == [None]
 
 
-def test_hot_keys_are_spread(spark):
-    rows = spark.range(1000).select(F.when(F.col("id") < 400, "hot").otherwise(F.concat(F.lit("k"), F.col("id"))).alias("k"), "id")
-    plan = salt_plan(rows, "k", 100)
-    assert plan.buckets == 10 and list(plan.salts) == ["hot"]
-    used = rows.filter("k = 'hot'").select(plan.bucket(F.col("k"), F.col("id")).alias("b")).distinct().count()
-    assert used > 1
-    reach = {b for r in rows.filter("k = 'hot'").limit(1).select(plan.copies(F.col("k")).alias("c")).collect() for b in r.c}
-    assert used <= len(reach)
+def test_asof_hot_entity_and_hot_event(spark):
+    """An entity with most rows goes through many buckets, and so do copies of one event; each event comes out once."""
+    events = spark.range(3000).select(
+        F.when(F.col("id") < 1200, F.lit("same")).otherwise(F.col("id").cast("string")).alias("event_id"), F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.lit("hot")).alias("entity"),
+        F.when(F.col("id") < 1200, F.lit(T0)).otherwise(F.timestamp_add("HOUR", F.col("id") % 50, F.lit(T0))).cast("timestamp_ntz").alias("t"),
+    )
+    intervals = spark.createDataFrame([("hot", 1, None, dt.date(2024, 1, 2), None, ""), ("hot", 2, dt.date(2024, 1, 2), None, None, "")], INTERVALS)
+    for ways in (1, 5):
+        got = asof.asof_attributes(events, intervals, 100, ways)
+        assert got.count() == 1802 and got.distinct().count() == 1802
+        counts = {x.interval_id: x["count"] for x in got.groupBy("interval_id").count().collect()}
+        want = {1: 0, 2: 0, None: 0}
+        for e, entity, t in {(x.event_id, x.entity, x.t) for x in events.collect()}:
+            want[None if entity is None else 1 if t < T0 + dt.timedelta(1) else 2] += 1
+        assert counts == want
+
+
+def test_asof_reads_events_once(spark, tmp_path):
+    spark.createDataFrame([("e", "a", T0)], EVENTS).write.parquet(str(tmp_path / "e"))
+    plan = asof.asof_attributes(spark.read.parquet(str(tmp_path / "e")), spark.createDataFrame([], INTERVALS))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+
+
+def test_late_lists_and_totals_come_from_deltas(spark):
+    """A key that moves from one late month to another is retracted from the first list; without its deltas it is in none."""
+    rows = [("k", dt.date(2023, 1, 5), T0, T0, 1)]
+    later = [("k", None, dt.datetime(2022, 5, 1), dt.datetime(2023, 12, 1), 2)]
+    v = late.versions(late.facts(spark.createDataFrame(rows + later, "key string, stated_day date, accepted_at timestamp_ntz, arrived_at timestamp_ntz, record_id long")))
+    d = late.deltas(v)
+    assert [(x.period, x.delta) for x in d.filter("late").orderBy("version", "delta").collect()] == [("2022-05", 1), ("2022-05", -1), ("2023-01", 1)]
+    assert [(x.period, x.key) for x in late.beyond_cut_off(d).collect()] == [("2023-01", "k")]
+    assert late.beyond_cut_off(d.filter("delta > 0")).count() == 2 and late.beyond_cut_off(d.limit(0)).count() == 0
 
 
 RECORDS = "key string, stated_day date, accepted_at timestamp_ntz, arrived_at timestamp_ntz, record_id long"
@@ -74,7 +97,7 @@ def test_late_events(spark):
         ("moves", d, dt.datetime(2024, 2, 3), dt.datetime(2024, 2, 9), 4), ("no day", None, None, T0, 5), ("no arrival", d, T0, None, 6), (None, d, T0, T0, 7),
     ]
     v = late.versions(late.facts(spark.createDataFrame(rows + rows[:3], RECORDS)))
-    assert {(x.period, x.key) for x in late.beyond_cut_off(v).collect()} == {("2024-01", "late")}
+    assert {(x.period, x.key) for x in late.beyond_cut_off(late.deltas(v)).collect()} == {("2024-01", "late")}
     moves = late.deltas(v).filter("key = 'moves'").orderBy("version", "delta").collect()
     assert [(x.version, x.period, x.delta) for x in moves] == [(1, "2024-02", 1), (2, "2024-02", -1), (2, "2024-01", 1)]
     assert {(x.period, x.filings, x.added, x.retracted) for x in late.totals(late.deltas(v)).collect()} == {("2024-01", 3, 3, 0), ("2024-02", 0, 1, 1)}
@@ -82,7 +105,7 @@ def test_late_events(spark):
 
 def test_late_empty(spark):
     v = late.versions(late.facts(spark.createDataFrame([], RECORDS)))
-    assert late.totals(late.deltas(v)).count() == 0 and late.beyond_cut_off(v).count() == 0
+    assert late.totals(late.deltas(v)).count() == 0 and late.beyond_cut_off(late.deltas(v)).count() == 0
 
 
 MESSAGES = "id long, key string, at long, count string"

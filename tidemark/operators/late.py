@@ -1,9 +1,10 @@
 """Late and out-of-order events: totals per period, corrected by retraction as records arrive.
 
-Each key (a filing) has a state that new records may change: when it was first seen, and the day it counts for. Every
-change is a new version of the key's state; where the version's period differs from the one before, the operator emits
--1 for the old period and +1 for the new. Totals are sums of such deltas and are never recomputed. A key whose first
-record arrives at or after its period's cut-off counts nowhere and is listed."""
+Each key (a filing) has a state that new records may change: when it was first seen, and the day it counts for. A key
+whose first record arrives at or after its period's cut-off is late there, else it counts. Every change is a new version
+of the key's state; where a version puts the key elsewhere than the one before, the operator emits -1 for the old place
+and +1 for the new. Both results are integrals of that stream of deltas and are never recomputed: the totals sum what
+counts, the list of late keys holds those whose late deltas sum to one."""
 
 from __future__ import annotations
 
@@ -46,28 +47,32 @@ def versions(fact_rows: DataFrame, lateness_days: int = LATENESS_DAYS) -> DataFr
     )
 
 
+def place(period: Column, late: Column) -> Column:
+    """Where a key is counted: its period and on which side of the cut-off; null for a key without period."""
+    return F.when(period.isNotNull(), F.struct(period.alias("period"), late.alias("late")))
+
+
+def retractions(changes: DataFrame, keep: list[str]) -> DataFrame:
+    """(*keep, period, late, delta) of rows with two places ``was`` and ``now``: -1 where a key was, +1 where it is now,
+    nothing where it stays. Batches and streams emit their deltas through this."""
+    both = F.array(F.struct(F.col("was").alias("place"), F.lit(-1).alias("delta")), F.struct(F.col("now").alias("place"), F.lit(1).alias("delta")))
+    moved = changes.filter(~F.col("was").eqNullSafe(F.col("now"))).select(*keep, F.explode(both).alias("d"))
+    return moved.filter("d.place is not null").select(*keep, "d.place.period", "d.place.late", "d.delta")
+
+
 def deltas(version_rows: DataFrame) -> DataFrame:
-    """(key, version, at, period, delta): -1 takes the key out of the old period, +1 puts it into the new one."""
-    counted = F.when(~F.col("late"), F.col("period"))
-    was = F.lag("counted").over(Window.partitionBy("key").orderBy("version"))
-    both = F.array(F.struct(F.col("was").alias("period"), F.lit(-1).alias("delta")), F.struct(F.col("counted").alias("period"), F.lit(1).alias("delta")))
-    return (
-        version_rows.withColumn("counted", counted)
-        .withColumn("was", was)
-        .filter(~F.col("was").eqNullSafe(F.col("counted")))
-        .select("key", "version", "at", F.explode(both).alias("d"))
-        .select("key", "version", "at", "d.period", "d.delta")
-        .filter("period is not null")
-    )
+    """(key, version, at, period, late, delta): what each version of a key's state retracts and adds."""
+    was = F.lag("now").over(Window.partitionBy("key").orderBy("version"))
+    return retractions(version_rows.withColumn("now", place(F.col("period"), F.col("late"))).withColumn("was", was), ["key", "version", "at"])
 
 
 def totals(delta_rows: DataFrame) -> DataFrame:
-    """(period, filings, added, retracted)."""
-    return delta_rows.groupBy("period").agg(
-        F.sum("delta").cast("long").alias("filings"), F.sum(F.when(F.col("delta") > 0, 1).otherwise(0)).cast("long").alias("added"), F.sum(F.when(F.col("delta") < 0, 1).otherwise(0)).cast("long").alias("retracted")
-    )
+    """(period, filings, added, retracted) of what counts."""
+    up, down = F.when(F.col("delta") > 0, 1).otherwise(0), F.when(F.col("delta") < 0, 1).otherwise(0)
+    sums = {"filings": F.sum("delta"), "added": F.sum(up), "retracted": F.sum(down)}
+    return delta_rows.filter("not late").groupBy("period").agg(*[c.cast("long").alias(n) for n, c in sums.items()])
 
 
-def beyond_cut_off(version_rows: DataFrame) -> DataFrame:
-    """(period, key) of every key whose latest state is late."""
-    return version_rows.filter("last and late").select("period", "key")
+def beyond_cut_off(delta_rows: DataFrame) -> DataFrame:
+    """(period, key) of every key that is late: its late deltas for the period sum to one."""
+    return delta_rows.filter("late").groupBy("key", "period").agg(F.sum("delta").alias("n")).filter("n > 0").select("period", "key")

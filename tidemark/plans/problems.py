@@ -63,21 +63,21 @@ def _filings(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _versions(spark: SparkSession, d: str) -> DataFrame:
-    return late.versions(late.facts(_filings(spark, d)))
+def _deltas(spark: SparkSession, d: str) -> DataFrame:
+    return late.deltas(late.versions(late.facts(_filings(spark, d))))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return late.beyond_cut_off(_versions(spark, d)).select("period", F.col("key").alias("accession_number"))
+    return late.beyond_cut_off(_deltas(spark, d)).select("period", F.col("key").alias("accession_number"))
 
 
 def p2_totals(spark: SparkSession, d: str) -> DataFrame:
-    return late.totals(late.deltas(_versions(spark, d)))
+    return late.totals(_deltas(spark, d))
 
 
 def p2_deltas(spark: SparkSession, d: str) -> DataFrame:
     """Every retraction and addition, in the order in which the totals change."""
-    return late.deltas(_versions(spark, d)).select(F.col("key").alias("accession_number"), F.col("version").cast("long").alias("version"), "at", "period", F.col("delta").cast("long").alias("delta"))
+    return _deltas(spark, d).filter("not late").select(F.col("key").alias("accession_number"), F.col("version").cast("long").alias("version"), "at", "period", F.col("delta").cast("long").alias("delta"))
 
 
 _FILINGS_SQL = r"""

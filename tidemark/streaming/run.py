@@ -6,6 +6,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..session import checkpoint_dir
 
@@ -27,11 +29,12 @@ def _on_cluster(spark: SparkSession) -> bool:
     return not spark.sparkContext.master.startswith("local[")
 
 
-def to_table(stream: DataFrame, mode: str) -> DataFrame:
+def to_table(stream: DataFrame, mode: str, key: list[str] | None = None) -> DataFrame:
     """Runs the stream over all that is there and reads back what it wrote.
 
-    complete mode: the last batch's state; append: all batches. Each batch owns a folder and overwrites it when it is run
-    again, so a lost driver or executor leaves no double rows."""
+    append: all batches; update: of each ``key`` the row of the last batch that has it, so state that the watermark has
+    closed can be dropped; complete: the last batch. Each batch owns a folder and overwrites it when it is run again, so a
+    lost driver or executor leaves no double rows."""
     spark = stream.sparkSession
     folder = shared_folder(spark)
 
@@ -40,4 +43,9 @@ def to_table(stream: DataFrame, mode: str) -> DataFrame:
 
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(write).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out/batch=*")
+    if mode != "update":
+        return spark.read.schema(stream.schema).parquet(f"{folder}/out/batch=*")
+    schema = StructType([*stream.schema.fields, StructField("batch", LongType())])
+    rest = [c for c in stream.columns if c not in key]
+    rows = spark.read.schema(schema).parquet(f"{folder}/out")
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*key, "r.*")
