@@ -29,9 +29,15 @@ def p10_segments(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", F.explode("segments").alias("s")).select("doc_id", "s.segment", "s.lang", "s.confidence", "s.sentences")
 
 
+def p10_languages(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's languages with their proportions, as the mixture gives them."""
+    found = langid.segments(spread_table(spark, d, "documents"), table(spark, d, "lang_samples"))
+    return found.select("doc_id", F.explode("languages").alias("l")).select("doc_id", "l.lang", "l.share")
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return langid.mislabelled(langid.segments(spread_table(spark, d, "documents"), table(spark, d, "lang_samples")))
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p9_found, p9_items, p10_found, p10_segments)}
+QUERIES = {f.__name__: f for f in (p8_ids, p9_found, p9_items, p10_found, p10_segments, p10_languages)}
 SQL: dict[str, str] = {}
