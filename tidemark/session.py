@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -23,12 +24,15 @@ def local_session(app: str = "tidemark", cpus: int | None = None, partitions: in
     )
 
 
-def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; ``fallback`` is set only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if fallback is None:
-        raise ValueError("spark.checkpoint.dir is not set and no fallback was given")
-    spark.sparkContext.setCheckpointDir(fallback)
-    return fallback
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder all executors share, from spark.checkpoint.dir; checkpoints go there, too. Where the session names none,
+    which is right in local mode only, a temporary one becomes the session's."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named is None:
+        if not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set")
+        named = tempfile.mkdtemp()
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(named)
+    return named

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,11 +21,7 @@ def file_stream(spark: SparkSession, folder: str, name: str, files_per_batch: in
 
 
 def shared_folder(spark: SparkSession) -> str:
-    return f"{checkpoint_dir(spark, fallback=None if _on_cluster(spark) else tempfile.mkdtemp())}/streams/{uuid.uuid4().hex}"
-
-
-def _on_cluster(spark: SparkSession) -> bool:
-    return not spark.sparkContext.master.startswith("local[")
+    return f"{checkpoint_dir(spark)}/streams/{uuid.uuid4().hex}"
 
 
 def to_table(stream: DataFrame, mode: str, key: list[str] | None = None) -> DataFrame:
