@@ -1,6 +1,6 @@
 import random
-from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from tidemark.llm import leaks
@@ -54,21 +54,16 @@ def frames(spark, items, docs):
     return spark.createDataFrame([(d, t, 0.0) for d, t in docs.items()], DOCS), spark.createDataFrame([(i, " ".join(w), 0) for i, w in items.items()], ITEMS)
 
 
-@pytest.mark.parametrize("broadcast", [1_000_000, 10])
-def test_finds_planted_and_nothing_else(spark, corpus, broadcast):
+@pytest.mark.parametrize("a_pass", [1_000_000, 1000])
+def test_finds_planted_and_nothing_else(spark, corpus, a_pass):
     items, docs, truth = corpus
-    got = {(x.item_id, x.doc_id) for x in leaks.leaks(*frames(spark, items, docs), broadcast_shingles=broadcast).collect()}
+    got = {(x.item_id, x.doc_id) for x in leaks.leaks(*frames(spark, items, docs), shingles_a_pass=a_pass).collect()}
     assert got == truth
 
 
 def test_like_verifying_every_pair(spark, corpus):
     items, docs, _ = corpus
-    want = set()
-    for i, w in items.items():
-        index = defaultdict(list)
-        for p in range(len(w) - leaks.SEED + 1):
-            index[tuple(w[p : p + leaks.SEED])].append(p)
-        want |= {(i, d) for d, t in docs.items() if leaks.recurring(w, index, words(t)) / len(w) >= leaks.SHARE}
+    want = {(i, d) for i, w in items.items() for d, t in docs.items() if leaks.recurring(w, leaks.seeds(w), [(0, words(t))]) / len(w) >= leaks.SHARE}
     assert {(x.item_id, x.doc_id) for x in leaks.leaks(*frames(spark, items, docs)).collect()} == want
 
 
@@ -86,3 +81,51 @@ def test_nulls_empties_repeats_and_long_texts(spark, corpus):
 def test_words():
     assert words("Ｆｕｌｌ ﬁnal­ Café <b>x</b>&nbsp;y—z 日本") == ["full", "final", "cafe", "x", "y", "z", "日", "本"]
     assert words(None) == words("") == words(" \n") == []
+
+
+def test_the_prefix_decides_which_shingles_are_joined(spark, corpus, monkeypatch):
+    """Of a long item only the rarest shingles are joined, and no leak is lost by that; with a prefix that takes a shingle
+    too few, texts that hold just the common ones are."""
+    item = prose(400)
+    docs = {d: " ".join(item[:300]) for d in range(5)} | {9: " ".join(prose(50) + item[100:300] + prose(50)), 10: " ".join(item[i] for i in range(0, 400, 2))}
+    of_item = [(0, 400, h, p, p) for p, h in enumerate(leaks.shingles(item).tolist())]
+    known = spark.createDataFrame(of_item, "item_no int, item_words int, shingle long, item_pos int, item_last int")
+    counts = {}
+    for t in docs.values():
+        for h in leaks.shingles(words(t)).tolist():
+            counts[h] = counts.get(h, 0) + 1
+    frequency = spark.createDataFrame(list(counts.items()), "shingle long, frequency long")
+    prefix = leaks._prefixes(known, frequency, leaks.SHARE).collect()
+    least = 160 - 8 - 5 * 23
+    assert 0 < len(prefix) == 396 - least + 1 - sum(h not in counts for _, _, h, _, _ in of_item)
+    rarest = {counts[x.shingle] for x in prefix}
+    assert max(rarest) <= min(counts[h] for _, _, h, _, _ in of_item if h in counts and h not in {x.shingle for x in prefix})
+    got = {x.doc_id for x in leaks.leaks(*frames(spark, {0: item}, docs)).collect()}
+    assert got == {*range(5), 9}
+
+
+def test_only_windows_of_a_text_leave_its_task(spark):
+    import pyarrow as pa
+
+    item = prose(60)
+    text = prose(5000) + item + prose(5000) + item[:30] + prose(100)
+
+    class Wanted:
+        value = (np.unique(leaks.shingles(item)), leaks.reach(60))
+
+    (batch,) = leaks._hit_documents(iter([pa.RecordBatch.from_arrays([pa.array([1]), pa.array([" ".join(text)])], names=["doc_id", "text"])]), Wanted)
+    pieces = batch.column("pieces").to_pylist()[0]
+    assert len(pieces) == 2 and sum(len(p["text"].split()) for p in pieces) < 1000
+    assert all(text[p["start"] : p["start"] + len(p["text"].split())] == p["text"].split() for p in pieces)
+    docs = spark.createDataFrame([(1, " ".join(text), 0.0)], DOCS)
+    (found,) = leaks.leaks(docs, spark.createDataFrame([(0, " ".join(item), 0)], ITEMS)).collect()
+    assert found.share == 1.0
+
+
+def test_a_stock_phrase_in_most_documents(spark):
+    """A hot shingle goes to several tasks, and stray phrases stay no case."""
+    phrase, item = prose(8), prose(70)
+    item[20:20] = phrase
+    docs = {d: " ".join(prose(20) + phrase + prose(20)) for d in range(400)} | {1000: " ".join(item)}
+    got = leaks.leaks(*frames(spark, {0: item}, docs))
+    assert [(x.item_id, x.doc_id) for x in got.collect()] == [(0, 1000)]

@@ -135,8 +135,8 @@ def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(read_ranks(path), pattern)
 
 
-def _ids(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
-    enc = encoder(path, pattern)
+def _ids(batches: Iterator[pa.RecordBatch], path: str | None, pattern: str | None) -> Iterator[pa.RecordBatch]:
+    enc = encoder(path or default_vocabulary(), pattern or default_pattern())  # where this worker has them
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
             part = batch.slice(lo, 256)
@@ -151,4 +151,4 @@ def token_ids(documents: DataFrame, key: str, text: str, vocabulary: str | None
     shuffle, and repeated keys stay repeated. ``vocabulary`` is a file of base64 tokens and ranks that all workers can read."""
     rows = documents.select(key, text)
     kind = rows.schema[0].dataType.simpleString()
-    return rows.mapInArrow(partial(_ids, path=vocabulary or default_vocabulary(), pattern=pattern or default_pattern()), f"`{key}` {kind}, ids array<int>")
+    return rows.mapInArrow(partial(_ids, path=vocabulary, pattern=pattern), f"`{key}` {kind}, ids array<int>")

@@ -2,22 +2,22 @@
 
 Shingles of an item are ordered by how rare they are in the corpus. A text that repeats enough of the item shares at
 least ``least`` of its shingles, so it must hit one of the item's rarest ``count - least + 1``: only these are joined.
-Length and position bounds drop pairs that can't reach the share any more; the rest is verified word by word over
-stretches of the text no longer than the item."""
+Length and position bounds drop pairs that can't reach the share any more; the rest is verified word by word in windows of
+the item's size around the shingles that the text shares with it. Nothing of a text but such windows leaves its task."""
 
 from __future__ import annotations
 
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
 from .words import words
 
 #: Words of a shingle.
@@ -28,8 +28,15 @@ SHARE, PASSAGES, LEAST_PASSAGE = 0.4, 2, 6
 EDIT_EVERY, GAP = 7, 4
 #: Words of the exact stretches that passages are made of.
 SEED = 3
-#: Distinct item shingles up to which they are sent to all workers (8 bytes each); beyond, they are joined.
-BROADCAST_SHINGLES = 1_000_000
+#: Item shingles sent to all workers at a time (8 bytes each); more items are searched for in as many passes as it takes.
+SHINGLES_A_PASS = 1_000_000
+#: Parts a frequent shingle's hits are split into.
+SALTS = 16
+
+
+def reach(n: int) -> int:
+    """Words of a text that a passage of an item of n words can hold before or after a shingle of it."""
+    return n + GAP * (n // SEED + 1)
 
 
 def shingles(tokens: list[str], cache: dict[str, int] | None = None) -> np.ndarray:
@@ -54,41 +61,28 @@ def shingles(tokens: list[str], cache: dict[str, int] | None = None) -> np.ndarr
     return out.view(np.int64)
 
 
-def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, n_words, pos, shingle) of column 0 and the text in column 1."""
-    cache: dict[str, int] = {}
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 1000):
-            ids, counts, positions, hashes = [], [], [], []
-            for key, text in zip(batch.column(0).slice(lo, 1000).to_pylist(), batch.column(1).slice(lo, 1000).to_pylist()):
-                if key is None or not text:
-                    continue
-                tokens = words(text)
-                h = shingles(tokens, cache)
-                if len(h):
-                    ids.append(np.full(len(h), key, np.int64))
-                    counts.append(np.full(len(h), len(tokens), np.int32))
-                    positions.append(np.arange(len(h), dtype=np.int32))
-                    hashes.append(h)
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (ids, counts, positions, hashes)], names=["id", "n_words", "pos", "shingle"])
+_HIT_DOCUMENTS = "doc_id long, n_words int, hits array<struct<pos:int,shingle:long>>, pieces array<struct<start:int,text:string>>"
+_PIECES = pa.list_(pa.struct([("start", pa.int32()), ("text", pa.string())]))
 
 
-_HITS = "id long, n_words int, pos int, shingle long"
-_HIT_DOCUMENTS = "doc_id long, doc_text string, n_words int, hits array<struct<pos:int,shingle:long>>"
+def _spans(at: np.ndarray, around: int, n: int) -> list[tuple[int, int]]:
+    """Stretches of a text of n words within ``around`` words of the shingles at the ascending positions ``at``."""
+    first, last = np.maximum(at - around, 0), np.minimum(at + SHINGLE + around, n)
+    cuts = np.flatnonzero(first[1:] > last[:-1]) + 1
+    return list(zip(first[np.concatenate([[0], cuts])].tolist(), last[np.concatenate([cuts - 1, [len(at) - 1]])].tolist()))
 
 
 def _hit_documents(batches: Iterator[pa.RecordBatch], wanted: object) -> Iterator[pa.RecordBatch]:
-    """The documents that hold any wanted shingle, each with its text and where which one stands."""
+    """The documents that hold any wanted shingle: where which one stands, and the words around."""
     cache: dict[str, int] = {}
-    only = wanted.value
+    only, around = wanted.value
     if not len(only):
         return
     for batch in batches:
         for lo in range(0, batch.num_rows, 500):
             part = batch.slice(lo, 500)
-            rows, counts, ends, positions, hashes = [], [], [0], [], []
-            for i, (key, text) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist())):
+            keys, counts, ends, positions, hashes, pieces = [], [], [0], [], [], []
+            for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 if key is None or not text:
                     continue
                 tokens = words(text)
@@ -97,22 +91,24 @@ def _hit_documents(batches: Iterator[pa.RecordBatch], wanted: object) -> Iterato
                 spot[spot == len(only)] = 0
                 at = np.flatnonzero(only[spot] == h)
                 if len(at):
-                    rows.append(i)
+                    keys.append(key)
                     counts.append(len(tokens))
                     ends.append(ends[-1] + len(at))
                     positions.append(at.astype(np.int32))
                     hashes.append(h[at])
-            if rows:
+                    pieces.append([{"start": a, "text": " ".join(tokens[a:b])} for a, b in _spans(at, around, len(tokens))])
+            if keys:
                 hits = pa.StructArray.from_arrays([pa.array(np.concatenate(positions)), pa.array(np.concatenate(hashes))], names=["pos", "shingle"])
-                kept = part.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array(counts, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), hits)], names=["doc_id", "doc_text", "n_words", "hits"])
+                columns = [pa.array(keys, pa.int64()), pa.array(counts, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), hits), pa.array(pieces, _PIECES)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "hits", "pieces"])
 
 
-def _stretches(item: list[str], index: dict[tuple, list[int]], text: list[str]) -> list[list[int]]:
-    """Longest exact common stretches of SEED words or more: [item position, text position, words]."""
+def _stretches(index: dict[tuple, list[int]], start: int, text: list[str]) -> list[list[int]]:
+    """Longest exact common stretches of SEED words or more: [item position, text position, words]. ``text`` are words from
+    position ``start`` on."""
     found, last = [], {}
-    for j in range(len(text) - SEED + 1):
-        for p in index.get(tuple(text[j : j + SEED]), ()):
+    for j in range(start, start + len(text) - SEED + 1):
+        for p in index.get(tuple(text[j - start : j - start + SEED]), ()):
             b = last.get(j - p)
             if b is not None and b[1] + b[2] - SEED + 1 >= j:
                 b[2] = j + SEED - b[1]
@@ -124,10 +120,10 @@ def _stretches(item: list[str], index: dict[tuple, list[int]], text: list[str])
 
 def _passages(found: list[list[int]], n: int) -> list[tuple[int, int, int, int, int]]:
     """(words, item from, item to, text from, text to): stretches chained over gaps of at most GAP words on either side,
-    each within a stretch of text no longer than the item and its gaps allow."""
+    each within a stretch of text no longer than the item and its gaps allow. One stretch at least is a shingle long."""
     found = sorted(found, key=lambda b: (b[1], b[0]))
-    score, first = [b[2] for b in found], list(range(len(found)))
-    window = 2 * n + GAP
+    score, first, whole = [b[2] for b in found], list(range(len(found))), [b[2] >= SHINGLE for b in found]
+    window = reach(n)
     for x, (p, j, size) in enumerate(found):
         y = x - 1
         while y >= 0 and j - found[y][1] <= window:
@@ -137,20 +133,21 @@ def _passages(found: list[list[int]], n: int) -> list[tuple[int, int, int, int,
             if gap_p <= GAP and gap_j <= GAP and overlap < SEED and overlap < size and p > q and j > i:
                 gained = score[y] + size - overlap + (gap_p > 0)  # one edited word is made up for
                 if gained > score[x]:
-                    score[x], first[x] = gained, first[y]
+                    score[x], first[x], whole[x] = gained, first[y], whole[y] or size >= SHINGLE
             y -= 1
     best: dict[int, int] = {}
     for x in range(len(found)):
         if first[x] not in best or score[x] > score[best[first[x]]]:
             best[first[x]] = x
-    return [(score[e], found[s][0], found[e][0] + found[e][2], found[s][1], found[e][1] + found[e][2]) for s, e in best.items() if score[e] >= LEAST_PASSAGE]
+    return [(score[e], found[s][0], found[e][0] + found[e][2], found[s][1], found[e][1] + found[e][2]) for s, e in best.items() if score[e] >= LEAST_PASSAGE and whole[e]]
 
 
-def recurring(item: list[str], index: dict[tuple, list[int]], text: list[str]) -> int:
-    """Words of the item in its best one or two passages of the text, the second after the first in both.
+def recurring(item: list[str], index: dict[tuple, list[int]], windows: list[tuple[int, list[str]]]) -> int:
+    """Words of the item in its best one or two passages of the text, the second after the first in both. windows: parts of
+    the text that don't touch, each from which word on and its words.
 
     Of words that differ between two stretches of a passage one counts, as an occasional edit must not matter."""
-    made = _passages(_stretches(item, index, text), len(item))
+    made = _passages([b for start, text in windows for b in _stretches(index, start, text)], len(item))
     top = max((m[0] for m in made), default=0)
     if PASSAGES < 2 or len(made) < 2:
         return top
@@ -177,25 +174,45 @@ def recurring(item: list[str], index: dict[tuple, list[int]], text: list[str]) -
     return top
 
 
-def _verify(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.RecordBatch]:
-    cached: dict[int, tuple[list[str], dict]] = {}
+def seeds(item: list[str]) -> dict[tuple, list[int]]:
+    """Where each run of SEED words stands in an item."""
+    index = defaultdict(list)
+    for p in range(len(item) - SEED + 1):
+        index[tuple(item[p : p + SEED])].append(p)
+    return index
+
+
+def _windows(item_shingles: np.ndarray, n: int, n_words: int, positions: np.ndarray, hashes: np.ndarray, pieces: list[dict]) -> list[tuple[int, list[str]]]:
+    """The text within an item's reach of the shingles it shares with the item; it lies within ``pieces``."""
+    own = np.sort(positions[np.isin(hashes, item_shingles)])
+    if not len(own):
+        return []
+    split = {p["start"]: p["text"].split(" ") for p in pieces}
+    starts, out = sorted(split), []
+    for a, b in _spans(own, reach(n), n_words):
+        at = starts[bisect_left(starts, a + 1) - 1]
+        out.append((a, split[at][a - at : b - at]))
+    return out
+
+
+def _verify(batches: Iterator[pa.RecordBatch], items: object, share: float) -> Iterator[pa.RecordBatch]:
+    known: dict[int, tuple] = {}
     for batch in batches:
         rows = []
-        last: tuple[str | None, list[str]] = (None, [])
-        for item_id, doc_id, item_text, doc_text in zip(*(batch.column(c).to_pylist() for c in ("item_id", "doc_id", "item_text", "doc_text"))):
-            if item_id not in cached:
-                if len(cached) > 2000:
-                    cached.clear()
-                item, index = words(item_text), defaultdict(list)
-                for p in range(len(item) - SEED + 1):
-                    index[tuple(item[p : p + SEED])].append(p)
-                cached[item_id] = item, index
-            item, index = cached[item_id]
-            if last[0] is not doc_text and last[0] != doc_text:
-                last = doc_text, words(doc_text)
-            got = recurring(item, index, last[1]) / len(item) if item else 0.0
-            if got >= share:
-                rows.append((item_id, doc_id, got))
+        for lo in range(0, batch.num_rows, 200):
+            part = batch.slice(lo, 200)
+            for no, doc_id, n_words, hits, pieces in zip(*(part.column(c).to_pylist() for c in ("item_no", "doc_id", "n_words", "hits", "pieces"))):
+                if no not in known:
+                    if len(known) > 2000:
+                        known.clear()
+                    item_id, text = items.value[no]
+                    item = words(text)
+                    known[no] = item_id, item, seeds(item), np.unique(shingles(item))
+                item_id, item, index, own = known[no]
+                positions, hashes = (np.array([h[k] for h in hits], np.int64) for k in ("pos", "shingle"))
+                got = recurring(item, index, _windows(own, len(item), n_words, positions, hashes, pieces)) / len(item)
+                if got >= share:
+                    rows.append((item_id, doc_id, got))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64()))], names=["item_id", "doc_id", "share"])
 
@@ -216,36 +233,54 @@ def _may_reach(need: Column) -> Column:
     return reach + F.greatest(F.ceil(F.col("item_words") / F.lit(EDIT_EVERY)), F.ceil(need / F.lit(SEED + 1))) >= need
 
 
-def leaks(documents: DataFrame, items: DataFrame, share: float = SHARE, broadcast_shingles: int = BROADCAST_SHINGLES) -> DataFrame:
+def _prefixes(of_items: DataFrame, frequency: DataFrame, share: float) -> DataFrame:
+    """The rarest shingles of each item, one of which a text that holds ``share`` of it must have. A shingle that no text has
+    is the rarest and costs nothing."""
+    once = of_items.join(frequency, "shingle", "left").na.fill(0, ["frequency"])
+    per_item = Window.partitionBy("item_no")
+    ranked = once.withColumns({"rank": F.row_number().over(per_item.orderBy("frequency", "shingle")), "count": F.count("*").over(per_item)})
+    needed = ranked.filter((F.col("frequency") > 0) & (F.col("rank") <= F.col("count") - least_shared(F.col("item_words"), share) + 1))
+    return needed.select("item_no", "item_words", "item_pos", "item_last", "shingle")
+
+
+def _search(docs: DataFrame, items: list[tuple[int, str]], share: float) -> DataFrame:
+    """One pass: ``items`` (id, text) are few enough for their shingles to be sent to all workers."""
+    spark = docs.sparkSession
+    rows, longest = [], 0
+    for no, (_, text) in enumerate(items):
+        tokens = words(text)
+        at: dict[int, list[int]] = {}
+        for p, h in enumerate(shingles(tokens).tolist()):
+            at.setdefault(h, []).append(p)
+        longest = max(longest, len(tokens))
+        rows.extend((no, len(tokens), h, min(p), max(p)) for h, p in at.items())
+    of_items = spark.createDataFrame(rows, "item_no int, item_words int, shingle long, item_pos int, item_last int")
+    wanted = spark.sparkContext.broadcast((np.unique(np.array([r[2] for r in rows], np.int64)), reach(longest)))
+    # the texts are read once: what several branches of the plan need of them is written to the shared folder
+    checkpoint_dir(spark)
+    found = docs.mapInArrow(partial(_hit_documents, wanted=wanted), _HIT_DOCUMENTS).checkpoint()
+    hits = found.select("doc_id", "n_words", F.explode("hits").alias("h")).select("doc_id", "n_words", "h.pos", "h.shingle")
+    prefix = _prefixes(of_items, hits.groupBy("shingle").agg(F.count("*").alias("frequency")), share)
+    # hits of a stock phrase go to several tasks
+    salted = hits.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    copied = prefix.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    need = F.ceil(F.col("item_words") * F.lit(share))
+    pairs = salted.join(copied, ["shingle", "salt"]).filter(_may_reach(need)).select("item_no", "doc_id").distinct()
+    known = spark.sparkContext.broadcast(items)
+    return pairs.join(found, "doc_id").mapInArrow(partial(_verify, items=known, share=share), "item_id long, doc_id long, share double")
+
+
+def leaks(documents: DataFrame, items: DataFrame, share: float = SHARE, shingles_a_pass: int = SHINGLES_A_PASS) -> DataFrame:
     """(item_id, doc_id, share), distinct: the items of which at least ``share`` recurs in the document.
 
     documents: doc_id long, text; items: item_id long, text; other columns are dropped. Null, empty and blank texts and
-    rows without id are in no pair, items of under SHINGLE words can't be found; repeated rows give one pair. Item
-    shingles go to all workers while there are at most ``broadcast_shingles`` of them, and are joined by shuffle beyond."""
-    spark = documents.sparkSession
-    docs = documents.select("doc_id", F.col("text").alias("doc_text")).filter("doc_id is not null and doc_text is not null")
-    its = items.select("item_id", F.col("text").alias("item_text")).filter("item_id is not null and item_text is not null").distinct()
-    of_items = its.mapInArrow(_emit, _HITS).withColumnsRenamed({"id": "item_id", "n_words": "item_words", "pos": "item_pos"}).persist(StorageLevel.MEMORY_AND_DISK)
-    distinct = of_items.select("shingle").distinct()
-    if distinct.limit(broadcast_shingles + 1).count() <= broadcast_shingles:
-        wanted = spark.sparkContext.broadcast(np.sort(distinct.toPandas()["shingle"].to_numpy(np.int64)))
-        # only documents with a hit go on, their texts with them: no text without one is shuffled or read again
-        found = docs.mapInArrow(partial(_hit_documents, wanted=wanted), _HIT_DOCUMENTS).persist(StorageLevel.MEMORY_AND_DISK)
-        hits = found.select(F.col("doc_id").alias("id"), "n_words", F.explode("hits").alias("h")).select("id", "n_words", "h.pos", "h.shingle")
-        texts = found.select("doc_id", "doc_text")
-    else:
-        found = hits = docs.mapInArrow(_emit, _HITS).join(distinct, "shingle", "left_semi").select("id", "n_words", "pos", "shingle").persist(StorageLevel.MEMORY_AND_DISK)
-        texts = docs
-    found.count()  # several branches of the plan read it; without this each would read the texts
-    frequency = hits.groupBy("shingle").agg(F.count("*").alias("frequency"))
-    # rarest first; a shingle that no text has is the rarest and costs nothing
-    once = of_items.groupBy("item_id", "item_words", "shingle").agg(F.min("item_pos").alias("item_pos"), F.max("item_pos").alias("item_last")).join(frequency, "shingle", "left").na.fill(0, ["frequency"])
-    per_item = Window.partitionBy("item_id", "item_words")
-    prefix = (
-        once.withColumns({"rank": F.row_number().over(per_item.orderBy("frequency", "shingle")), "count": F.count("*").over(per_item)})
-        .filter((F.col("frequency") > 0) & (F.col("rank") <= F.col("count") - least_shared(F.col("item_words"), share) + 1))
-        .select("item_id", "item_words", "item_pos", "item_last", "shingle")
-    )
-    need = F.ceil(F.col("item_words") * F.lit(share))
-    pairs = hits.join(prefix, "shingle").filter(_may_reach(need)).select("item_id", F.col("id").alias("doc_id")).distinct()
-    return pairs.join(texts, "doc_id").join(its, "item_id").mapInArrow(partial(_verify, share=share), "item_id long, doc_id long, share double").groupBy("item_id", "doc_id").agg(F.max("share").alias("share"))
+    rows without id are in no pair, items of under SHINGLE words can't be found; repeated rows give one pair. Items are
+    searched for in passes over the documents, each for a hash part of the items of about ``shingles_a_pass`` shingles."""
+    docs = documents.select("doc_id", "text").filter("doc_id is not null and text is not null")
+    its = items.select("item_id", "text").filter("item_id is not null and text is not null").distinct()
+    # a shingle begins with each word, and a word is a letter and a space at least
+    size = its.agg(F.sum(F.length("text"))).first()[0] or 0
+    passes = max(1, -(-size // (2 * shingles_a_pass)))
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(passes))
+    each = [_search(docs, [tuple(r) for r in its.filter(part == k).collect()], share) for k in range(passes)]
+    return reduce(DataFrame.unionByName, each).groupBy("item_id", "doc_id").agg(F.max("share").alias("share"))

@@ -7,7 +7,7 @@ import unicodedata
 
 import regex
 
-_TAG = regex.compile(r"<[^<>]{1,200}>|&(?:#\d+|#x[0-9a-fA-F]+|[a-zA-Z]{2,8});")
+_TAG = regex.compile(r"<[/!?]?[A-Za-z][^<>]*>|&(?:#\d+|#x[0-9a-fA-F]+|[a-zA-Z]{2,8});")
 #: Format characters (zero width, soft hyphen, direction marks), controls but white space, combining marks.
 _INVISIBLE = regex.compile(r"[\p{Cf}\p{Co}\p{Cn}\p{Mn}]|[\p{Cc}--\s]", regex.V1)
 #: A letter of a script written without spaces is a word of its own.
