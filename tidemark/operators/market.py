@@ -71,17 +71,42 @@ def mansfield(weekly: DataFrame, benchmark: DataFrame, weeks: int = 52) -> DataF
     greatest close is taken)."""
     one = benchmark.groupBy("session_date").agg(F.max("benchmark_close").alias("benchmark_close"))
     w = Window.partitionBy("symbol").orderBy("week_start")
-    joined = weekly.join(one, "session_date", "left").withColumn("ratio", F.when(F.col("benchmark_close") > 0, F.col("adj_close") / F.col("benchmark_close")))
+    both = (F.col("benchmark_close") > 0) & (F.col("adj_close") > 0)
+    joined = weekly.join(one, "session_date", "left").withColumn("ratio", F.when(both, F.col("adj_close") / F.col("benchmark_close")))
     mean = Wf.rolling_mean(F.col("ratio"), w, weeks)
     return joined.withColumn("mansfield", F.when(mean > 0, F.col("ratio") / mean - 1))
 
 
-def history_percentile(rows: DataFrame, value: str, limit: int, least: int) -> DataFrame:
+def history_percentile(rows: DataFrame, value: str, limit: int, least: int, at: str = "date") -> DataFrame:
     """Non-null rows with ``percentile``: mid-rank among the last ``limit`` strictly earlier values of the symbol."""
-    w = _by_date().rowsBetween(-limit, -1)
+    w = Window.partitionBy("symbol").orderBy(at).rowsBetween(-limit, -1)
     return rows.filter(F.col(value).isNotNull()).withColumn("percentile", Wf.percentile_midrank(F.col(value), F.collect_list(value).over(w), least))
 
 
+#: Weeks that a weekly percentile looks back, and those it needs.
+WEEKS, LEAST_WEEKS = 104, 26
+
+
+def relative_strength_features(bars: DataFrame, benchmark: DataFrame, value: str) -> DataFrame:
+    """(symbol, week_start, rs, mansfield, rs_slope_4w, mansfield_slope_4w, rs_percentile, mansfield_percentile), a row per symbol
+    and week with bars.
+
+    bars: with ``value``, whose rank on each date is the relative strength; the week takes the last rank it has. Slopes are
+    null where any of four weeks is, percentiles are of the last WEEKS earlier weeks that have the value."""
+    by_week = F.to_date(F.date_trunc("week", "date"))
+    rs = relative_strength(bars, value).filter("rs is not null").groupBy("symbol", by_week.alias("week_start")).agg(F.max_by("rs", "date").alias("rs"))
+    weeks = mansfield(weekly_bars(bars), benchmark).select("symbol", "week_start", "mansfield").join(rs, ["symbol", "week_start"], "left")
+    weeks = weeks.withColumns({c: F.round(c, 8) for c in ("rs", "mansfield")})
+    w = Window.partitionBy("symbol").orderBy("week_start")
+    out = weeks.withColumns({f"{c}_slope_4w": Wf.slope(F.col(c), w, 4) for c in ("rs", "mansfield")})
+    for c in ("rs", "mansfield"):
+        # a column for each value's own weeks: a week without it neither counts nor ends the history
+        earlier = F.collect_list(c).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        own = F.slice(earlier, F.greatest(F.size(earlier) - (WEEKS - 1), F.lit(1)), WEEKS)
+        out = out.withColumn(f"{c}_percentile", Wf.percentile_midrank(F.col(c), own, LEAST_WEEKS))
+    return out
+
+
 def coverage(requested: DataFrame, bars: DataFrame, max_lag_days: int) -> DataFrame:
     """Of each requested symbol: last session, lag behind the newest of all, and MISSING, STALE or COVERED."""
     last = bars.groupBy("symbol").agg(F.max("date").alias("last_session"))

@@ -32,19 +32,20 @@ def valid_on(intervals: DataFrame, key: str, day: Column, as_of: Column) -> Data
     return held.withColumn("__rn", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("__rn = 1").drop("__rn")
 
 
-def prior_unique_value(events: DataFrame, observations: DataFrame, days: int) -> DataFrame:
-    """events (event_id, key, day) with ``value``: the only value observed for the key on one of the ``days`` days before (day
+def prior_unique_value(events: DataFrame, observations: DataFrame, days_back: int) -> DataFrame:
+    """events (event_id, key, day) with ``value``: the only value observed for the key on one of the ``days_back`` days before (day
     itself included), null if there is none or several.
 
-    Observations are reduced to one row per key and day; each event looks at a range frame over the union, so a key with
-    very many of both is sorted, not paired."""
-    obs = observations.select("key", "day", "value").filter("key is not null and day is not null and value is not null").groupBy("key", "day").agg(F.min("value").alias("low"), F.max("value").alias("high"))
-    both = events.select("key", "day", "event_id", F.lit(None).cast("string").alias("low"), F.lit(None).cast("string").alias("high"), F.lit(True).alias("is_event")).unionByName(
-        obs.select("key", "day", F.lit(None).cast(events.schema["event_id"].dataType).alias("event_id"), "low", "high", F.lit(False).alias("is_event"))
-    )
-    w = Window.partitionBy("key").orderBy(F.unix_date("day")).rangeBetween(-days, 0)
+    Both sides are reduced to one row per key and day before the window, so a key with very many of either has no more rows
+    there than the calendar has days; the value then joins the events by key and day. Events without key or day have none."""
+    seen = observations.select("key", "day", "value").filter("key is not null and day is not null and value is not null")
+    obs = seen.groupBy("key", "day").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    asked = events.select("key", "day").filter("key is not null and day is not null").distinct().withColumn("asked", F.lit(True))
+    days = asked.join(obs, ["key", "day"], "full")
+    w = Window.partitionBy("key").orderBy(F.unix_date("day")).rangeBetween(-days_back, 0)
     low, high = F.min("low").over(w), F.max("high").over(w)
-    return both.withColumn("value", F.when(low == high, low)).filter("is_event").select("event_id", "key", "day", "value")
+    found = days.withColumn("value", F.when(low == high, low)).filter("asked and value is not null").select("key", "day", "value")
+    return events.select("event_id", "key", "day").join(found, ["key", "day"], "left").select("event_id", "key", "day", "value")
 
 
 def amendments(rows: DataFrame, link: list[str], at: str, row_id: str, is_amendment: Column) -> DataFrame:

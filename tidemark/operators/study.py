@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import quantiles
+
 
 def session_at_or_after(events: DataFrame, sessions: DataFrame, at: str) -> DataFrame:
     """events with ``session_idx`` (replaced if there is one): the first session whose close is not before ``at``; null past the last one.
@@ -41,12 +43,16 @@ def forward_outcomes(bars: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
     return long.select("symbol", "session_idx", F.col("o.horizon").cast("long").alias("horizon"), F.when(ok, F.col("o.exit") / F.col("entry") - 1).alias("forward_return"), F.when(ok & F.col("o.complete"), F.col("o.low") / F.col("entry") - 1).alias("worst"), F.col("o.complete").alias("complete"))
 
 
-def summary(of: str = "forward_return", worst: str = "worst") -> list:
-    """Aggregates of an outcome column, nulls left out."""
-    x = F.col(of)
-    return [
-        F.count("*").alias("events"), F.count(x).alias("outcomes"), F.avg(x).alias("mean"), F.percentile(x, 0.5).alias("median"), F.avg((x > 0).cast("double")).alias("win_rate"), F.percentile(x, 0.1).alias("p10"), F.percentile(F.col(worst), 0.5).alias("median_worst"),
-    ]
+def summary(outcomes: DataFrame, group: list[str]) -> DataFrame:
+    """(*group, events, outcomes, mean, median, win_rate, p10, median_worst) of ``forward_return`` and ``worst``, nulls left
+    out. Quantiles are exact and need no task that holds a group's values; both columns' are found in one go."""
+    x = F.col("forward_return")
+    plain = outcomes.groupBy(*group).agg(F.count("*").alias("events"), F.count(x).alias("outcomes"), F.avg(x).alias("mean"), F.avg((x > 0).cast("double")).alias("win_rate"))
+    kinds = F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("x")) for c in ("forward_return", "worst")]))
+    q = quantiles.quantiles(outcomes.select(*group, kinds.alias("v")).select(*group, "v.kind", "v.x"), [*group, "kind"], "x", {"median": 0.5, "p10": 0.1})
+    own = q.filter("kind = 'forward_return'").select(*group, "median", "p10")
+    worst = q.filter("kind = 'worst'").select(*group, F.col("median").alias("median_worst"))
+    return quantiles.joined_by(group, [plain, own, worst]).select(*group, "events", "outcomes", "mean", "median", "win_rate", "p10", "median_worst")
 
 
 def top_share(rows: DataFrame, group: list[str], order: list, share: float) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import windows as Wf
 from ..operators import overlap, rolling
 from ..sources.tables import table
-from .adapters import TX_SQL, transactions
+from .adapters import JOINT_SQL, TX_SQL, joint_transactions, transactions
 from .registry import Registry
 
 query = Registry()
@@ -16,6 +16,7 @@ QUERIES, SQL = query.queries, query.sql
 #: End of the observation period.
 AS_OF = "2000-06-30"
 _X = f"WITH {TX_SQL}"
+_JOINT = f"WITH {JOINT_SQL}"
 
 
 def _day(c: str) -> Column:
@@ -24,7 +25,8 @@ def _day(c: str) -> Column:
 
 @query(_X + f" SELECT issuer, owner, accession, line, tx_date, value FROM tx WHERE known_date <= DATE '{AS_OF}' AND code = 'P' AND status = 'ACTIVE'")
 def effective_transactions(spark: SparkSession, d: str) -> DataFrame:
-    """Purchases known and in force on a day: a plain predicate, so it reaches the scan."""
+    """Purchases known and in force on a day. Code and status reach the scan; the day a row became known comes from both
+    sides of the adapter's join and can't."""
     return transactions(spark, d).filter((F.col("known_date") <= F.lit(AS_OF).cast("date")) & (F.col("code") == "P") & (F.col("status") == "ACTIVE")).select("issuer", "owner", "accession", "line", "tx_date", "value")
 
 
@@ -145,18 +147,6 @@ def activity_blocks(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy("issuer", "block").agg(F.count_if(F.col("code") == "P").alias("purchases"), F.round(F.coalesce(F.sum(F.when(F.col("code") == "P", F.col("value"))), F.lit(0.0)), 4).alias("dollars"))
 
 
-@query(_X + """, c AS (SELECT CAST(d AS DATE) AS day FROM (SELECT unnest(generate_series((SELECT min(tx_date) FROM tx), (SELECT max(tx_date) FROM tx), INTERVAL 1 DAY)) AS d)),
-t AS (SELECT tx_date AS day, count(*) FILTER (code = 'P') AS p, count(*) FILTER (code = 'S') AS s FROM tx GROUP BY ALL), f AS (SELECT day, coalesce(p, 0) AS p, coalesce(s, 0) AS s FROM c LEFT JOIN t USING (day))
-SELECT day, CAST(sum(p) OVER w AS BIGINT) AS purchases_30d, CAST(sum(s) OVER w AS BIGINT) AS sales_30d FROM f WINDOW w AS (ORDER BY day ROWS 29 PRECEDING)""")
-def barometer_rolling_30d(spark: SparkSession, d: str) -> DataFrame:
-    """Market-wide rolling counts per calendar day. Pre-aggregated by day, so the window without a key has the calendar's length."""
-    t = transactions(spark, d).groupBy("tx_date").agg(F.count_if(F.col("code") == "P").alias("p"), F.count_if(F.col("code") == "S").alias("s"))
-    ends = t.agg(F.min("tx_date").alias("a"), F.max("tx_date").alias("b")).select(F.explode(F.sequence("a", "b")).alias("day"))
-    f = ends.join(t, F.col("day") == F.col("tx_date"), "left")
-    w = Window.orderBy(_day("day")).rangeBetween(-29, 0)
-    return f.select("day", F.coalesce(F.sum("p").over(w), F.lit(0)).alias("purchases_30d"), F.coalesce(F.sum("s").over(w), F.lit(0)).alias("sales_30d"))
-
-
 _SIDES = {"P": "buy", "S": "sale"}
 
 
@@ -237,10 +227,10 @@ def amendment_effective(spark: SparkSession, d: str) -> DataFrame:
     return v.withColumn("state", F.when(F.col("valid_to").isNull(), "ACTIVE").otherwise("SUPERSEDED"))
 
 
-@query(_X + ", e AS (SELECT accession, line, array_sort(list_distinct(list(owner))) AS owners, count(DISTINCT issuer) AS facts, max(known_date) AS known_date FROM tx GROUP BY ALL) SELECT accession, line, CAST(len(owners) AS BIGINT) AS owners, facts > 1 AS conflicting, known_date FROM e")
+@query(_JOINT + ", e AS (SELECT accession, line, array_sort(list_distinct(list(owner))) AS owners, count(DISTINCT issuer) AS facts, max(known_date) AS known_date FROM tx GROUP BY ALL) SELECT accession, line, CAST(len(owners) AS BIGINT) AS owners, facts > 1 AS conflicting, known_date FROM e")
 def economic_events(spark: SparkSession, d: str) -> DataFrame:
     """Joint owners' rows collapse to one event; differing facts are a conflict."""
-    g = transactions(spark, d).groupBy("accession", "line").agg(F.size(F.collect_set("owner")).cast("long").alias("owners"), (F.count_distinct("issuer") > 1).alias("conflicting"), F.max("known_date").alias("known_date"))
+    g = joint_transactions(spark, d).groupBy("accession", "line").agg(F.size(F.collect_set("owner")).cast("long").alias("owners"), (F.count_distinct("issuer") > 1).alias("conflicting"), F.max("known_date").alias("known_date"))
     return g
 
 
@@ -264,10 +254,10 @@ def accession_counts(spark: SparkSession, d: str) -> DataFrame:
     return f.groupBy("accession").agg(F.count("*").alias("parts"), F.count_if(F.col("code") == "P").alias("buys"), F.count_if(F.col("code") == "S").alias("sales"), F.round(F.sum("value"), 3).alias("value"))
 
 
-@query(_X + ", d AS (SELECT DISTINCT issuer, owner, accession FROM tx WHERE code = 'P'), s AS (SELECT issuer, accession, list(owner) AS o FROM d GROUP BY ALL) SELECT a.issuer, a.accession, count(b.accession) AS independent FROM s a LEFT JOIN s b ON a.issuer = b.issuer AND a.accession <> b.accession AND NOT list_has_any(a.o, b.o) GROUP BY ALL")
+@query(_JOINT + ", d AS (SELECT DISTINCT issuer, owner, accession FROM tx WHERE code = 'P'), s AS (SELECT issuer, accession, list(owner) AS o FROM d GROUP BY ALL) SELECT a.issuer, a.accession, count(b.accession) AS independent FROM s a LEFT JOIN s b ON a.issuer = b.issuer AND a.accession <> b.accession AND NOT list_has_any(a.o, b.o) GROUP BY ALL")
 def independent_filings(spark: SparkSession, d: str) -> DataFrame:
     """Of each filing, how many others of its issuer share no owner with it."""
-    return overlap.disjoint_filings(transactions(spark, d).filter("code = 'P'"))
+    return overlap.disjoint_filings(joint_transactions(spark, d).filter("code = 'P'"))
 
 
 @query("SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS k FROM events GROUP BY event_type")

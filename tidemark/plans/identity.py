@@ -143,15 +143,6 @@ def union_all(spark: SparkSession, d: str) -> DataFrame:
     return u.groupBy("issuer").agg(F.count("*").alias("rows"), F.count_distinct("owner").alias("owners"))
 
 
-@query("WITH a AS (SELECT event_id % 500 AS k, max(event_id) AS id FROM events WHERE ts < TIMESTAMP '2024-01-16' GROUP BY ALL), b AS (SELECT event_id % 500 AS k, max(event_id) AS id FROM events WHERE event_type <> 'click' GROUP BY ALL) SELECT k, CASE WHEN a.id IS NULL THEN 'ADDED' WHEN b.id IS NULL THEN 'REMOVED' ELSE 'CHANGED' END AS change FROM a FULL JOIN b USING (k) WHERE a.id IS DISTINCT FROM b.id")
-def snapshot_changes(spark: SparkSession, d: str) -> DataFrame:
-    """What changed between two snapshots of a keyed state."""
-    e = table(spark, d, "events").withColumn("k", F.col("event_id") % 500)
-    a = e.filter("ts < timestamp_ntz'2024-01-16'").groupBy("k").agg(F.max("event_id").alias("id"))
-    b = e.filter("event_type <> 'click'").groupBy("k").agg(F.max("event_id").alias("id"))
-    return C.changes(a, b, ["k"], ["id"])
-
-
 @query("WITH a AS (SELECT user_id, max(event_id) AS id FROM events WHERE user_id IS NOT NULL AND ts < TIMESTAMP '2024-01-16' GROUP BY ALL), b AS (SELECT user_id, max(event_id) AS id FROM events WHERE user_id IS NOT NULL AND event_type <> 'click' GROUP BY ALL) SELECT user_id, CASE WHEN a.id IS NULL THEN 'ADDED' WHEN b.id IS NULL THEN 'REMOVED' ELSE 'CHANGED' END AS change FROM a FULL JOIN b USING (user_id) WHERE a.id IS DISTINCT FROM b.id")
 def user_changes(spark: SparkSession, d: str) -> DataFrame:
     """What changed between two snapshots of every user's last event."""

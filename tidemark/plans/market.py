@@ -147,16 +147,21 @@ def weekly_rs(spark: SparkSession, d: str) -> DataFrame:
 
 _BENCH_SQL = "bench AS (SELECT date AS session_date, exp(avg(ln(adj_close))) AS benchmark_close FROM bars WHERE adj_close > 0 GROUP BY date)"
 _WEEK_SQL = "wk AS (SELECT symbol, CAST(date_trunc('week', date) AS DATE) AS week_start, arg_max(adj_close, date) AS adj_close, max(date) AS session_date FROM bars GROUP BY ALL)"
-_MANSFIELD_SQL = f"""WITH {BARS_SQL}, {_BENCH_SQL}, {_WEEK_SQL},
-x AS (SELECT wk.*, adj_close / nullif(benchmark_close, 0) AS ratio FROM wk LEFT JOIN bench USING (session_date)),
-m AS (SELECT *, CASE WHEN count(ratio) OVER (w ROWS 25 PRECEDING) >= 26 THEN avg(ratio) OVER (w ROWS 25 PRECEDING) END AS mean FROM x WINDOW w AS (PARTITION BY symbol ORDER BY week_start)),
+_MANSFIELD_CTES = f"""{_BENCH_SQL}, {_WEEK_SQL},
+x AS (SELECT wk.*, CASE WHEN benchmark_close > 0 AND adj_close > 0 THEN adj_close / benchmark_close END AS ratio FROM wk LEFT JOIN bench USING (session_date)),
+m AS (SELECT *, CASE WHEN count(ratio) OVER (w ROWS 51 PRECEDING) >= 52 THEN avg(ratio) OVER (w ROWS 51 PRECEDING) END AS mean FROM x WINDOW w AS (PARTITION BY symbol ORDER BY week_start)),
 f AS (SELECT symbol, week_start, CASE WHEN mean > 0 THEN ratio / mean - 1 END AS mansfield FROM m) """
+_MANSFIELD_SQL = f"WITH {BARS_SQL}, {_MANSFIELD_CTES}"
+
+
+def _benchmark(b: DataFrame) -> DataFrame:
+    """The market as the geometric mean of its closes."""
+    return b.filter("adj_close > 0").groupBy(F.col("date").alias("session_date")).agg(F.exp(F.avg(F.log("adj_close"))).alias("benchmark_close"))
 
 
 def _mansfield(spark: SparkSession, d: str) -> DataFrame:
     b = bars(spark, d)
-    bench = b.filter("adj_close > 0").groupBy(F.col("date").alias("session_date")).agg(F.exp(F.avg(F.log("adj_close"))).alias("benchmark_close"))
-    return M.mansfield(M.weekly_bars(b), bench, 26)
+    return M.mansfield(M.weekly_bars(b), _benchmark(b))
 
 
 @_query(_MANSFIELD_SQL + "SELECT symbol, week_start, round(mansfield, 9) + 0.0 AS mansfield FROM f")
@@ -185,6 +190,31 @@ def slope_4w(spark: SparkSession, d: str) -> DataFrame:
     return _mansfield(spark, d).withColumn("slope_4w", s).select("symbol", "week_start", (F.round("slope_4w", 9) + 0.0).alias("slope_4w"), (F.round("slope_4w", 9) > 0).alias("improving"))
 
 
+def _percentile_sql(value: str) -> str:
+    """Of each week that has ``value``, its mid-rank among the earlier weeks that have it."""
+    return f"""h_{value} AS (SELECT symbol, week_start, {value} AS v, row_number() OVER (PARTITION BY symbol ORDER BY week_start) AS n FROM weeks WHERE {value} IS NOT NULL),
+p_{value} AS (SELECT a.symbol, a.week_start, CASE WHEN count(b.v) < {M.LEAST_WEEKS} THEN 50.0 ELSE 100.0 * (count(*) FILTER (b.v < a.v) + count(*) FILTER (b.v = a.v) / 2.0) / count(b.v) END AS {value}_percentile
+  FROM h_{value} a LEFT JOIN h_{value} b ON a.symbol = b.symbol AND b.n < a.n AND b.n >= a.n - {M.WEEKS} GROUP BY a.symbol, a.week_start)"""
+
+
+def _slope_sql(value: str) -> str:
+    return f"round(lag({value}, 3) OVER w * -0.3 + lag({value}, 2) OVER w * -0.1 + lag({value}, 1) OVER w * 0.1 + {value} * 0.3, 7) + 0.0 AS {value}_slope_4w"
+
+
+@_query(_RS_SQL + f""", {_MANSFIELD_CTES}, rw AS (SELECT symbol, CAST(date_trunc('week', date) AS DATE) AS week_start, arg_max(rs, date) AS rs FROM rs WHERE rs IS NOT NULL GROUP BY ALL),
+weeks AS (SELECT f.symbol, f.week_start, round(rw.rs, 8) AS rs, round(f.mansfield, 8) AS mansfield FROM f LEFT JOIN rw ON rw.symbol = f.symbol AND rw.week_start = f.week_start),
+{_percentile_sql("rs")}, {_percentile_sql("mansfield")}
+SELECT symbol, week_start, rs + 0.0 AS rs, mansfield + 0.0 AS mansfield, {_slope_sql("rs")}, {_slope_sql("mansfield")}, round(rs_percentile, 6) AS rs_percentile, round(mansfield_percentile, 6) AS mansfield_percentile
+FROM weeks LEFT JOIN p_rs USING (symbol, week_start) LEFT JOIN p_mansfield USING (symbol, week_start) WINDOW w AS (PARTITION BY symbol ORDER BY week_start)""")
+def relative_strength_weekly(spark: SparkSession, d: str) -> DataFrame:
+    """Both kinds of relative strength by week, their slopes, and their percentiles among up to 104 earlier weeks."""
+    f = M.price_features(bars(spark, d))
+    r = M.relative_strength_features(f, _benchmark(f), "return_3m")
+    slopes = {f"{c}_slope_4w": F.round(f"{c}_slope_4w", 7) + 0.0 for c in ("rs", "mansfield")}
+    percentiles = {f"{c}_percentile": F.round(f"{c}_percentile", 6) for c in ("rs", "mansfield")}
+    return r.withColumns({**slopes, **percentiles, "rs": F.col("rs") + 0.0, "mansfield": F.col("mansfield") + 0.0})
+
+
 _MIDRANK_SQL = _FEATURES_SQL + """, v AS (SELECT symbol, date, round(volatility_20d, 8) AS x, row_number() OVER (PARTITION BY symbol ORDER BY date) AS n FROM c WHERE volatility_20d IS NOT NULL)
 SELECT a.symbol, a.date, round(CASE WHEN count(b.x) < 60 THEN 50.0 ELSE 100.0 * (count(*) FILTER (b.x < a.x) + count(*) FILTER (b.x = a.x) / 2.0) / count(b.x) END, 9) + 0.0 AS percentile
 FROM v a LEFT JOIN v b ON a.symbol = b.symbol AND b.n < a.n AND b.n >= a.n - 252 GROUP BY a.symbol, a.date"""

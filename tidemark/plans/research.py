@@ -10,13 +10,14 @@ from ..functions import scores
 from ..operators import bootstrap, overlap, resolve
 from ..sources import ownership
 from ..sources.tables import spread_table, table
-from .adapters import BARS_SQL, SIGNALS_SQL, TX_SQL, bars, signals, transactions
+from .adapters import BARS_SQL, JOINT_SQL, SIGNALS_SQL, TX_SQL, bars, joint_transactions, signals, transactions
 from .registry import Registry
 from .study import _grouped
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
 _X = f"WITH {TX_SQL}"
+_JOINT = f"WITH {JOINT_SQL}"
 
 
 @query(f"""WITH {SIGNALS_SQL}, h AS (SELECT signal_id, ticker, transaction_date AS starts, transaction_date + 365 AS ends FROM sig), a AS (SELECT interval_id, regexp_replace(upper(trim(ticker)), '[\\s./_-]+([A-Z0-9]{{1,2}})$', '-\\1') AS ticker, valid_to AS day FROM ticker_intervals WHERE valid_to IS NOT NULL)
@@ -28,21 +29,11 @@ def interval_overlap(spark: SparkSession, d: str) -> DataFrame:
     return overlap.points_in_intervals(a, h, "ticker", "day", "starts", "ends").select("signal_id", "interval_id")
 
 
-@query(_X + """, o AS (SELECT issuer, accession, list(DISTINCT owner) AS s, min(tx_date) AS day FROM tx GROUP BY ALL), m AS (SELECT issuer, accession, day, s, date_trunc('month', day) AS m FROM o)
+@query(_JOINT + """, o AS (SELECT issuer, accession, list(DISTINCT owner) AS s, min(tx_date) AS day FROM tx GROUP BY ALL), m AS (SELECT issuer, accession, day, s, date_trunc('month', day) AS m FROM o)
 SELECT a.issuer, a.accession, count(b.accession) AS candidates FROM m a LEFT JOIN m b ON a.issuer = b.issuer AND a.m = b.m AND b.accession < a.accession AND list_has_all(b.s, a.s) GROUP BY ALL""")
 def owner_subset_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Earlier filings of an issuer's month whose owners include all of this one's."""
-    return overlap.including_filings(transactions(spark, d))
-
-
-@query(_X + """, b AS (SELECT DISTINCT issuer, owner, tx_date, known_date FROM tx WHERE code = 'P'), s AS (SELECT DISTINCT issuer, known_date FROM b),
-w AS (SELECT s.issuer, s.known_date, count(DISTINCT b.owner) AS owners FROM s JOIN b ON b.issuer = s.issuer AND b.known_date <= s.known_date AND b.known_date > s.known_date - 30 GROUP BY ALL) SELECT issuer, known_date, owners FROM w WHERE owners >= 3""")
-def cluster_triggers(spark: SparkSession, d: str) -> DataFrame:
-    """Days of disclosure on which three or more owners have become known as buyers within 30 days."""
-    days = transactions(spark, d).filter("code = 'P'").groupBy("issuer", "known_date").agg(F.collect_set("owner").alias("o"))
-    w = Window.partitionBy("issuer").orderBy(F.unix_date("known_date")).rangeBetween(-29, 0)
-    n = F.size(F.array_distinct(F.flatten(F.collect_list("o").over(w)))).cast("long")
-    return days.withColumn("owners", n).filter("owners >= 3").select("issuer", "known_date", "owners")
+    return overlap.including_filings(joint_transactions(spark, d))
 
 
 #: Calendar days that a cluster's window reaches back from its anchor, and the owners that make a cluster and a strong one.
@@ -141,14 +132,6 @@ def amendment_chains(spark: SparkSession, d: str) -> DataFrame:
     return resolve.amendments(r, ["issuer", "owner", "part"], "known_date", "id", F.col("code") == "S").drop("code")
 
 
-@query(r"""WITH f AS (SELECT regexp_extract(provider_record_id, '[0-9]{10}-[0-9]{2}-[0-9]{6}') AS accession, CAST(retrieved_at AS DATE) AS day, form_type, delivery_id FROM sec_raw_records)
-SELECT accession, min(day) AS first_day, count(DISTINCT day) AS days, count(DISTINCT upper(form_type)) > 1 AS conflicting FROM f WHERE accession <> '' GROUP BY accession""")
-def republished_filings(spark: SparkSession, d: str) -> DataFrame:
-    """Filings published on several days: the earliest counts, differing content is a conflict."""
-    f = table(spark, d, "sec_raw_records").select(F.regexp_extract("provider_record_id", r"\d{10}-\d{2}-\d{6}", 0).alias("accession"), F.to_date("retrieved_at").alias("day"), F.upper("form_type").alias("form")).filter("accession <> ''")
-    return f.groupBy("accession").agg(F.min("day").alias("first_day"), F.count_distinct("day").alias("days"), (F.count_distinct("form") > 1).alias("conflicting"))
-
-
 @query()
 def republished_accessions(spark: SparkSession, d: str) -> DataFrame:
     """Filings, by their number in any column and spelling: first day, days and deliveries, and whether deliveries differ in
@@ -163,10 +146,10 @@ def _republished(raw: DataFrame) -> DataFrame:
     return g.withColumn("conflicting", F.col("form_conflict") | F.col("content_conflict"))
 
 
-@query(_X + """, c AS (SELECT DISTINCT accession FROM tx WHERE code = 'P'), o AS (SELECT accession, list_sort(list_distinct(list(owner))) AS owners FROM tx WHERE role <> '1-URGENT' GROUP BY accession) SELECT c.accession, owners, owners IS NULL AS missing FROM c LEFT JOIN o USING (accession)""")
+@query(_JOINT + """, c AS (SELECT DISTINCT accession FROM tx WHERE code = 'P'), o AS (SELECT accession, list_sort(list_distinct(list(owner))) AS owners FROM tx WHERE role <> '1-URGENT' GROUP BY accession) SELECT c.accession, owners, owners IS NULL AS missing FROM c LEFT JOIN o USING (accession)""")
 def owner_enrichment(spark: SparkSession, d: str) -> DataFrame:
     """Candidates with the set of their owners; candidates without any are shown as missing."""
-    t = transactions(spark, d)
+    t = joint_transactions(spark, d)
     c = t.filter("code = 'P'").select("accession").distinct()
     o = t.filter("role <> '1-URGENT'").join(c, "accession", "left_semi").groupBy("accession").agg(F.array_sort(F.collect_set("owner")).alias("owners"))
     return c.join(o, "accession", "left").withColumn("missing", F.col("owners").isNull())
@@ -179,16 +162,6 @@ def quality_tiers(spark: SparkSession, d: str) -> DataFrame:
     return m.select("provider", "rows", "days", F.when((F.col("filled") >= 0.999) & (F.col("days") >= 1000), "A").when(F.col("filled") >= 0.99, "B").otherwise("C").alias("tier"))
 
 
-@query(_X + """, c AS (SELECT accession, line, issuer, row_number() OVER (PARTITION BY accession ORDER BY line, known_date, part, tx_date, value) AS pos FROM tx), k AS (SELECT l_orderkey AS accession, l_suppkey AS issuer, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, greatest(CAST(l_shipdate AS DATE), CAST(o_orderdate AS DATE)), l_partkey, l_shipdate, l_extendedprice) AS pos FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
-SELECT c.accession, count(*) AS rows, count(*) FILTER (c.issuer <> k.issuer) AS mismatches FROM c JOIN k USING (accession, pos) GROUP BY ALL""")
-def positional_join(spark: SparkSession, d: str) -> DataFrame:
-    """Two tables matched by position within their group, and how many rows then disagree."""
-    order = ["line", "known_date", "part", "tx_date", "value"]
-    c = transactions(spark, d).withColumn("pos", F.row_number().over(Window.partitionBy("accession").orderBy(*order)))
-    other = c.select("accession", "pos", F.col("issuer").alias("other"))
-    return c.join(other, ["accession", "pos"]).groupBy("accession").agg(F.count("*").alias("rows"), F.count_if(F.col("issuer") != F.col("other")).alias("mismatches"))
-
-
 @query("""WITH b AS (SELECT provider, upper(trim(symbol)) AS symbol, date, max(close) AS close FROM daily_bars WHERE symbol IS NOT NULL AND date IS NOT NULL AND provider IS NOT NULL GROUP BY ALL),
 n AS (SELECT *, row_number() OVER (PARTITION BY provider, symbol ORDER BY date) AS pos FROM b), s AS (SELECT symbol, min(provider) AS one, max(provider) AS two FROM b GROUP BY symbol),
 l AS (SELECT n.* FROM n JOIN s ON s.symbol = n.symbol AND s.one = n.provider AND s.one < s.two), r AS (SELECT n.* FROM n JOIN s ON s.symbol = n.symbol AND s.two = n.provider AND s.one < s.two)

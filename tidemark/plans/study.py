@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import fold
+from ..operators import quantiles as Q
 from ..operators import study as S
 from .adapters import BARS_SQL, SIGNALS_SQL, bars, sessions, signals
 from .registry import Registry
@@ -103,16 +104,18 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 @query(_OUT + f"SELECT horizon, {_SUMMARY} FROM o GROUP BY horizon")
 def metric_summary(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(_outcomes(spark, d).groupBy("horizon").agg(*S.summary()))
+    return _rounded(S.summary(_outcomes(spark, d), ["horizon"]))
 
 
 @query(_OUT + f"SELECT horizon, year(date) AS year, provider, GROUPING_ID(year(date), provider) AS level, {_SUMMARY} FROM o GROUP BY GROUPING SETS ((horizon, year(date)), (horizon, provider), (horizon))")
 def regime_grouping_sets(spark: SparkSession, d: str) -> DataFrame:
-    """Outcomes by period, by group and together, in one pass."""
-    g = _grouped(spark, d).withColumn("year", F.year("date").cast("long"))
-    sets = [[F.col("horizon"), F.col("year")], [F.col("horizon"), F.col("provider")], [F.col("horizon")]]
-    out = g.groupingSets(sets, "horizon", "year", "provider").agg(F.grouping_id("horizon", "year", "provider").cast("long").alias("level"), *S.summary())
-    return _rounded(out.withColumn("level", F.col("level").bitwiseAND(3)))
+    """Outcomes by period, by group and together: each outcome goes to its three groups, as grouping sets would send it."""
+    g = _grouped(spark, d)
+    none = F.lit(None)
+    sets = [(F.year("date").cast("long"), none.cast("string"), 1), (none.cast("long"), F.col("provider"), 2), (none.cast("long"), none.cast("string"), 3)]
+    keys = F.explode(F.array(*[F.struct(y.alias("year"), p.alias("provider"), F.lit(n).cast("long").alias("level")) for y, p, n in sets]))
+    long = g.select("horizon", keys.alias("k"), "forward_return", "worst").select("horizon", "k.*", "forward_return", "worst")
+    return _rounded(S.summary(long, ["horizon", "year", "provider", "level"]))
 
 
 @query(_OUT + ", r AS (SELECT symbol, session_idx, unnest(list_filter([CASE WHEN forward_return IS NULL THEN 'NO_EXIT_' || horizon END, CASE WHEN NOT complete THEN 'GAP_' || horizon END], lambda x: x IS NOT NULL)) AS reason FROM o) SELECT reason, count(DISTINCT (symbol, session_idx)) AS events FROM r GROUP BY reason")
@@ -126,37 +129,17 @@ def attrition(spark: SparkSession, d: str) -> DataFrame:
 _RANKED = _OUT + ", q AS (SELECT *, row_number() OVER (PARTITION BY horizon ORDER BY forward_return, symbol, session_idx) AS k, count(*) OVER (PARTITION BY horizon) AS n FROM o WHERE forward_return IS NOT NULL)"
 
 
-def _ranked(spark: SparkSession, d: str) -> DataFrame:
-    """Positions within each horizon by counting below: quantile bounds first, exact ranks within the bounded tails only."""
-    return _outcomes(spark, d).filter("forward_return is not null")
-
-
 @query(_RANKED + "SELECT horizon, count(*) AS kept, round(avg(forward_return), 8) + 0.0 AS trimmed_mean FROM q WHERE k > floor(n * 0.05) AND k <= n - floor(n * 0.05) GROUP BY horizon")
 def trimmed_tail(spark: SparkSession, d: str) -> DataFrame:
-    """Mean without the lowest and highest 5 %.
-
-    A rank over a whole horizon would be one task's work. Values are counted first; the cut values are found by a running
-    count over the few hundred coarse steps of the value range, then exactly within the step that holds the cut, so that
-    no task ranks more than one step's rows."""
-    o = _ranked(spark, d).withColumn("step", F.floor(F.col("forward_return") * 200))
-    steps = o.groupBy("horizon", "step").agg(F.count("*").alias("c"))
-    w = Window.partitionBy("horizon").orderBy("step")
-    below = steps.select("horizon", "step", (F.sum("c").over(w) - F.col("c")).alias("below"), F.sum("c").over(Window.partitionBy("horizon")).alias("n"))
-    r = o.join(below, ["horizon", "step"])
-    k = F.col("below") + F.row_number().over(Window.partitionBy("horizon", "step").orderBy("forward_return", "symbol", "session_idx"))
-    kept = r.withColumn("k", k).filter((F.col("k") > F.floor(F.col("n") * 0.05)) & (F.col("k") <= F.col("n") - F.floor(F.col("n") * 0.05)))
-    return kept.groupBy("horizon").agg(F.count("*").alias("kept"), (F.round(F.avg("forward_return"), 8) + 0.0).alias("trimmed_mean"))
+    """Mean without the lowest and highest 5 %."""
+    t = Q.trimmed_means(_outcomes(spark, d), ["horizon"], "forward_return", 0.05)
+    return t.withColumn("trimmed_mean", F.round("trimmed_mean", 8) + 0.0)
 
 
 @query(_OUT + ", t AS (SELECT horizon, CAST(floor(count(forward_return) * 0.01) AS BIGINT) AS k FROM o GROUP BY horizon), q AS (SELECT o.*, row_number() OVER (PARTITION BY horizon ORDER BY forward_return DESC, symbol, session_idx) AS rn FROM o WHERE forward_return IS NOT NULL) SELECT horizon, count(*) AS top, round(sum(forward_return), 6) AS top_sum, count(DISTINCT symbol) AS symbols FROM q JOIN t USING (horizon) WHERE rn <= k GROUP BY horizon")
 def top1pct(spark: SparkSession, d: str) -> DataFrame:
-    """The best hundredth of all outcomes and how many symbols it comes from; ranks are taken within coarse steps as above."""
-    o = _ranked(spark, d).withColumn("step", F.floor(F.col("forward_return") * -200))
-    steps = o.groupBy("horizon", "step").agg(F.count("*").alias("c"))
-    before = steps.select("horizon", "step", (F.sum("c").over(Window.partitionBy("horizon").orderBy("step")) - F.col("c")).alias("before"), F.sum("c").over(Window.partitionBy("horizon")).alias("n"))
-    r = o.join(before.filter(F.col("before") < F.floor(F.col("n") * 0.01)), ["horizon", "step"])
-    k = F.col("before") + F.row_number().over(Window.partitionBy("horizon", "step").orderBy(F.desc("forward_return"), "symbol", "session_idx"))
-    top = r.withColumn("k", k).filter(F.col("k") <= F.floor(F.col("n") * 0.01))
+    """The best hundredth of all outcomes and how many symbols it comes from."""
+    top = Q.top_rows(_outcomes(spark, d), ["horizon"], "forward_return", F.floor(F.col("n") * 0.01), ["symbol", "session_idx"])
     return top.groupBy("horizon").agg(F.count("*").alias("top"), F.round(F.sum("forward_return"), 6).alias("top_sum"), F.count_distinct("symbol").alias("symbols"))
 
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import json
-from pathlib import Path
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.checks import content_hash
+from .storage import Storage, checked_name
 
 
 class SnapshotConflict(ValueError):
@@ -28,32 +29,42 @@ def write_snapshot(tables: dict[str, DataFrame], folder: str, run_id: str) -> di
     """Each table as Parquet under folder/run_id, then a manifest of their fingerprints, then folder/current.json.
 
     Writing a run again is allowed if it has the same content and refused otherwise. A reader that follows current.json
-    never sees a half-written run. ``folder`` is a path on storage that the driver can write small files to."""
-    root = Path(folder.removeprefix("file://"))
-    manifest_path = root / run_id / "manifest.json"
-    marks = {name: fingerprint(df) for name, df in sorted(tables.items())}
-    manifest = {"run_id": run_id, "tables": marks}
-    if manifest_path.exists():
-        if json.loads(manifest_path.read_text()) != manifest:
+    never sees a half-written run. ``folder`` is on any storage Spark can write to."""
+    spark = next(iter(tables.values())).sparkSession
+    store = Storage(spark, folder)
+    manifest_name = f"{checked_name(run_id)}/manifest.json"
+    manifest = {"run_id": run_id, "tables": {checked_name(name): fingerprint(df) for name, df in sorted(tables.items())}}
+    if store.exists(manifest_name):
+        if json.loads(store.read(manifest_name)) != manifest:
             raise SnapshotConflict(f"run {run_id} was written with other content")
     else:
         for name, df in tables.items():
             df.write.mode("overwrite").parquet(f"{folder}/{run_id}/{name}")
-        manifest_path.write_text(canonical_json(manifest))
-    partial = root / "current.json.partial"
-    partial.write_text(canonical_json({"run_id": run_id, "sha256": hashlib.sha256(manifest_path.read_bytes()).hexdigest()}))
-    partial.replace(root / "current.json")
+        store.write(manifest_name, canonical_json(manifest).encode())
+    digest = hashlib.sha256(store.read(manifest_name)).hexdigest()
+    store.write("current.json", canonical_json({"run_id": run_id, "sha256": digest}).encode())
     return manifest
 
 
-def read_snapshot(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The tables current.json points to; raises if the manifest isn't the one that was written."""
-    root = Path(folder.removeprefix("file://"))
-    current = json.loads((root / "current.json").read_text())
-    raw = (root / current["run_id"] / "manifest.json").read_bytes()
+def read_snapshot(spark: SparkSession, folder: str, verify: bool = True) -> dict[str, DataFrame]:
+    """The tables current.json points to. Raises if the manifest isn't the one that was written, if a name in it leaves the
+    run's folder, if the folder holds anything the manifest doesn't name or lacks what it names, and, with ``verify``, if
+    a table's content isn't what was written."""
+    store = Storage(spark, folder)
+    current = json.loads(store.read("current.json"))
+    run_id = checked_name(current["run_id"])
+    raw = store.read(f"{run_id}/manifest.json")
     if hashlib.sha256(raw).hexdigest() != current["sha256"]:
         raise SnapshotConflict("the manifest was changed")
-    return {name: spark.read.parquet(f"{folder}/{current['run_id']}/{name}") for name in json.loads(raw)["tables"]}
+    marks = {checked_name(name): mark for name, mark in json.loads(raw)["tables"].items()}
+    if store.names(run_id) != sorted([*marks, "manifest.json"]):
+        raise SnapshotConflict("the folder holds other files than the manifest names")
+    tables = {name: spark.read.parquet(f"{folder}/{run_id}/{name}") for name in marks}
+    if verify:
+        changed = [name for name, df in tables.items() if fingerprint(df) != marks[name]]
+        if changed:
+            raise SnapshotConflict(f"content was changed: {', '.join(changed)}")
+    return tables
 
 
 def canonical_json(value: object) -> str:
@@ -66,18 +77,29 @@ def export_csv(df: DataFrame, path: str) -> None:
     df.select(*safe).write.mode("overwrite").option("quoteAll", True).option("escape", '"').csv(path, header=True)
 
 
-def export_partitioned_json(df: DataFrame, path: str, by: str) -> None:
-    """A folder of JSON lines per value of ``by``; rows of one value are gathered first, large values over several files."""
-    df.repartition(F.col(by), F.pmod(F.xxhash64(*df.columns), F.lit(4))).write.mode("overwrite").partitionBy(by).json(path)
+def export_partitioned_json(df: DataFrame, path: str, by: str, ways: int | None = None) -> None:
+    """A folder of JSON lines per value of ``by``. A value's rows go to ``ways`` tasks, a third of the shuffle partitions if
+    not stated, so that one that most rows have isn't one task's work."""
+    ways = ways or max(1, -(-int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 3))
+    df.repartition(F.col(by), F.pmod(F.xxhash64(*df.columns), F.lit(ways))).write.mode("overwrite").partitionBy(by).json(path)
 
 
 def append_new(df: DataFrame, path: str, key: str, spark: SparkSession, batch_id: int) -> None:
     """Appends rows whose key isn't there yet, as an at-least-once stream's ``foreachBatch`` needs: each batch owns a folder
-    and may be written again."""
-    try:
+    and may be written again. Of what is there, only keys are read."""
+    if Storage(spark, path).names():
         known = spark.read.parquet(path).filter(F.col("batch") != batch_id).select(key)
         df = df.join(known, key, "left_anti")
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
     df.dropDuplicates([key]).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+
+def deliver_at_most_once(df: DataFrame, path: str, key: str, spark: SparkSession, batch_id: int, send: Callable[[DataFrame], None]) -> bool:
+    """Claims the batch's new keys, then sends their rows. A batch that was claimed before is never sent again, even if sending
+    it failed: rows may be lost that way, none is sent twice. Whether anything was sent."""
+    store = Storage(spark, path)
+    if store.exists(f"batch={batch_id}/_SUCCESS"):
+        return False
+    append_new(df, path, key, spark, batch_id)
+    claimed = spark.read.schema(df.select(key).schema).parquet(f"{path}/batch={batch_id}")
+    send(df.dropDuplicates([key]).join(claimed, key, "left_semi"))
+    return True

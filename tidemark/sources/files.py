@@ -93,6 +93,31 @@ def positional_rows(raw: DataFrame, text: str, wanted: list[str]) -> DataFrame:
     return j.select(*[F.when(at(w) > 0, F.try_element_at("row", at(w).cast("int"))).alias(w) for w in wanted])
 
 
+def positional_checked(raw: DataFrame, text: str, wanted: list[str], required: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``positional_rows`` as (rows, rows set aside with ``reasons``): one reason per required field that is null or blank."""
+    rows = positional_rows(raw, text, wanted)
+    return checks.split_valid(rows, {f"MISSING_{c.upper()}": F.trim(c) != "" for c in required})
+
+
+class RefusedBatch(ValueError):
+    pass
+
+
+def batch_envelope(spark: SparkSession, path: str, records: str) -> DataFrame:
+    """Rows of envelopes {"records": [...], "quarantines": [...], "failures": [...], "complete": true}, one a line.
+
+    ``records``: DDL of one record. Nothing of the batch is read if an envelope has quarantines or failures, isn't complete
+    or can't be parsed; only how many there are of each reaches the driver."""
+    schema = f"records array<struct<{records}>>, quarantines array<string>, failures array<string>, complete boolean, _corrupt string"
+    e = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    some = lambda c: F.count_if(F.size(F.coalesce(c, F.array())) > 0)
+    bad = {"quarantines": some("quarantines"), "failures": some("failures"), "incomplete": F.count_if(~F.coalesce("complete", F.lit(False))), "unreadable": F.count("_corrupt")}
+    found = {k: n for k, n in e.agg(*[c.alias(k) for k, c in bad.items()]).first().asDict().items() if n}
+    if found:
+        raise RefusedBatch(f"batch refused: {found}")
+    return e.select(F.explode("records").alias("r")).select("r.*")
+
+
 def nested_facts(raw: DataFrame, text: str) -> DataFrame:
     """(taxonomy, concept, unit, value, period_end, filed, accession) of documents with maps of maps of arrays."""
     schema = "facts map<string, map<string, struct<units: map<string, array<struct<`end`: string, val: double, filed: string, accn: string>>>>>>"
