@@ -8,7 +8,6 @@ the item's size around the shingles that the text shares with it. Nothing of a t
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import partial, reduce
 
@@ -39,21 +38,24 @@ def reach(n: int) -> int:
     return n + GAP * (n // SEED + 1)
 
 
-def shingles(tokens: list[str], cache: dict[str, int] | None = None) -> np.ndarray:
-    """64-bit hashes of all runs of SHINGLE words."""
-    import xxhash
+class _Hashes(dict):
+    """Hashes of the words seen lately."""
+
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        if len(self) > 500_000:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
 
+
+def shingles(tokens: list[str], hashes: _Hashes | None = None) -> np.ndarray:
+    """64-bit hashes of all runs of SHINGLE words."""
     if len(tokens) < SHINGLE:
         return np.empty(0, np.int64)
-    cache = {} if cache is None else cache
-    if len(cache) > 500_000:
-        cache.clear()
-    ids = np.empty(len(tokens), np.uint64)
-    for i, w in enumerate(tokens):
-        h = cache.get(w)
-        if h is None:
-            h = cache[w] = xxhash.xxh3_64_intdigest(w)
-        ids[i] = h
+    hashes = _Hashes() if hashes is None else hashes
+    ids = np.fromiter(map(hashes.__getitem__, tokens), np.uint64, len(tokens))
     out = np.zeros(len(tokens) - SHINGLE + 1, np.uint64)
     for k in range(SHINGLE):
         out = (out ^ ids[k : len(ids) - SHINGLE + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
@@ -74,7 +76,7 @@ def _spans(at: np.ndarray, around: int, n: int) -> list[tuple[int, int]]:
 
 def _hit_documents(batches: Iterator[pa.RecordBatch], wanted: object) -> Iterator[pa.RecordBatch]:
     """The documents that hold any wanted shingle: where which one stands, and the words around."""
-    cache: dict[str, int] = {}
+    cache = _Hashes()
     only, around = wanted.value
     if not len(only):
         return
@@ -107,8 +109,8 @@ def _stretches(index: dict[tuple, list[int]], start: int, text: list[str]) -> li
     """Longest exact common stretches of SEED words or more: [item position, text position, words]. ``text`` are words from
     position ``start`` on."""
     found, last = [], {}
-    for j in range(start, start + len(text) - SEED + 1):
-        for p in index.get(tuple(text[j - start : j - start + SEED]), ()):
+    for j, seed in enumerate(zip(*(text[k:] for k in range(SEED))), start):
+        for p in index.get(seed, ()):
             b = last.get(j - p)
             if b is not None and b[1] + b[2] - SEED + 1 >= j:
                 b[2] = j + SEED - b[1]
@@ -176,21 +178,26 @@ def recurring(item: list[str], index: dict[tuple, list[int]], windows: list[tupl
 
 def seeds(item: list[str]) -> dict[tuple, list[int]]:
     """Where each run of SEED words stands in an item."""
-    index = defaultdict(list)
+    index: dict[tuple, list[int]] = {}
     for p in range(len(item) - SEED + 1):
-        index[tuple(item[p : p + SEED])].append(p)
+        index.setdefault(tuple(item[p : p + SEED]), []).append(p)
     return index
 
 
 def _windows(item_shingles: np.ndarray, n: int, n_words: int, positions: np.ndarray, hashes: np.ndarray, pieces: list[dict]) -> list[tuple[int, list[str]]]:
-    """The text within an item's reach of the shingles it shares with the item; it lies within ``pieces``."""
-    own = np.sort(positions[np.isin(hashes, item_shingles)])
+    """The text within an item's reach of the shingles it shares with the item; it lies within ``pieces``. item_shingles: sorted."""
+    spot = np.searchsorted(item_shingles, hashes)
+    spot[spot == len(item_shingles)] = 0
+    own = np.sort(positions[item_shingles[spot] == hashes])
     if not len(own):
         return []
-    split = {p["start"]: p["text"].split(" ") for p in pieces}
-    starts, out = sorted(split), []
+    texts = {p["start"]: p["text"] for p in pieces}
+    starts, out = sorted(texts), []
+    split: dict[int, list[str]] = {}
     for a, b in _spans(own, reach(n), n_words):
         at = starts[bisect_left(starts, a + 1) - 1]
+        if at not in split:
+            split[at] = texts[at].split(" ")
         out.append((a, split[at][a - at : b - at]))
     return out
 
@@ -199,20 +206,21 @@ def _verify(batches: Iterator[pa.RecordBatch], items: object, share: float) -> I
     known: dict[int, tuple] = {}
     for batch in batches:
         rows = []
-        for lo in range(0, batch.num_rows, 200):
-            part = batch.slice(lo, 200)
-            for no, doc_id, n_words, hits, pieces in zip(*(part.column(c).to_pylist() for c in ("item_no", "doc_id", "n_words", "hits", "pieces"))):
-                if no not in known:
-                    if len(known) > 2000:
-                        known.clear()
-                    item_id, text = items.value[no]
-                    item = words(text)
-                    known[no] = item_id, item, seeds(item), np.unique(shingles(item))
-                item_id, item, index, own = known[no]
-                positions, hashes = (np.array([h[k] for h in hits], np.int64) for k in ("pos", "shingle"))
-                got = recurring(item, index, _windows(own, len(item), n_words, positions, hashes, pieces)) / len(item)
-                if got >= share:
-                    rows.append((item_id, doc_id, got))
+        hits = batch.column("hits")
+        positions, hashes = (x.to_numpy(zero_copy_only=False) for x in hits.flatten().flatten())
+        ends = np.cumsum(hits.value_lengths().to_numpy(zero_copy_only=False))
+        for i, (no, doc_id, n_words, pieces) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("item_no", "doc_id", "n_words", "pieces")))):
+            if no not in known:
+                if len(known) > 2000:
+                    known.clear()
+                item_id, text = items.value[no]
+                item = words(text)
+                known[no] = item_id, item, seeds(item), np.unique(shingles(item))
+            item_id, item, index, own = known[no]
+            at = slice(ends[i - 1] if i else 0, ends[i])
+            got = recurring(item, index, _windows(own, len(item), n_words, positions[at], hashes[at], pieces)) / len(item)
+            if got >= share:
+                rows.append((item_id, doc_id, got))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64()))], names=["item_id", "doc_id", "share"])
 

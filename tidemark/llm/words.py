@@ -25,5 +25,5 @@ def words(text: str | None) -> list[str]:
     flat = _TAG.sub(" ", text) if "<" in text or "&" in text else text
     if flat.isascii():
         return _PLAIN_WORD.findall(flat.translate(_ASCII_CONTROLS).lower())
-    flat = _INVISIBLE.sub("", unicodedata.normalize("NFKD", _INVISIBLE.sub("", flat))).casefold()
+    flat = _INVISIBLE.sub("", unicodedata.normalize("NFKD", flat)).casefold()
     return (_WORD if _SPACELESS.search(flat) else _PLAIN_WORD).findall(flat)
