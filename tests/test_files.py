@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import normal as N
 from tidemark.operators import checks, resolve, study
 from tidemark.operators import late as late_ops
-from tidemark.sinks import snapshot
+from tidemark.sinks import snapshot, storage
 from tidemark.sources import files
 from tidemark.streaming.late import DifferentialTotals
 
@@ -79,7 +79,7 @@ def test_snapshots(spark, tmp_path):
     with pytest.raises(snapshot.SnapshotConflict):
         snapshot.write_snapshot({"t": df.filter("i = 1")}, str(tmp_path), "r1")
     assert snapshot.read_snapshot(spark, str(tmp_path))["t"].count() == 2
-    (tmp_path / "r1" / "manifest.json").write_text("{}")
+    storage.Storage(spark, str(tmp_path)).write("r1/manifest.json", b"{}")
     with pytest.raises(snapshot.SnapshotConflict):
         snapshot.read_snapshot(spark, str(tmp_path))
     snapshot.export_csv(spark.createDataFrame([("=1+1",), (" @x",), ("ok",)], "s string"), str(tmp_path / "csv"))

@@ -76,6 +76,6 @@ def test_ownership_rows(spark):
     <nonDerivativeTable><nonDerivativeTransaction><transactionDate><value>2024-01-02</value></transactionDate><transactionCoding><transactionCode>P</transactionCode></transactionCoding><transactionAmounts><transactionShares><value>10</value></transactionShares></transactionAmounts></nonDerivativeTransaction><nonDerivativeHolding/></nonDerivativeTable></ownershipDocument>"""
     got = ownership.transactions(spark.createDataFrame([(1, xml), (2, xml[:300]), (3, None)], "k long, d string"), "k", "d").collect()
     assert len({id(x) for x in got}) == 2 and {x.owner_cik for x in got} == {"0000000007", "0000000008"}
-    assert all(x.classification == "PURCHASE" and int(x.shares) == 10 and x.price is None and str(x.transaction_date) == "2024-01-02" for x in got)
+    assert all(x.classification == "OPEN_MARKET_PURCHASE" and int(x.shares) == 10 and x.price is None and str(x.transaction_date) == "2024-01-02" for x in got)
     assert next(x.roles for x in got if x.owner_cik == "0000000007") == ["CEO", "DIRECTOR"]
     assert ET.fromstring(xml) is not None

@@ -52,3 +52,11 @@ def content_hash(columns: list[str]) -> Column:
     """SHA-256 over the columns in order; nulls differ from empty strings."""
     parts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("~")) for c in columns]
     return F.sha2(reduce(lambda a, b: F.concat(a, F.lit("|"), b), parts), 256)
+
+
+def day_checkpoints(keys: DataFrame, day: str, key: str, stored: str) -> DataFrame:
+    """(day, discovered, stored, failed, complete, name): a day's keys, each once, by whether they were stored. ``name`` is the
+    hash of the sorted keys and their outcome, the same for the same content on any run. A day's keys are one row's size."""
+    mark = F.concat(F.col(key), F.when(F.col(stored), "+").otherwise("-"))
+    g = keys.groupBy(day).agg(F.count("*").alias("discovered"), F.count_if(F.col(stored)).alias("stored"), F.count_if(~F.col(stored)).alias("failed"), F.array_sort(F.collect_list(mark)).alias("__marks"))
+    return g.select(day, "discovered", "stored", "failed", (F.col("failed") == 0).alias("complete"), F.sha2(F.array_join("__marks", ","), 256).alias("name"))

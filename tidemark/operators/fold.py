@@ -31,3 +31,17 @@ def hysteresis(level: Column, steps: Column, top: int, failures: int) -> Column:
         return F.struct(new.cast("int").alias("level"), F.when(drop, F.lit(0)).otherwise(failed).cast("int").alias("failed"), F.concat(acc["path"], F.array(new.cast("int"))).alias("path"))
 
     return F.aggregate(steps, start, step, lambda acc: acc["path"])
+
+
+def cooldown(steps: Column, days: int, least_move: float) -> Column:
+    """(kept, overridden) over an array of (day, score) in order: a step is kept when ``days`` have gone by since the last one
+    kept, or when the score has moved by ``least_move`` since, which counts as overridden."""
+    start = F.struct(F.lit(None).cast("int").alias("day"), F.lit(None).cast("double").alias("score"), F.lit(0).alias("kept"), F.lit(0).alias("overridden"))
+
+    def step(acc: Column, x: Column) -> Column:
+        due = acc["day"].isNull() | (x["day"] - acc["day"] >= days)
+        moved = ~due & (F.abs(x["score"] - acc["score"]) >= least_move)
+        new = F.struct(x["day"].alias("day"), x["score"].cast("double").alias("score"), (acc["kept"] + 1).alias("kept"), (acc["overridden"] + F.when(moved, 1).otherwise(0)).alias("overridden"))
+        return F.when(due | moved, new).otherwise(acc)
+
+    return F.aggregate(steps, start, step)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
+
 
 def daily_totals(rows: DataFrame) -> DataFrame:
     """(entity, n_day, total, level_sum, level_n, active): one row per entity and day with activity, pre-aggregated.
@@ -41,9 +43,12 @@ def trailing(daily: DataFrame, periods: tuple[int, ...] = (7, 30)) -> DataFrame:
 def ordered_index(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     """rows with their position from 0 in the given total order, without one task seeing them all.
 
-    Rows are sorted over range partitions; each adds what the partitions before it hold. Only one count per partition
-    passes through a window of its own."""
-    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    Rows are sorted over range partitions and written to the shared folder, so that both sides of what follows see the
+    same partitions; each adds what the partitions before it hold. Only one count per partition passes through a window of
+    its own."""
+    checkpoint_dir(rows.sparkSession)
+    fixed = rows.repartitionByRange(*order).sortWithinPartitions(*order).checkpoint()
+    sorted_ = fixed.withColumn("__part", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
     sizes = sorted_.groupBy("__part").agg(F.count("*").alias("__size"))
     before = sizes.select("__part", F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     return sorted_.join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__i")).drop("__part", "__before", "__i", "__size")
