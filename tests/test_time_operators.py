@@ -144,6 +144,45 @@ def test_history(spark):
     assert history.version_history([spark.createDataFrame([], SNAPSHOTS)], ["a"]).count() == 0
 
 
+def brute_history(rows):
+    """rows: entity, day, stated_to, known, value"""
+    out = []
+    for e in {r[0] for r in rows}:
+        best = {}
+        for r in rows:
+            if r[0] == e:
+                rank = (r[3] is not None, r[3] or T0, r[4] is not None, r[4] or "", r[2] is not None, r[2] or dt.date.min)
+                best[r[1]] = max(best.get(r[1], (rank, r)), (rank, r), key=lambda x: x[0])
+        days = [best[k][1] for k in sorted(best)]
+        for i, r in enumerate(days):
+            if i and days[i - 1][4] == r[4]:
+                continue
+            nxt = next((k for k in range(i + 1, len(days)) if days[k][4] != r[4]), None)
+            out.append((e, r[4], r[1], days[nxt][1] if nxt else days[-1][2]))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("chunk_rows", [1, 7, 1000])
+def test_history_merges_many_snapshots(spark, chunk_rows):
+    """Snapshots that overlap in entities and days, cut into chunks of any size, and one entity with a third of the rows."""
+    r = random.Random(chunk_rows)
+    rows = [(r.choice(["hot", f"e{r.randint(0, 9)}", f"e{r.randint(0, 9)}"]), T0.date() + dt.timedelta(r.randint(0, 40)), r.choice([None, T0.date()]), r.choice([None, T0 + dt.timedelta(r.randint(0, 3))]), r.choice(["p", "q", None]), f"s{r.randint(0, 30)}") for _ in range(900)]
+    df = spark.createDataFrame(rows + rows[:50], "entity string, valid_from date, stated_to date, knowledge_at timestamp_ntz, a string, snap string")
+    got = [tuple(x) for x in history.version_history([df.filter("snap < 's2'"), df.filter("snap >= 's2'")], ["a"], "snap", chunk_rows).collect()]
+    assert sorted(got, key=str) == brute_history(rows)
+
+
+def test_merge_gives_order_and_holds_a_chunk_per_run():
+    import pyarrow as pa
+
+    r = random.Random(8)
+    runs = {f"s{k}": sorted((f"e{r.randint(0, 99):02}", T0.date() + dt.timedelta(k)) for _ in range(60)) for k in range(5)}
+    packed = [b for name, keys in runs.items() for b in history._pack(iter([pa.RecordBatch.from_pydict({"snapshot": [name] * 60, "entity": [e for e, _ in keys], "valid_from": [d for _, d in keys]})]), 8)]
+    chunks = pa.Table.from_batches(packed).sort_by([("entity", "ascending"), ("valid_from", "ascending")])
+    got = [(x["entity"], x["valid_from"]) for x in history._merged(iter(chunks.to_batches()))]
+    assert len(chunks) == 40 and got == sorted(k for keys in runs.values() for k in keys)
+
+
 def test_trailing_like_brute_force(spark):
     r = random.Random(5)
     rows = [(r.choice("ab"), T0.date() + dt.timedelta(r.choice([*range(20), 60, 61])), float(r.randint(0, 3)), 1) for _ in range(40)] + [("a", None, 1.0, 1), (None, T0.date(), 1.0, 1), ("c", T0.date(), None, 1)]

@@ -218,8 +218,9 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
         "knowledge_at",
         F.coalesce(N.ticker(F.col("ticker")), F.lit("")).alias("ticker"),
         F.coalesce(N.symbol(F.col("exchange")), F.lit("")).alias("exchange"),
+        "run_id",
     )
-    h = history.version_history([rows], ["ticker", "exchange"])
+    h = history.version_history([rows], ["ticker", "exchange"], snapshot="run_id")
     return h.select(F.col("entity").alias("cik"), "ticker", "exchange", N.day_text(F.col("valid_from")).alias("valid_from"), F.coalesce(N.day_text(F.col("valid_to")), F.lit("")).alias("valid_to"))
 
 
