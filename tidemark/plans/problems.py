@@ -152,6 +152,50 @@ def p3_line_owners(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.col("child_record").alias("delivery_id"), F.col("parent_name").alias("line_type"), F.col("parent_ordinal").alias("line"), F.col("child_value").alias("code"))
 
 
+#: What stands at a path as a list: an array's members, one value alone, nothing for a null.
+_ARRAY_SQL = """CASE WHEN {0} IS NULL OR json_type({0}) = 'NULL' THEN [] WHEN json_type({0}) = 'ARRAY'
+  THEN list_filter(from_json({0}, '["JSON"]'), lambda e: e IS NOT NULL AND json_type(e) <> 'NULL') ELSE [{0}] END"""
+
+
+def _lines_sql(letter: str, part: str) -> str:
+    """Transactions of one table, out of XML by patterns and out of JSON by paths."""
+    kind = {"N": "nonDerivative", "D": "derivative"}[letter]
+    return f"""SELECT acc, delivery_id, '{letter}' AS letter, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM (SELECT acc, delivery_id,
+  regexp_extract_all(regexp_extract(x, '<{kind}Table>.*</{kind}Table>', 0, 's'), '<{kind}Transaction(?:\\s[^>]*)?(?:/>|>.*?</{kind}Transaction>)', 0, 's') AS l FROM xml)
+UNION ALL SELECT acc, delivery_id, '{letter}', CAST(unnest(l) AS VARCHAR), generate_subscripts(l, 1) FROM (SELECT acc, delivery_id, {_ARRAY_SQL.format(f"(root->'$.{kind}Table.{kind}Transaction')")} AS l FROM js)"""
+
+
+_P3 = (
+    _FILINGS_SQL
+    + rf""", t AS (SELECT nullif(f.key, '') AS acc, delivery_id, trim(decode(r.payload), chr(65279) || ' ' || chr(9) || chr(10) || chr(13)) AS x, r.provenance AS p FROM f JOIN sec_raw_records r USING (delivery_id)),
+xml AS (SELECT acc, delivery_id, regexp_replace(regexp_replace(x, '<!--.*?-->', '', 'gs'), '<!\[CDATA\[.*?\]\]>', '', 'gs') AS x FROM t WHERE x LIKE '<%' AND x LIKE '%</ownershipDocument>'),
+jd AS (SELECT acc, delivery_id, CASE WHEN json_type(x) = 'VARCHAR' THEN json(json_extract_string(x, '$')) ELSE json(x) END AS d FROM t WHERE x NOT LIKE '<%' AND json_valid(x)),
+js AS (SELECT acc, delivery_id, coalesce(d->'$.ownershipDocument', d) AS root FROM jd),
+o AS (SELECT acc, unnest(regexp_extract_all(x, '<rptOwnerCik>\s*([^<]*?)\s*</rptOwnerCik>', 1)) AS cik FROM xml
+  UNION ALL SELECT acc, json_extract_string(unnest({_ARRAY_SQL.format("(root->'$.reportingOwner')")}), '$.reportingOwnerId.rptOwnerCik') FROM js),
+l AS ({_lines_sql("N", "nonDerivative")} UNION ALL {_lines_sql("D", "derivative")}),
+n AS (SELECT acc, letter, pos, unnest(regexp_extract_all(line, '<footnoteId\s+id\s*=\s*["'']\s*([^"''\s]+)', 1)) AS id FROM l WHERE line LIKE '<%'
+  UNION ALL SELECT acc, letter, pos, unnest(list_filter(regexp_extract_all(m, '"([^"]+)"', 1), lambda v: v <> 'id')) FROM (SELECT acc, letter, pos,
+    unnest(regexp_extract_all(CAST(json(line) AS VARCHAR), '"footnoteId":("[^"]*"|\{{[^}}]*\}}|\[[^\]]*\])', 1)) AS m FROM l WHERE line NOT LIKE '<%')),
+pv AS (SELECT acc, delivery_id, CASE WHEN json_type(p) = 'VARCHAR' THEN json(json_extract_string(p, '$')) ELSE json(p) END AS v FROM t WHERE json_valid(p)),
+h AS (SELECT acc, delivery_id, json_extract_string(unnest({_ARRAY_SQL.format("(v->'$.transport.fetches')")}), '$.attempt') AS attempt FROM pv)"""
+)
+P3_FOUND_SQL = (
+    _P3
+    + """
+SELECT DISTINCT acc AS accession_number, kind, parent_key, child_key FROM (
+  SELECT acc, 'owner' AS kind, '' AS parent_key, lpad(cik, 10, '0') AS child_key FROM o WHERE cik <> ''
+  UNION ALL SELECT acc, 'line', letter, CAST(pos AS VARCHAR) FROM l UNION ALL SELECT acc, 'footnote', letter || pos, id FROM n
+  UNION ALL SELECT acc, 'fetch', CAST(delivery_id AS VARCHAR), attempt FROM h WHERE attempt IS NOT NULL)"""
+)
+P3_LINE_OWNERS_SQL = (
+    _P3
+    + r"""
+SELECT delivery_id, CASE letter WHEN 'N' THEN 'nonDerivativeTransaction' ELSE 'derivativeTransaction' END AS line_type, pos AS line, code FROM (SELECT *, CASE WHEN line LIKE '<%'
+  THEN CASE WHEN line LIKE '%<transactionCode>%' THEN regexp_extract(line, '<transactionCode>\s*([^<]*?)\s*</transactionCode>', 1) END
+  ELSE json_extract_string(line, '$.transactionCoding.transactionCode') END AS code FROM l) WHERE code IS NOT NULL"""
+)
+
 # ---------------------------------------------------------------- 4: implausible readings
 
 
@@ -276,6 +320,6 @@ SELECT symbol, day, volume_7, volume_30, volume_7 / 7 AS mean_volume_7, volume_3
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_versions, p2_found, p2_totals, p2_deltas, p3_found, p3_nodes, p3_line_owners, p4_found, p4_flags, p5_found, p5_kept, p5_new_batch, p6_found, p7_found, p7_rolling)}
 SQL = {
-    "p1_found": P1_FOUND_SQL, "p1_versions": P1_VERSIONS_SQL, "p2_found": P2_FOUND_SQL, "p2_totals": P2_TOTALS_SQL, "p2_deltas": P2_DELTAS_SQL, "p5_found": P5_FOUND_SQL,
+    "p1_found": P1_FOUND_SQL, "p1_versions": P1_VERSIONS_SQL, "p2_found": P2_FOUND_SQL, "p2_totals": P2_TOTALS_SQL, "p2_deltas": P2_DELTAS_SQL, "p3_found": P3_FOUND_SQL, "p3_line_owners": P3_LINE_OWNERS_SQL, "p5_found": P5_FOUND_SQL,
     "p5_kept": P5_KEPT_SQL, "p5_new_batch": P5_NEW_BATCH_SQL, "p6_found": P6_FOUND_SQL, "p7_found": P7_FOUND_SQL, "p7_rolling": P7_ROLLING_SQL,
 }
