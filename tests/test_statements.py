@@ -166,3 +166,32 @@ def test_merged_observations(spark):
     rows = [("a", 1, "x"), ("a", 1, "x"), ("a", 2, "x"), ("a", 2, None), ("b", 1, None)]
     got = {(x.k, x.at): (x.v, x.conflict) for x in resolve.merged_observations(spark.createDataFrame(rows, "k string, at int, v string"), ["k", "at"], ["v"]).collect()}
     assert got == {("a", 1): ("x", False), ("a", 2): (None, True), ("b", 1): (None, False)}
+
+
+def test_overlay_by_whole_key(spark):
+    base = spark.createDataFrame([(1, 1, 5.0), (1, 2, 6.0), (2, 1, None), (None, 1, 9.0)], "a int, b int, v double")
+    over = spark.createDataFrame([(1, 1, 50.0, "x"), (1, 2, None, "x"), (3, 1, 7.0, "x"), (None, 1, 1.0, "x")], "a int, b int, c double, v string")
+    from tidemark.operators import checks
+
+    got = {(x.a, x.b): (x.v, x.origin) for x in checks.overlay(base, over, ["a", "b"], "v", "c").collect()}
+    assert got == {(1, 1): (50.0, "OVERLAY"), (1, 2): (6.0, "WITHDRAWN"), (2, 1): (None, "BASE"), (None, 1): (9.0, "BASE")}
+    assert {(x.a, x.b, x.side) for x in checks.scope_difference(base, over, ["a", "b"]).collect()} == {(2, 1, "left"), (3, 1, "right")}
+    assert checks.overlay(base.limit(0), over, ["a", "b"], "v", "c").count() == 0
+
+
+def test_zoned_dates(spark):
+    from tidemark.functions import normal as N
+
+    rows = ["2024-01-02", "2024-01-02Z", "2024-01-02-05:00", "2024-01-02 05:00", "2024-13-02Z", " 2024-01-02", "", None]
+    got = [x[0] for x in spark.createDataFrame([(r,) for r in rows], "s string").select(N.zoned_date(F.col("s"))).collect()]
+    assert got == [dt.date(2024, 1, 2)] * 3 + [None] * 5
+
+
+def test_day_checkpoints_name_their_content(spark):
+    from tidemark.operators import checks
+
+    rows = [("d1", "a", True), ("d1", "b", False), ("d2", "c", True)]
+    f = lambda r: {x.d: x for x in checks.day_checkpoints(spark.createDataFrame(r, "d string, k string, s boolean"), "d", "k", "s").collect()}
+    one, two = f(rows), f(rows[::-1])
+    assert (one["d1"].discovered, one["d1"].stored, one["d1"].failed, one["d1"].complete, one["d2"].complete) == (2, 1, 1, False, True)
+    assert one["d1"].name == two["d1"].name and f([("d1", "a", True), ("d1", "b", True)])["d1"].name != one["d1"].name

@@ -47,3 +47,8 @@ def loose_date(c: Column) -> Column:
 
 def day_text(c: Column) -> Column:
     return F.date_format(c, "yyyy-MM-dd")
+
+
+def zoned_date(c: Column) -> Column:
+    """A date out of 2024-08-29, maybe with Z or an offset such as -05:00 behind it, which is dropped; anything else is null."""
+    return F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}(Z|[+-]\d{2}:\d{2})?$"), F.try_to_date(F.substring(c, 1, 10), "yyyy-MM-dd"))

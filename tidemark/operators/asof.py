@@ -79,7 +79,8 @@ def current_state_versions(intervals: DataFrame) -> DataFrame:
     and an empty table do no harm. There is one version at most per entity and instant."""
     dawn = F.lit(str(_DAWN)).cast("timestamp_ntz")
     rows = (
-        intervals.select("entity", "interval_id", F.col("valid_from").cast("timestamp_ntz").alias("valid_from"), F.col("valid_to").cast("timestamp_ntz").alias("stops"), F.col("knowledge_at").cast("timestamp_ntz").alias("knowledge_at"))
+        intervals.select("entity", "interval_id", F.col("valid_from").cast("timestamp_ntz").alias("valid_from"),
+            F.col("valid_to").cast("timestamp_ntz").alias("stops"), F.col("knowledge_at").cast("timestamp_ntz").alias("knowledge_at"))
         .filter("entity is not null and interval_id is not null")
         .withColumn("starts", F.coalesce(F.greatest("valid_from", "knowledge_at"), dawn))
         .filter(F.col("stops").isNull() | (F.col("starts") < F.col("stops")))

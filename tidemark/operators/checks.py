@@ -58,5 +58,19 @@ def day_checkpoints(keys: DataFrame, day: str, key: str, stored: str) -> DataFra
     """(day, discovered, stored, failed, complete, name): a day's keys, each once, by whether they were stored. ``name`` is the
     hash of the sorted keys and their outcome, the same for the same content on any run. A day's keys are one row's size."""
     mark = F.concat(F.col(key), F.when(F.col(stored), "+").otherwise("-"))
-    g = keys.groupBy(day).agg(F.count("*").alias("discovered"), F.count_if(F.col(stored)).alias("stored"), F.count_if(~F.col(stored)).alias("failed"), F.array_sort(F.collect_list(mark)).alias("__marks"))
+    g = keys.groupBy(day).agg(F.count("*").alias("discovered"), F.count_if(F.col(stored)).alias("stored"), F.count_if(~F.col(stored)).alias("failed"),
+        F.array_sort(F.collect_list(mark)).alias("__marks"))
     return g.select(day, "discovered", "stored", "failed", (F.col("failed") == 0).alias("complete"), F.sha2(F.array_join("__marks", ","), 256).alias("name"))
+
+
+def overlay(base: DataFrame, over: DataFrame, key: list[str], value: str, corrected: str) -> DataFrame:
+    """(*key, value, origin): ``corrected`` of the overlay's row with the very same key in place of ``value``. origin: BASE
+    without such a row, WITHDRAWN where it states no value, else OVERLAY. A base without repeated keys gives none."""
+    o = over.select(*key, F.col(corrected).alias("__corrected"), F.lit(True).alias("__there"))
+    origin = F.when(F.col("__there").isNull(), "BASE").when(F.col("__corrected").isNull(), "WITHDRAWN").otherwise("OVERLAY")
+    return base.join(o, key, "left").select(*key, F.coalesce("__corrected", value).alias(value), origin.alias("origin"))
+
+
+def scope_difference(base: DataFrame, over: DataFrame, key: list[str]) -> DataFrame:
+    """(key, side): keys that only one of the two has; empty where an overlay covers exactly its base."""
+    return set_difference(base, over, key)

@@ -16,7 +16,8 @@ def greedy_spacing(events: DataFrame, key: list[str], ordinal: str, spacing: int
     once = events.select(*key, F.col(ordinal).cast("long").alias("__o")).filter(F.col("__o").isNotNull()).filter(" and ".join(f"`{k}` is not null" for k in key)).distinct()
     arrays = once.groupBy(*key).agg(F.array_sort(F.collect_list("__o")).alias("__all"))
     kept = F.aggregate("__all", F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<long>").alias("kept")),
-        lambda acc, o: F.when(acc["last"].isNull() | (o - acc["last"] >= spacing), F.struct(o.alias("last"), F.concat(acc["kept"], F.array(o)).alias("kept"))).otherwise(acc), lambda acc: acc["kept"])
+        lambda acc, o: F.when(acc["last"].isNull() | (o - acc["last"] >= spacing),
+            F.struct(o.alias("last"), F.concat(acc["kept"], F.array(o)).alias("kept"))).otherwise(acc), lambda acc: acc["kept"])
     return arrays.select(*key, F.explode(kept).alias(ordinal))
 
 
@@ -41,7 +42,8 @@ def cooldown(steps: Column, days: int, least_move: float) -> Column:
     def step(acc: Column, x: Column) -> Column:
         due = acc["day"].isNull() | (x["day"] - acc["day"] >= days)
         moved = ~due & (F.abs(x["score"] - acc["score"]) >= least_move)
-        new = F.struct(x["day"].alias("day"), x["score"].cast("double").alias("score"), (acc["kept"] + 1).alias("kept"), (acc["overridden"] + F.when(moved, 1).otherwise(0)).alias("overridden"))
+        new = F.struct(x["day"].alias("day"), x["score"].cast("double").alias("score"), (acc["kept"] + 1).alias("kept"),
+            (acc["overridden"] + F.when(moved, 1).otherwise(0)).alias("overridden"))
         return F.when(due | moved, new).otherwise(acc)
 
     return F.aggregate(steps, start, step)

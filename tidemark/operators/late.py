@@ -19,7 +19,9 @@ def facts(records: DataFrame) -> DataFrame:
 
     records: key string, stated_day date, accepted_at, arrived_at timestamp_ntz, record_id long. Rows without key are left
     out. So that a key with a third of all records is not one task's work, everything later runs on these rows."""
-    return records.filter("key is not null").groupBy("key", "stated_day").agg(F.min(F.struct(F.col("arrived_at").isNull().alias("unknown"), "arrived_at", "record_id")).alias("first"), F.min("accepted_at").alias("accepted_at"))
+    return records.filter("key is not null").groupBy("key",
+        "stated_day").agg(F.min(F.struct(F.col("arrived_at").isNull().alias("unknown"), "arrived_at", "record_id")).alias("first"),
+        F.min("accepted_at").alias("accepted_at"))
 
 
 def period_of(day: Column) -> Column:

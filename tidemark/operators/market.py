@@ -16,7 +16,8 @@ def _by_date() -> WindowSpec:
 def weekly_bars(bars: DataFrame) -> DataFrame:
     """One row per symbol and week (Monday): first open, extremes, last close and adj_close, summed volume, sessions."""
     return bars.groupBy("symbol", F.to_date(F.date_trunc("week", "date")).alias("week_start")).agg(
-        F.min_by("open", "date").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "date").alias("close"), F.max_by("adj_close", "date").alias("adj_close"),
+        F.min_by("open", "date").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "date").alias("close"),
+            F.max_by("adj_close", "date").alias("adj_close"),
         F.sum("volume").alias("volume"), F.bool_and("is_adjusted").alias("is_adjusted"), F.max("date").alias("session_date"), F.count("*").alias("sessions"),
     )
 
@@ -51,7 +52,9 @@ def price_features(bars: DataFrame) -> DataFrame:
         "signed_volume_ratio_20d": Wf.rolling_sum(F.col("signed"), w, 20) / F.nullif(F.sum(F.when(F.col("signed").isNotNull(), F.col("volume"))).over(w.rowsBetween(-19, 0)), F.lit(0.0)),
     })
     return step2.withColumns({
-        "no_new_52_week_low_20_sessions": ~Wf.rolling_any(F.col("new_52_week_low"), w, 20), "days_above_ma50_last10": Wf.rolling_sum(F.col("above_ma50").cast("int"), w, 10), "volatility_20d_prior": F.lag("volatility_20d", 20).over(w),
+        "no_new_52_week_low_20_sessions": ~Wf.rolling_any(F.col("new_52_week_low"), w, 20),
+            "days_above_ma50_last10": Wf.rolling_sum(F.col("above_ma50").cast("int"), w, 10),
+            "volatility_20d_prior": F.lag("volatility_20d", 20).over(w),
     })
 
 
@@ -113,4 +116,5 @@ def coverage(requested: DataFrame, bars: DataFrame, max_lag_days: int) -> DataFr
     newest = last.agg(F.max("last_session")).first()[0]  # one value
     joined = requested.select("symbol").distinct().join(last, "symbol", "left")
     lag = F.datediff(F.lit(newest).cast("date"), "last_session")
-    return joined.select("symbol", "last_session", lag.alias("lag_days"), F.when(F.col("last_session").isNull(), "MISSING").when(lag > max_lag_days, "STALE").otherwise("COVERED").alias("status"))
+    return joined.select("symbol", "last_session", lag.alias("lag_days"),
+        F.when(F.col("last_session").isNull(), "MISSING").when(lag > max_lag_days, "STALE").otherwise("COVERED").alias("status"))

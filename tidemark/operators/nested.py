@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 #: Name of the one node emitted for a document that is broken off or isn't XML or JSON.
 BROKEN = "#broken"
-_NODES = pa.schema([("record", pa.int64()), ("document", pa.string()), ("name", pa.string()), ("pre", pa.int32()), ("post", pa.int32()), ("depth", pa.int32()), ("ordinal", pa.int32()), ("value", pa.string())])
+_NODES = pa.schema([("record", pa.int64()), ("document", pa.string()), ("name", pa.string()), ("pre", pa.int32()), ("post", pa.int32()),
+    ("depth", pa.int32()), ("ordinal", pa.int32()), ("value", pa.string())])
 _DDL = "record long, document string, name string, pre int, post int, depth int, ordinal int, value string"
 
 

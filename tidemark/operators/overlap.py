@@ -31,7 +31,8 @@ def cluster_triggers(rows: DataFrame, days: int, least: int, strong: int) -> Dat
     # anchors follow the new row by at most ``days``: they lie in its bin or the next
     ahead = fresh.withColumn("__bin", F.explode(F.array(F.col("__bin"), F.col("__bin") + 1)))
     anchors = first.withColumnsRenamed({"tx_date": "anchor"}).join(ahead, ["issuer", "__bin"])
-    anchors = anchors.filter((F.col("first.known_date") <= F.col("session")) & (F.datediff("anchor", "tx_date").between(0, days))).select("issuer", "__bin", "anchor", "session", "first").distinct()
+    anchors = anchors.filter((F.col("first.known_date") <= F.col("session")) & (F.datediff("anchor", "tx_date").between(0, days))).select("issuer",
+        "__bin", "anchor", "session", "first").distinct()
     facts = b.filter("owner is not null").groupBy("issuer", "__bin", "owner", "tx_date").agg(F.min("known_date").alias("known_date"))
     back = anchors.withColumn("__bin", F.explode(F.array(F.col("__bin"), F.col("__bin") - 1)))
     members = back.join(facts, ["issuer", "__bin"]).filter((F.col("known_date") <= F.col("session")) & (F.datediff("anchor", "tx_date").between(0, days)))
@@ -82,4 +83,5 @@ def positional(left: DataFrame, right: DataFrame) -> DataFrame:
     """(symbol, rows, other_day, other_close, alone) of two sides matched by symbol and pos; l and r: structs of date, close."""
     both = left.join(right, ["symbol", "pos"], "full")
     alone, same_day = F.col("l").isNull() | F.col("r").isNull(), F.col("l.date") == F.col("r.date")
-    return both.groupBy("symbol").agg(F.count("*").alias("rows"), F.count_if(~same_day).alias("other_day"), F.count_if(same_day & ~F.col("l.close").eqNullSafe(F.col("r.close"))).alias("other_close"), F.count_if(alone).alias("alone"))
+    return both.groupBy("symbol").agg(F.count("*").alias("rows"), F.count_if(~same_day).alias("other_day"),
+        F.count_if(same_day & ~F.col("l.close").eqNullSafe(F.col("r.close"))).alias("other_close"), F.count_if(alone).alias("alone"))

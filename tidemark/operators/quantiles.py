@@ -33,7 +33,8 @@ def quantiles(rows: DataFrame, group: list[str], value: str, shares: dict[str, f
     x = rows.select(F.struct(*group).alias("g"), F.col(value).cast("double").alias("x")).filter("x is not null and not isnan(x)")
     place = {name: (F.col("n") - 1) * F.lit(p) for name, p in shares.items()}
     # a quantile at a place between two ranks takes the rest of its weight from the upper one
-    ranks = [F.struct(F.lit(name).alias("name"), (bound(at) + 1).cast("long").alias("rank"), weight(at - F.floor(at)).alias("weight")) for name, at in place.items() for bound, weight in ((F.floor, lambda f: 1 - f), (lambda a: F.floor(a) + 1, lambda f: f))]
+    ranks = [F.struct(F.lit(name).alias("name"), (bound(at) + 1).cast("long").alias("rank"), weight(at - F.floor(at)).alias("weight")) for name,
+        at in place.items() for bound, weight in ((F.floor, lambda f: 1 - f), (lambda a: F.floor(a) + 1, lambda f: f))]
     steps = counted_steps(x).withColumn("below", F.col("upto") - F.col("count"))
     wanted = F.filter(F.array(*ranks), lambda r: (r["weight"] > 0) & (r["rank"] > F.col("below")) & (r["rank"] <= F.col("upto")))
     asked = steps.select("g", "step", "below", F.explode(wanted).alias("r"))

@@ -161,14 +161,16 @@ def resolve_revisions(statements: DataFrame, as_of: Column | None = None) -> Dat
     repeated with one content are one. Problems: UNRESOLVED_AMENDMENT, AMBIGUOUS_AMENDMENT, AMENDMENT_CHAIN_FORK,
     AMENDMENT_LINK_CONFLICT, AMENDMENT_TIME_CONFLICT, AMENDMENT_IDENTITY_MISMATCH (the revision named is another row's) and
     NO_KEY for rows with a null in their identity or times. One shuffle by row identity; what is held is one row's chain."""
-    columns = ["revision_id", "transaction_id", "issuer", "owner", "table_type", "row_sequence", "accession", "content_hash", "is_amendment", "supersedes", "amends_accession", "known_at", "recorded_at", "valid_from"]
+    columns = ["revision_id", "transaction_id", "issuer", "owner", "table_type", "row_sequence", "accession", "content_hash", "is_amendment",
+        "supersedes", "amends_accession", "known_at", "recorded_at", "valid_from"]
     known = statements.select(*columns)
     if as_of is not None:
         known = known.filter(F.col("known_at") <= as_of)
     keys = ["issuer", "owner", "table_type", "row_sequence"]
     whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*keys, "revision_id", "accession", "content_hash", "known_at", "recorded_at", "valid_from"]])
     aside = known.filter(~whole).select("revision_id", "transaction_id", "accession", F.lit("NO_KEY").alias("problem"))
-    ordered = known.filter(whole).withColumn("is_amendment", F.coalesce("is_amendment", F.lit(False))).repartition(*keys).sortWithinPartitions(*keys, "known_at", "recorded_at", "accession", "revision_id", "content_hash")
+    ordered = known.filter(whole).withColumn("is_amendment", F.coalesce("is_amendment", F.lit(False))).repartition(*keys).sortWithinPartitions(*keys,
+        "known_at", "recorded_at", "accession", "revision_id", "content_hash")
     found = ordered.mapInArrow(_resolve_rows, _REVISED)
     # a revision that isn't this row's may be another's
     elsewhere = known.select(F.col("revision_id").alias("supersedes"), F.col("known_at").alias("__known")).groupBy("supersedes").agg(F.min("__known").alias("__known"))

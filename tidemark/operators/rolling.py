@@ -36,7 +36,9 @@ def trailing(daily: DataFrame, periods: tuple[int, ...] = (7, 30)) -> DataFrame:
     for k in periods:
         w = days.rangeBetween(-(k - 1), 0)
         total = F.coalesce(F.sum("total").over(w), F.lit(0.0))
-        out |= {f"total_{k}": total, f"mean_{k}": total / F.lit(float(k)), f"level_{k}": F.sum("level_sum").over(w).cast("double") / F.nullif(F.sum("level_n").over(w).cast("double"), F.lit(0.0)), f"active_{k}": F.coalesce(F.sum("active").over(w), F.lit(0)).cast("long")}
+        out |= {f"total_{k}": total, f"mean_{k}": total / F.lit(float(k)),
+            f"level_{k}": F.sum("level_sum").over(w).cast("double") / F.nullif(F.sum("level_n").over(w).cast("double"), F.lit(0.0)),
+            f"active_{k}": F.coalesce(F.sum("active").over(w), F.lit(0)).cast("long")}
     return grid.withColumns(out).withColumn("day", F.date_from_unix_date("n_day")).select("entity", "day", *out)
 
 
@@ -65,7 +67,8 @@ def barometer(rows: DataFrame, days: int, sides: dict[str, str]) -> DataFrame:
     buy, sale = sides
     ok = F.coalesce((F.col("value") >= 0) & (F.col("value") < float("inf")), F.lit(False))
     t = rows.filter(F.col("code").isin(buy, sale) & F.col("tx_date").isNotNull() & F.col("known_date").isNotNull())
-    t = t.select("issuer", "code", "tx_date", F.greatest("tx_date", "known_date").alias("enters"), F.date_add("tx_date", days).alias("leaves"), F.when(ok, F.col("value")).cast("decimal(28,6)").alias("value"), ok.alias("ok"))
+    t = t.select("issuer", "code", "tx_date", F.greatest("tx_date", "known_date").alias("enters"), F.date_add("tx_date", days).alias("leaves"),
+        F.when(ok, F.col("value")).cast("decimal(28,6)").alias("value"), ok.alias("ok"))
     calendar = t.agg(F.min("tx_date").alias("a"), F.max("enters").alias("b")).filter("a is not null").select(F.explode(F.sequence("a", "b")).alias("day"))
     seen = t.filter("enters < leaves")
     sums = {}
@@ -80,10 +83,13 @@ def barometer(rows: DataFrame, days: int, sides: dict[str, str]) -> DataFrame:
     firms = firms.filter("issuer is not null").groupBy("enters", "leaves").agg(*[F.count_if(F.col("kind") == k).alias(f"{name}_firms") for k, name in {**sides, "any": "any"}.items()])
     both = spans.unionByName(firms, allowMissingColumns=True)
     names = [c for c in both.columns if c not in ("enters", "leaves")]
-    deltas = both.select(F.explode(F.array(F.struct(F.col("enters").alias("day"), *names), F.struct(F.col("leaves").alias("day"), *[(-F.col(c)).alias(c) for c in names]))).alias("d")).groupBy("d.day").agg(*[F.sum(f"d.{c}").alias(c) for c in names])
+    deltas = both.select(F.explode(F.array(F.struct(F.col("enters").alias("day"), *names),
+        F.struct(F.col("leaves").alias("day"), *[(-F.col(c)).alias(c) for c in names]))).alias("d")).groupBy("d.day").agg(*[F.sum(f"d.{c}").alias(c) for c in names])
     w = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
     run = calendar.join(deltas, "day", "left").select("day", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(c) for c in names])
     dollars = lambda side: F.when(F.col(f"{side}_bad") == 0, F.col(f"{side}_value").cast("double"))
     b, s = sides.values()
-    out = run.select("day", F.col(f"{b}_n").alias(f"purchases_{days}d"), F.col(f"{s}_n").alias(f"sales_{days}d"), (F.col(f"{b}_n") / F.nullif(F.col(f"{s}_n"), F.lit(0))).alias("ratio"), dollars(b).alias("buy_dollars"), dollars(s).alias("sale_dollars"), F.col(f"{b}_firms").alias("buying_companies"), F.col(f"{s}_firms").alias("selling_companies"), F.col("any_firms").alias("active_companies"))
+    out = run.select("day", F.col(f"{b}_n").alias(f"purchases_{days}d"), F.col(f"{s}_n").alias(f"sales_{days}d"),
+        (F.col(f"{b}_n") / F.nullif(F.col(f"{s}_n"), F.lit(0))).alias("ratio"), dollars(b).alias("buy_dollars"), dollars(s).alias("sale_dollars"),
+        F.col(f"{b}_firms").alias("buying_companies"), F.col(f"{s}_firms").alias("selling_companies"), F.col("any_firms").alias("active_companies"))
     return out.withColumn("dollar_ratio", F.col("buy_dollars") / F.nullif(F.col("sale_dollars"), F.lit(0.0)))

@@ -37,10 +37,13 @@ def forward_outcomes(bars: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
     parts = []
     for h in horizons:
         path = w.rangeBetween(1, 1 + h)
-        parts.append(F.struct(F.lit(h).alias("horizon"), F.max("close").over(w.rangeBetween(1 + h, 1 + h)).alias("exit"), F.min("low").over(path).alias("low"), (F.count("low").over(path) == h + 1).alias("complete")))
+        parts.append(F.struct(F.lit(h).alias("horizon"), F.max("close").over(w.rangeBetween(1 + h, 1 + h)).alias("exit"),
+            F.min("low").over(path).alias("low"), (F.count("low").over(path) == h + 1).alias("complete")))
     long = b.withColumn("__outcomes", F.array(*parts)).select("symbol", "session_idx", "entry", F.explode("__outcomes").alias("o"))
     ok = F.col("entry") > 0
-    return long.select("symbol", "session_idx", F.col("o.horizon").cast("long").alias("horizon"), F.when(ok, F.col("o.exit") / F.col("entry") - 1).alias("forward_return"), F.when(ok & F.col("o.complete"), F.col("o.low") / F.col("entry") - 1).alias("worst"), F.col("o.complete").alias("complete"))
+    return long.select("symbol", "session_idx", F.col("o.horizon").cast("long").alias("horizon"),
+        F.when(ok, F.col("o.exit") / F.col("entry") - 1).alias("forward_return"),
+        F.when(ok & F.col("o.complete"), F.col("o.low") / F.col("entry") - 1).alias("worst"), F.col("o.complete").alias("complete"))
 
 
 def summary(outcomes: DataFrame, group: list[str]) -> DataFrame:

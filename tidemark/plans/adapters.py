@@ -24,7 +24,8 @@ def bars(spark: SparkSession, d: str) -> DataFrame:
     # both windows lie in the symbol's partition, in which later windows by symbol find it
     fullest = F.min(F.struct((-F.col("days")).alias("fewer"), "provider")).over(Window.partitionBy("symbol"))
     chosen = one.repartition("symbol").withColumn("days", days).withColumn("best", fullest).filter("provider = best.provider")
-    return chosen.select("symbol", "date", "r.open", "r.high", "r.low", "r.close", F.coalesce("r.adj_close", "r.close").alias("adj_close"), "r.volume", "r.is_adjusted", "r.split_factor", "provider")
+    return chosen.select("symbol", "date", "r.open", "r.high", "r.low", "r.close", F.coalesce("r.adj_close", "r.close").alias("adj_close"),
+        "r.volume", "r.is_adjusted", "r.split_factor", "provider")
 
 
 BARS_SQL = """typed_bars AS (SELECT upper(trim(symbol)) AS symbol, date, coalesce(provider, '') AS provider, provider_record_id,
@@ -44,14 +45,20 @@ def transactions(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     j = li.join(o, li.l_orderkey == o.o_orderkey)
     return j.select(
-        F.col("l_suppkey").alias("issuer"), (F.col("o_custkey") % 25).alias("owner"), F.to_date("l_shipdate").alias("tx_date"), F.to_date(F.greatest("l_shipdate", "o_orderdate")).alias("known_date"),
-        F.when(F.col("l_returnflag") == "A", "P").when(F.col("l_returnflag") == "R", "S").otherwise("G").alias("code"), F.col("l_quantity").alias("shares"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_extendedprice").alias("value"),
-        F.when(F.col("l_linestatus") == "O", "ACTIVE").otherwise("SUPERSEDED").alias("status"), F.col("o_orderpriority").alias("role"), F.col("l_orderkey").alias("accession"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"),
+        F.col("l_suppkey").alias("issuer"), (F.col("o_custkey") % 25).alias("owner"), F.to_date("l_shipdate").alias("tx_date"),
+            F.to_date(F.greatest("l_shipdate", "o_orderdate")).alias("known_date"),
+        F.when(F.col("l_returnflag") == "A", "P").when(F.col("l_returnflag") == "R", "S").otherwise("G").alias("code"),
+            F.col("l_quantity").alias("shares"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
+            F.col("l_extendedprice").alias("value"),
+        F.when(F.col("l_linestatus") == "O", "ACTIVE").otherwise("SUPERSEDED").alias("status"), F.col("o_orderpriority").alias("role"),
+            F.col("l_orderkey").alias("accession"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"),
     )
 
 
-TX_SQL = """tx AS (SELECT l_suppkey AS issuer, o_custkey % 25 AS owner, CAST(l_shipdate AS DATE) AS tx_date, CAST(greatest(l_shipdate, o_orderdate) AS DATE) AS known_date, CASE l_returnflag WHEN 'A' THEN 'P' WHEN 'R' THEN 'S' ELSE 'G' END AS code,
-  l_quantity AS shares, l_extendedprice / l_quantity AS price, l_extendedprice AS value, CASE WHEN l_linestatus = 'O' THEN 'ACTIVE' ELSE 'SUPERSEDED' END AS status, o_orderpriority AS role, l_orderkey AS accession, l_linenumber AS line, l_partkey AS part
+TX_SQL = """tx AS (SELECT l_suppkey AS issuer, o_custkey % 25 AS owner, CAST(l_shipdate AS DATE) AS tx_date, CAST(greatest(l_shipdate,
+  o_orderdate) AS DATE) AS known_date, CASE l_returnflag WHEN 'A' THEN 'P' WHEN 'R' THEN 'S' ELSE 'G' END AS code,
+  l_quantity AS shares, l_extendedprice / l_quantity AS price, l_extendedprice AS value, CASE WHEN l_linestatus = 'O' THEN 'ACTIVE' ELSE 'SUPERSEDED'
+  END AS status, o_orderpriority AS role, l_orderkey AS accession, l_linenumber AS line, l_partkey AS part
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 
 
@@ -61,17 +68,21 @@ def joint_transactions(spark: SparkSession, d: str) -> DataFrame:
     return transactions(spark, d).withColumn("owner", F.explode(F.array_distinct(F.array_compact(F.array("owner", *more)))))
 
 
-JOINT_SQL = TX_SQL.replace("tx AS (", "single AS (", 1) + """, tx AS (SELECT s.* EXCLUDE (owner), unnest(list_distinct(list_filter([s.owner, CASE WHEN accession % 3 = 1 THEN (s.owner * 7 + 3) % 25 END,
+JOINT_SQL = TX_SQL.replace("tx AS (", "single AS (", 1) + """, tx AS (SELECT s.* EXCLUDE (owner), unnest(list_distinct(list_filter([s.owner, CASE
+  WHEN accession % 3 = 1 THEN (s.owner * 7 + 3) % 25 END,
   CASE WHEN accession % 9 = 4 THEN (s.owner + 11) % 25 END], lambda o: o IS NOT NULL))) AS owner FROM single s)"""
 
 
 def signals(spark: SparkSession, d: str) -> DataFrame:
     """Signals, copies once, with normal keys and the time from which each can be acted on."""
     s = table(spark, d, "insider_signals").distinct()
-    return s.select("signal_id", N.cik(F.col("issuer_cik")).alias("cik"), N.ticker(F.col("ticker")).alias("ticker"), "signal_type", "score", F.coalesce("knowledge_at", "accepted_at").alias("known_at"), "transaction_date", "sector", F.col("exposure_family").alias("family"), "run_id")
+    return s.select("signal_id", N.cik(F.col("issuer_cik")).alias("cik"), N.ticker(F.col("ticker")).alias("ticker"), "signal_type", "score",
+        F.coalesce("knowledge_at", "accepted_at").alias("known_at"), "transaction_date", "sector", F.col("exposure_family").alias("family"), "run_id")
 
 
-SIGNALS_SQL = r"""sig AS (SELECT DISTINCT signal_id, lpad(issuer_cik, 10, '0') AS cik, regexp_replace(upper(trim(ticker)), '[\s./_-]+([A-Z0-9]{1,2})$', '-\1') AS ticker, signal_type, score, coalesce(knowledge_at, accepted_at) AS known_at, transaction_date, sector, exposure_family AS family, run_id FROM insider_signals)"""
+SIGNALS_SQL = r"""sig AS (SELECT DISTINCT signal_id, lpad(issuer_cik, 10, '0') AS cik, regexp_replace(upper(trim(ticker)), '[\s./_-]+([A-Z0-9]{1,2})$',
+  '-\1') AS ticker, signal_type, score, coalesce(knowledge_at, accepted_at) AS known_at, transaction_date, sector, exposure_family AS family, run_id
+  FROM insider_signals)"""
 
 
 def sessions(spark: SparkSession, d: str) -> DataFrame:

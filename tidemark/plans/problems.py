@@ -77,17 +77,21 @@ def p2_totals(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_deltas(spark: SparkSession, d: str) -> DataFrame:
     """Every retraction and addition, in the order in which the totals change."""
-    return _deltas(spark, d).filter("not late").select(F.col("key").alias("accession_number"), F.col("version").cast("long").alias("version"), "at", "period", F.col("delta").cast("long").alias("delta"))
+    return _deltas(spark, d).filter("not late").select(F.col("key").alias("accession_number"), F.col("version").cast("long").alias("version"), "at",
+        "period", F.col("delta").cast("long").alias("delta"))
 
 
 _FILINGS_SQL = r"""
-WITH s AS (SELECT CASE WHEN regexp_matches(coalesce(accession_number, ''), '\d{10}-?\d{2}-?\d{6}') THEN accession_number ELSE provider_record_id END AS raw, trim(report_date) AS rd, accepted_at, retrieved_at, delivery_id FROM sec_raw_records),
+WITH s AS (SELECT CASE WHEN regexp_matches(coalesce(accession_number, ''), '\d{10}-?\d{2}-?\d{6}') THEN accession_number ELSE provider_record_id
+  END AS raw, trim(report_date) AS rd, accepted_at, retrieved_at, delivery_id FROM sec_raw_records),
 f AS (SELECT regexp_replace(regexp_extract(raw, '(^|[^0-9])([0-9]{10}-?[0-9]{2}-?[0-9]{6})($|[^0-9])', 2), '^(\d{10})-?(\d{2})-?(\d{6})$', '\1-\2-\3') AS key,
-  CAST(coalesce(try_strptime(substr(rd, 1, 10), '%Y-%m-%d'), try_strptime(rd, '%Y%m%d'), try_strptime(rd, '%m/%d/%Y'), try_strptime(rd, '%d-%b-%Y')) AS DATE) AS day, accepted_at, retrieved_at, delivery_id FROM s)
+  CAST(coalesce(try_strptime(substr(rd, 1, 10), '%Y-%m-%d'), try_strptime(rd, '%Y%m%d'), try_strptime(rd, '%m/%d/%Y'), try_strptime(rd,
+  '%d-%b-%Y')) AS DATE) AS day, accepted_at, retrieved_at, delivery_id FROM s)
 """
 P2_FOUND_SQL = (
     _FILINGS_SQL
-    + """, g AS (SELECT key, coalesce(arg_min(day, retrieved_at) FILTER (day IS NOT NULL), CAST(min(accepted_at) AS DATE)) AS day, min(retrieved_at) AS seen FROM f WHERE key <> '' GROUP BY key)
+    + """, g AS (SELECT key, coalesce(arg_min(day, retrieved_at) FILTER (day IS NOT NULL), CAST(min(accepted_at) AS DATE)) AS day,
+  min(retrieved_at) AS seen FROM f WHERE key <> '' GROUP BY key)
 SELECT strftime(day, '%Y-%m') AS period, key AS accession_number FROM g WHERE seen >= date_trunc('month', day) + INTERVAL 1 MONTH + INTERVAL 45 DAY
 """
 )
@@ -102,7 +106,8 @@ d AS (SELECT key AS accession_number, version, seen_at, was AS period, CAST(-1 A
       UNION ALL SELECT key, version, seen_at, counted, CAST(1 AS BIGINT) FROM l WHERE was IS DISTINCT FROM counted AND counted IS NOT NULL)
 """
 )
-P2_TOTALS_SQL = _VERSIONS_SQL + "SELECT period, CAST(sum(delta) AS BIGINT) AS filings, CAST(count(*) FILTER (delta > 0) AS BIGINT) AS added, CAST(count(*) FILTER (delta < 0) AS BIGINT) AS retracted FROM d GROUP BY period"
+P2_TOTALS_SQL = _VERSIONS_SQL + """SELECT period, CAST(sum(delta) AS BIGINT) AS filings, CAST(count(*) FILTER (delta > 0) AS BIGINT) AS added,
+  CAST(count(*) FILTER (delta < 0) AS BIGINT) AS retracted FROM d GROUP BY period"""
 P2_DELTAS_SQL = _VERSIONS_SQL + 'SELECT accession_number, CAST(version AS BIGINT) AS version, seen_at AS "at", period, delta FROM d'
 
 # ---------------------------------------------------------------- 3: nested records
@@ -129,7 +134,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     is_fetch = (name == "attempt") & F.col("fetch").isNotNull() & F.col("transport").isNotNull() & (F.col("document") == "provenance")
     rows = linked.select(
         "record",
-        F.when((name == "rptOwnerCik") & F.col("owner").isNotNull() & (F.col("document") == "payload"), F.struct(F.lit("owner").alias("kind"), F.lit("").alias("parent_key"), N.cik(value).alias("child_key")))
+        F.when((name == "rptOwnerCik") & F.col("owner").isNotNull() & (F.col("document") == "payload"),
+            F.struct(F.lit("owner").alias("kind"), F.lit("").alias("parent_key"), N.cik(value).alias("child_key")))
         .when(is_line, F.struct(F.lit("line").alias("kind"), letter.alias("parent_key"), F.col("ordinal").cast("string").alias("child_key")))
         .when(is_note, F.struct(F.lit("footnote").alias("kind"), F.concat(letter, F.col("line.ordinal").cast("string")).alias("parent_key"), value.alias("child_key")))
         .when(is_fetch, F.struct(F.lit("fetch").alias("kind"), F.col("record").cast("string").alias("parent_key"), value.alias("child_key")))
@@ -162,12 +168,14 @@ def _lines_sql(letter: str, part: str) -> str:
     kind = {"N": "nonDerivative", "D": "derivative"}[letter]
     return f"""SELECT acc, delivery_id, '{letter}' AS letter, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM (SELECT acc, delivery_id,
   regexp_extract_all(regexp_extract(x, '<{kind}Table>.*</{kind}Table>', 0, 's'), '<{kind}Transaction(?:\\s[^>]*)?(?:/>|>.*?</{kind}Transaction>)', 0, 's') AS l FROM xml)
-UNION ALL SELECT acc, delivery_id, '{letter}', CAST(unnest(l) AS VARCHAR), generate_subscripts(l, 1) FROM (SELECT acc, delivery_id, {_ARRAY_SQL.format(f"(root->'$.{kind}Table.{kind}Transaction')")} AS l FROM js)"""
+UNION ALL SELECT acc, delivery_id, '{letter}', CAST(unnest(l) AS VARCHAR), generate_subscripts(l, 1) FROM (SELECT acc,
+  delivery_id, {_ARRAY_SQL.format(f"(root->'$.{kind}Table.{kind}Transaction')")} AS l FROM js)"""
 
 
 _P3 = (
     _FILINGS_SQL
-    + rf""", t AS (SELECT nullif(f.key, '') AS acc, delivery_id, trim(decode(r.payload), chr(65279) || ' ' || chr(9) || chr(10) || chr(13)) AS x, r.provenance AS p FROM f JOIN sec_raw_records r USING (delivery_id)),
+    + rf""", t AS (SELECT nullif(f.key, '') AS acc, delivery_id, trim(decode(r.payload), chr(65279) || ' ' || chr(9) || chr(10) || chr(13)) AS x,
+  r.provenance AS p FROM f JOIN sec_raw_records r USING (delivery_id)),
 xml AS (SELECT acc, delivery_id, regexp_replace(regexp_replace(x, '<!--.*?-->', '', 'gs'), '<!\[CDATA\[.*?\]\]>', '', 'gs') AS x FROM t WHERE x LIKE '<%' AND x LIKE '%</ownershipDocument>'),
 jd AS (SELECT acc, delivery_id, CASE WHEN json_type(x) = 'VARCHAR' THEN json(json_extract_string(x, '$')) ELSE json(x) END AS d FROM t WHERE x NOT LIKE '<%' AND json_valid(x)),
 js AS (SELECT acc, delivery_id, coalesce(d->'$.ownershipDocument', d) AS root FROM jd),
@@ -200,7 +208,8 @@ SELECT delivery_id, CASE letter WHEN 'N' THEN 'nonDerivativeTransaction' ELSE 'd
 
 
 def p4_flags(spark: SparkSession, d: str) -> DataFrame:
-    b = table(spark, d, "daily_bars").select(F.col("provider").alias("source"), N.symbol(F.col("symbol")).alias("series"), F.col("date").alias("day"), "high", "low", "close", "adj_close", "volume", "split_factor", F.col("available_at").alias("known_at"))
+    b = table(spark, d, "daily_bars").select(F.col("provider").alias("source"), N.symbol(F.col("symbol")).alias("series"), F.col("date").alias("day"),
+        "high", "low", "close", "adj_close", "volume", "split_factor", F.col("available_at").alias("known_at"))
     return spikes.implausible(b)
 
 
@@ -265,17 +274,22 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
         "run_id",
     )
     h = history.version_history([rows], ["ticker", "exchange"], snapshot="run_id")
-    return h.select(F.col("entity").alias("cik"), "ticker", "exchange", N.day_text(F.col("valid_from")).alias("valid_from"), F.coalesce(N.day_text(F.col("valid_to")), F.lit("")).alias("valid_to"))
+    return h.select(F.col("entity").alias("cik"), "ticker", "exchange", N.day_text(F.col("valid_from")).alias("valid_from"),
+        F.coalesce(N.day_text(F.col("valid_to")), F.lit("")).alias("valid_to"))
 
 
 P6_FOUND_SQL = r"""
-WITH s AS (SELECT lpad(cik, 10, '0') AS cik, regexp_replace(upper(trim(ticker)), '[\s./_-]+([A-Z0-9]{1,2})$', '-\1') AS ticker, upper(trim(exchange)) AS exchange, valid_from, valid_to, knowledge_at
+WITH s AS (SELECT lpad(cik, 10, '0') AS cik, regexp_replace(upper(trim(ticker)), '[\s./_-]+([A-Z0-9]{1,2})$', '-\1') AS ticker,
+  upper(trim(exchange)) AS exchange, valid_from, valid_to, knowledge_at
            FROM identity_snapshots WHERE identity_status = 'RESOLVED' AND cik IS NOT NULL AND valid_from IS NOT NULL),
 h AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY cik, valid_from ORDER BY knowledge_at DESC NULLS LAST, ticker DESC, exchange DESC, valid_to DESC NULLS LAST) = 1),
-c AS (SELECT *, CASE WHEN lag(ticker) OVER w IS NOT DISTINCT FROM ticker AND lag(exchange) OVER w IS NOT DISTINCT FROM exchange AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS starts FROM h WINDOW w AS (PARTITION BY cik ORDER BY valid_from)),
+c AS (SELECT *, CASE WHEN lag(ticker) OVER w IS NOT DISTINCT FROM ticker AND lag(exchange) OVER w IS NOT DISTINCT FROM exchange
+  AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS starts FROM h WINDOW w AS (PARTITION BY cik ORDER BY valid_from)),
 r AS (SELECT *, sum(starts) OVER (PARTITION BY cik ORDER BY valid_from) AS n FROM c),
-v AS (SELECT cik, n, coalesce(any_value(ticker), '') AS ticker, coalesce(any_value(exchange), '') AS exchange, min(valid_from) AS valid_from, arg_max(coalesce(CAST(valid_to AS VARCHAR), ''), valid_from) AS stated FROM r GROUP BY cik, n)
-SELECT cik, ticker, exchange, strftime(valid_from, '%Y-%m-%d') AS valid_from, coalesce(strftime(lead(valid_from) OVER (PARTITION BY cik ORDER BY valid_from), '%Y-%m-%d'), stated) AS valid_to FROM v
+v AS (SELECT cik, n, coalesce(any_value(ticker), '') AS ticker, coalesce(any_value(exchange), '') AS exchange, min(valid_from) AS valid_from,
+  arg_max(coalesce(CAST(valid_to AS VARCHAR), ''), valid_from) AS stated FROM r GROUP BY cik, n)
+SELECT cik, ticker, exchange, strftime(valid_from, '%Y-%m-%d') AS valid_from, coalesce(strftime(lead(valid_from) OVER (PARTITION BY cik
+  ORDER BY valid_from), '%Y-%m-%d'), stated) AS valid_to FROM v
 """
 
 # ---------------------------------------------------------------- 7: rolling totals
@@ -283,7 +297,8 @@ SELECT cik, ticker, exchange, strftime(valid_from, '%Y-%m-%d') AS valid_from, co
 
 def _bars(spark: SparkSession, d: str) -> DataFrame:
     """Bars that come twice count once; all providers of a symbol together."""
-    b = table(spark, d, "daily_bars").select(N.symbol(F.col("symbol")).alias("entity"), F.col("date").alias("day"), "provider", "provider_record_id", F.col("volume").cast("double").alias("amount"), F.col("close").cast("decimal(18,4)").alias("level"))
+    b = table(spark, d, "daily_bars").select(N.symbol(F.col("symbol")).alias("entity"), F.col("date").alias("day"), "provider", "provider_record_id",
+        F.col("volume").cast("double").alias("amount"), F.col("close").cast("decimal(18,4)").alias("level"))
     return b.distinct()
 
 
@@ -304,22 +319,27 @@ def p7_rolling(spark: SparkSession, d: str) -> DataFrame:
 
 
 _P7 = """
-WITH b AS (SELECT DISTINCT upper(trim(symbol)) AS symbol, date AS day, provider, provider_record_id, CAST(volume AS DOUBLE) AS volume, close FROM daily_bars WHERE symbol IS NOT NULL AND date IS NOT NULL),
+WITH b AS (SELECT DISTINCT upper(trim(symbol)) AS symbol, date AS day, provider, provider_record_id, CAST(volume AS DOUBLE) AS volume, close
+  FROM daily_bars WHERE symbol IS NOT NULL AND date IS NOT NULL),
 t AS (SELECT symbol, day, sum(volume) AS v, sum(close) AS c, count(close) AS n, count(*) FILTER (volume > 0) AS a FROM b GROUP BY ALL),
 g AS (SELECT symbol, CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM t GROUP BY symbol),
 f AS (SELECT g.symbol, g.day, v, c, n, coalesce(a, 0) AS a FROM g LEFT JOIN t USING (symbol, day)),
 """
-P7_FOUND_SQL = _P7 + "w AS (SELECT symbol, day, sum(a) OVER (PARTITION BY symbol ORDER BY day ROWS 6 PRECEDING) AS a7 FROM f) SELECT symbol, strftime(day, '%Y-%m-%d') AS day FROM w WHERE a7 = 0"
+P7_FOUND_SQL = _P7 + """w AS (SELECT symbol, day, sum(a) OVER (PARTITION BY symbol ORDER BY day ROWS 6 PRECEDING) AS a7 FROM f) SELECT symbol,
+  strftime(day, '%Y-%m-%d') AS day FROM w WHERE a7 = 0"""
 P7_ROLLING_SQL = (
     _P7
-    + """w AS (SELECT symbol, day, coalesce(sum(v) OVER p7, 0) AS volume_7, coalesce(sum(v) OVER p30, 0) AS volume_30, CAST(sum(c) OVER p7 AS DOUBLE) / nullif(sum(n) OVER p7, 0) AS c7, CAST(sum(c) OVER p30 AS DOUBLE) / nullif(sum(n) OVER p30, 0) AS c30
+    + """w AS (SELECT symbol, day, coalesce(sum(v) OVER p7, 0) AS volume_7, coalesce(sum(v) OVER p30, 0) AS volume_30,
+  CAST(sum(c) OVER p7 AS DOUBLE) / nullif(sum(n) OVER p7, 0) AS c7, CAST(sum(c) OVER p30 AS DOUBLE) / nullif(sum(n) OVER p30, 0) AS c30
   FROM f WINDOW p7 AS (PARTITION BY symbol ORDER BY day ROWS 6 PRECEDING), p30 AS (PARTITION BY symbol ORDER BY day ROWS 29 PRECEDING))
 SELECT symbol, day, volume_7, volume_30, volume_7 / 7 AS mean_volume_7, volume_30 / 30 AS mean_volume_30, c7 AS mean_close_7, c30 AS mean_close_30 FROM w
 """
 )
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_versions, p2_found, p2_totals, p2_deltas, p3_found, p3_nodes, p3_line_owners, p4_found, p4_flags, p5_found, p5_kept, p5_new_batch, p6_found, p7_found, p7_rolling)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_versions, p2_found, p2_totals, p2_deltas, p3_found, p3_nodes, p3_line_owners, p4_found, p4_flags,
+    p5_found, p5_kept, p5_new_batch, p6_found, p7_found, p7_rolling)}
 SQL = {
-    "p1_found": P1_FOUND_SQL, "p1_versions": P1_VERSIONS_SQL, "p2_found": P2_FOUND_SQL, "p2_totals": P2_TOTALS_SQL, "p2_deltas": P2_DELTAS_SQL, "p3_found": P3_FOUND_SQL, "p3_line_owners": P3_LINE_OWNERS_SQL, "p5_found": P5_FOUND_SQL,
+    "p1_found": P1_FOUND_SQL, "p1_versions": P1_VERSIONS_SQL, "p2_found": P2_FOUND_SQL, "p2_totals": P2_TOTALS_SQL, "p2_deltas": P2_DELTAS_SQL,
+        "p3_found": P3_FOUND_SQL, "p3_line_owners": P3_LINE_OWNERS_SQL, "p5_found": P5_FOUND_SQL,
     "p5_kept": P5_KEPT_SQL, "p5_new_batch": P5_NEW_BATCH_SQL, "p6_found": P6_FOUND_SQL, "p7_found": P7_FOUND_SQL, "p7_rolling": P7_ROLLING_SQL,
 }

@@ -31,7 +31,8 @@ def market_file(spark: SparkSession, d: str) -> DataFrame:
     """Bars written as guarded CSV with other column names and read back: rows by why they are set aside ('' if they aren't)."""
     path = f"{_folder(spark)}/market"
     b = bars(spark, d)
-    named = {"date": "Date", "symbol": "Symbol", "open": "open", "high": "high", "low": "low", "close": "close", "adj_close": "Adj Close", "is_adjusted": "adjusted", "split_factor": "split_factor"}
+    named = {"date": "Date", "symbol": "Symbol", "open": "open", "high": "high", "low": "low", "close": "close", "adj_close": "Adj Close",
+        "is_adjusted": "adjusted", "split_factor": "split_factor"}
     snapshot.export_csv(b.select(*[F.col(c).alias(n) for c, n in named.items()], F.col("volume").cast("long").alias("volume")), path)
     good, bad = files.market_csv(spark, path)
     both = good.select("close", F.lit("").alias("outcome")).unionByName(bad.select("close", F.array_join("reasons", ",").alias("outcome")))
@@ -47,7 +48,8 @@ def chart_file(spark: SparkSession, d: str) -> DataFrame:
     steps = F.array_sort(F.collect_list(F.struct(day.alias("t"), "open", "high", "low", "close", F.col("volume").cast("long").alias("volume"), "adj_close")))
     of = lambda c: F.transform("s", lambda x: x[c])
     quote = F.struct(*[of(c).alias(c) for c in ("open", "high", "low", "close", "volume")])
-    result = F.struct(F.struct("symbol").alias("meta"), of("t").alias("timestamp"), F.struct(F.array(quote).alias("quote"), F.array(F.struct(of("adj_close").alias("adjclose"))).alias("adjclose")).alias("indicators"))
+    result = F.struct(F.struct("symbol").alias("meta"), of("t").alias("timestamp"),
+        F.struct(F.array(quote).alias("quote"), F.array(F.struct(of("adj_close").alias("adjclose"))).alias("adjclose")).alias("indicators"))
     path = f"{_folder(spark)}/charts"
     written = b.groupBy("symbol").agg(steps.alias("s")).select(F.to_json(F.struct(F.struct(F.array(result).alias("result")).alias("chart")), {"ignoreNullFields": "false"}))
     written.write.text(path)
@@ -55,9 +57,11 @@ def chart_file(spark: SparkSession, d: str) -> DataFrame:
     return back.groupBy("symbol").agg(F.count("*").alias("bars"), F.min("date").alias("first_day"), F.round(F.sum("high"), 4).alias("highs"), F.sum("volume").alias("volume"))
 
 
-@query("""WITH kept AS (SELECT o_orderkey FROM orders WHERE o_orderkey % 97 <> 0), r AS (SELECT 'orders' AS "table", 'RAGGED' AS problem, count(*) AS rows FROM orders WHERE o_orderkey % 97 = 0
+@query("""WITH kept AS (SELECT o_orderkey FROM orders WHERE o_orderkey % 97 <> 0), r AS (SELECT 'orders' AS "table", 'RAGGED' AS problem,
+  count(*) AS rows FROM orders WHERE o_orderkey % 97 = 0
 UNION ALL SELECT 'lines', 'ORPHAN', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM kept)
-UNION ALL SELECT 'lines', 'DUPLICATE_KEY', count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)) SELECT "table", problem, rows FROM r WHERE rows > 0""")
+UNION ALL SELECT 'lines', 'DUPLICATE_KEY', count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1))
+  SELECT "table", problem, rows FROM r WHERE rows > 0""")
 def staged_tsv(spark: SparkSession, d: str) -> DataFrame:
     """Two tables staged as tab-separated files, some lines broken, read back and validated."""
     folder = _folder(spark)
@@ -73,7 +77,8 @@ def staged_tsv(spark: SparkSession, d: str) -> DataFrame:
     return found.unionByName(broken)
 
 
-_FORMED = _FILINGS_SQL + ", n AS (SELECT f.key, r.delivery_id, r.issuer_cik, r.provider, upper(trim(r.form_type)) AS form, r.accepted_at, r.payload FROM f JOIN sec_raw_records r USING (delivery_id) WHERE f.key <> '')"
+_FORMED = _FILINGS_SQL + """, n AS (SELECT f.key, r.delivery_id, r.issuer_cik, r.provider, upper(trim(r.form_type)) AS form, r.accepted_at, r.payload
+  FROM f JOIN sec_raw_records r USING (delivery_id) WHERE f.key <> '')"""
 
 
 def _formed(spark: SparkSession, d: str) -> DataFrame:
@@ -112,7 +117,8 @@ def envelope_file(spark: SparkSession, d: str) -> DataFrame:
     path = f"{_folder(spark)}/submissions"
     r = _formed(spark, d).filter("form <> ''")
     stamp = F.coalesce(F.date_format("accepted_at", "yyyyMMddHHmmss"), F.lit(""))
-    text = F.concat(F.lit("<ACCEPTANCE-DATETIME>"), stamp, F.lit("\nACCESSION NUMBER:\t"), "key", F.lit("\nCONFORMED SUBMISSION TYPE:\t"), "form", F.lit("\n<XML>\n"), F.coalesce(F.col("payload").cast("string"), F.lit("")), F.lit("\n</XML>\n"))
+    text = F.concat(F.lit("<ACCEPTANCE-DATETIME>"), stamp, F.lit("\nACCESSION NUMBER:\t"), "key", F.lit("\nCONFORMED SUBMISSION TYPE:\t"), "form",
+        F.lit("\n<XML>\n"), F.coalesce(F.col("payload").cast("string"), F.lit("")), F.lit("\n</XML>\n"))
     r.select(text.alias("text")).write.parquet(path)
     e = files.submission_envelope(spark.read.parquet(path), "text")
     return e.select("accession", "form", F.col("accepted_at").cast("timestamp_ntz").alias("accepted_at"), F.sha2("document", 256).alias("document"))
@@ -132,7 +138,8 @@ def positional_file(spark: SparkSession, d: str) -> DataFrame:
     path = f"{_folder(spark)}/identities"
     s = table(spark, d, "identity_snapshots")
     row = F.array("exchange", "cik", "ticker")
-    s.groupBy("run_id", F.xxhash64("cik").alias("part")).agg(F.collect_list(row).alias("data")).select(F.to_json(F.struct(F.array(F.lit("Exchange"), F.lit("CIK"), F.lit("Ticker")).alias("fields"), "data"))).write.text(path)
+    s.groupBy("run_id", F.xxhash64("cik").alias("part")).agg(F.collect_list(row).alias("data")).select(F.to_json(F.struct(F.array(F.lit("Exchange"),
+        F.lit("CIK"), F.lit("Ticker")).alias("fields"), "data"))).write.text(path)
     good, bad = files.positional_checked(spark.read.text(path), "value", ["cik", "ticker", "exchange"], ["cik", "ticker"])
     return good.withColumn("reasons", F.lit("")).unionByName(bad.withColumn("reasons", F.array_join("reasons", ",")))
 
@@ -150,7 +157,8 @@ def facts_file(spark: SparkSession, d: str) -> DataFrame:
     docs = concepts.groupBy("l_orderkey").agg(pairs("l_returnflag", F.struct("units")).alias("c"))
     docs.select(F.to_json(F.struct(F.create_map(F.lit("lines"), F.col("c")).alias("facts")))).write.text(path)
     f = files.nested_facts(spark.read.text(path), "value")
-    return f.groupBy("taxonomy", "concept", "unit").agg(F.count("*").alias("facts"), F.round(F.sum("value"), 2).alias("value"), F.min("period_end").alias("first_end"), F.count_distinct("accession").alias("accessions"))
+    return f.groupBy("taxonomy", "concept", "unit").agg(F.count("*").alias("facts"), F.round(F.sum("value"), 2).alias("value"),
+        F.min("period_end").alias("first_end"), F.count_distinct("accession").alias("accessions"))
 
 
 @query("SELECT form, n_nationkey, n_name FROM nation CROSS JOIN (VALUES ('array'), ('lines'), ('parquet'), ('wrapped')) f(form)")
@@ -164,7 +172,8 @@ def generic_rows(spark: SparkSession, d: str) -> DataFrame:
     rows.select(F.to_json("rows")).write.text(f"{folder}/array.json")
     rows.select(F.to_json(F.struct("rows"))).write.text(f"{folder}/wrapped.json")
     forms = {"lines": ("lines.jsonl", None), "parquet": ("rows.parquet", None), "array": ("array.json", None), "wrapped": ("wrapped.json", "rows")}
-    read = [files.any_rows(spark, f"{folder}/{path}", field).select(F.lit(form).alias("form"), F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name") for form, (path, field) in forms.items()]
+    read = [files.any_rows(spark, f"{folder}/{path}", field).select(F.lit(form).alias("form"), F.col("n_nationkey").cast("long").alias("n_nationkey"),
+        "n_name") for form, (path, field) in forms.items()]
     return read[0].unionByName(read[1]).unionByName(read[2]).unionByName(read[3])
 
 
@@ -178,7 +187,8 @@ def envelope_batch(spark: SparkSession, d: str) -> DataFrame:
     return files.batch_envelope(spark, path, "c_custkey bigint, c_mktsegment string")
 
 
-@query("SELECT 'nation' AS kind, n_nationkey AS id, n_name AS name FROM nation UNION ALL SELECT 'region', r_regionkey, r_name FROM region UNION ALL SELECT 'supplier', s_suppkey, s_name FROM supplier")
+@query("""SELECT 'nation' AS kind, n_nationkey AS id, n_name AS name FROM nation UNION ALL SELECT 'region', r_regionkey, r_name FROM region UNION ALL
+  SELECT 'supplier', s_suppkey, s_name FROM supplier""")
 def snapshot_tables(spark: SparkSession, d: str) -> DataFrame:
     """Tables written as a snapshot, twice, and read back through its manifest, content checked."""
     folder = _folder(spark)

@@ -27,13 +27,16 @@ def stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
     return run.to_table(s, "update", ["w", "event_type"]).select(F.col("w.start").cast("timestamp_ntz").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query("WITH e AS (SELECT event_id, unnest(generate_series(date_trunc('day', ts) - INTERVAL 2 DAY, date_trunc('day', ts), INTERVAL 1 DAY)) AS starts FROM events) SELECT starts, count(*) AS n FROM e GROUP BY ALL")
+@query("""WITH e AS (SELECT event_id, unnest(generate_series(date_trunc('day', ts) - INTERVAL 2 DAY, date_trunc('day', ts), INTERVAL 1 DAY)) AS starts
+  FROM events) SELECT starts, count(*) AS n FROM e GROUP BY ALL""")
 def stream_sliding(spark: SparkSession, d: str) -> DataFrame:
     s = _events(spark, d).groupBy(F.window("at", "3 days", "1 day").alias("w")).agg(F.count("*").alias("n"))
     return run.to_table(s, "update", ["w"]).select(F.col("w.start").cast("timestamp_ntz").alias("starts"), "n")
 
 
-@query("WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS starts FROM events), s AS (SELECT user_id, ts, sum(starts) OVER (PARTITION BY user_id ORDER BY ts, starts DESC ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS starts, count(*) AS n FROM s GROUP BY user_id, k")
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS starts
+  FROM events), s AS (SELECT user_id, ts, sum(starts) OVER (PARTITION BY user_id ORDER BY ts, starts DESC ROWS UNBOUNDED PRECEDING) AS k FROM g)
+  SELECT user_id, min(ts) AS starts, count(*) AS n FROM s GROUP BY user_id, k""")
 def stream_session(spark: SparkSession, d: str) -> DataFrame:
     s = _events(spark, d).groupBy(F.session_window("at", "6 hours").alias("w"), "user_id").agg(F.count("*").alias("n"))
     return run.to_table(s, "complete").select("user_id", F.col("w.start").cast("timestamp_ntz").alias("starts"), "n")
@@ -47,7 +50,9 @@ def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
     return run.to_table(twice.select("user_id", "event_type"), "append").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 
-@query("""WITH RECURSIVE u AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS key, CAST(floor(epoch(ts)) AS BIGINT) AS "at" FROM events), k AS (SELECT key, min("at") AS "at" FROM u GROUP BY key UNION ALL SELECT u.key, min(u."at") FROM k JOIN u ON u.key = k.key AND u."at" >= k."at" + 86400 GROUP BY u.key, k."at") SELECT key, CAST(count(*) AS BIGINT) AS kept FROM k GROUP BY key""")
+@query("""WITH RECURSIVE u AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS key, CAST(floor(epoch(ts)) AS BIGINT) AS "at" FROM events), k AS (SELECT key,
+  min("at") AS "at" FROM u GROUP BY key UNION ALL SELECT u.key, min(u."at") FROM k JOIN u ON u.key = k.key AND u."at" >= k."at" + 86400 GROUP BY u.key,
+  k."at") SELECT key, CAST(count(*) AS BIGINT) AS kept FROM k GROUP BY key""")
 def stream_cooldown(spark: SparkSession, d: str) -> DataFrame:
     """A day between kept events of a user, decided in a stream's state."""
     s = stateful.spaced(run.file_stream(spark, d, "events"), "user_id", "ts", 86400)

@@ -21,11 +21,15 @@ def market_csv(spark: SparkSession, path: str, as_of: str | None = None) -> tupl
     raw = raw.withColumnsRenamed({c: _ALIASES.get(c.strip().lower(), c.strip().lower()) for c in raw.columns})
     raw = raw.withColumns({c: F.lit(None).cast("string") for c in _BAR_COLUMNS if c not in raw.columns})
     num = {c: F.col(c).try_cast("decimal(18,6)") for c in ("open", "high", "low", "close", "adj_close", "split_factor")}
-    typed = raw.select(F.try_to_date(F.trim("date"), "yyyy-MM-dd").alias("date"), F.upper(F.trim("ticker")).alias("symbol"), *[v.alias(c) for c, v in num.items()], F.col("volume").try_cast("bigint").alias("volume"), F.col("is_adjusted").try_cast("boolean").alias("is_adjusted"), "adjustment_basis")
+    typed = raw.select(F.try_to_date(F.trim("date"), "yyyy-MM-dd").alias("date"), F.upper(F.trim("ticker")).alias("symbol"),
+        *[v.alias(c) for c, v in num.items()], F.col("volume").try_cast("bigint").alias("volume"),
+        F.col("is_adjusted").try_cast("boolean").alias("is_adjusted"), "adjustment_basis")
     typed = typed.withColumn("adj_close", F.coalesce("adj_close", "close"))
     copies = typed.groupBy("symbol", "date").agg(F.count("*").alias("__copies"))
     joined = typed.join(copies, ["symbol", "date"], "left")
-    rules = {"DATE": F.col("date").isNotNull(), "SYMBOL": F.col("symbol").rlike(r"^[A-Z][A-Z0-9.\-]*$"), "PRICE": (F.least("open", "high", "low", "close") > 0) & (F.col("high") >= F.col("low")), "VOLUME": F.col("volume") >= 0, "DUPLICATE": (F.col("__copies") == 1) | F.col("__copies").isNull()}
+    rules = {"DATE": F.col("date").isNotNull(), "SYMBOL": F.col("symbol").rlike(r"^[A-Z][A-Z0-9.\-]*$"),
+        "PRICE": (F.least("open", "high", "low", "close") > 0) & (F.col("high") >= F.col("low")), "VOLUME": F.col("volume") >= 0,
+        "DUPLICATE": (F.col("__copies") == 1) | F.col("__copies").isNull()}
     if as_of:
         rules["FUTURE"] = F.col("date") <= F.lit(as_of).cast("date")
     good, bad = checks.split_valid(joined, rules)
@@ -79,10 +83,13 @@ def chart_bars(raw: DataFrame, text: str) -> DataFrame:
     schema = f"chart struct<result: array<struct<meta: struct<symbol: string>, timestamp: array<long>, indicators: struct<quote: array<struct<open: {number}, high: {number}, low: {number}, close: {number}, volume: array<long>>>, adjclose: array<struct<adjclose: {number}>>>>>>"
     r = raw.select(F.from_json(text, schema).alias("j")).select(F.explode("j.chart.result").alias("r"))
     q = r.select("r.meta.symbol", F.col("r.timestamp").alias("t"), F.element_at("r.indicators.quote", 1).alias("q"), F.element_at("r.indicators.adjclose", 1)["adjclose"].alias("a"))
-    z = q.select("symbol", F.explode(F.arrays_zip(F.col("t"), F.col("q.open").alias("o"), F.col("q.high").alias("h"), F.col("q.low").alias("l"), F.col("q.close").alias("c"), F.col("q.volume").alias("v"), F.col("a"))).alias("z"))
+    z = q.select("symbol", F.explode(F.arrays_zip(F.col("t"), F.col("q.open").alias("o"), F.col("q.high").alias("h"), F.col("q.low").alias("l"),
+        F.col("q.close").alias("c"), F.col("q.volume").alias("v"), F.col("a"))).alias("z"))
     flat = z.select("symbol", *[F.col(f"z.{c}").alias(c) for c in ("t", "o", "h", "l", "c", "v", "a")]).dropna()
     ratio = F.col("a") / F.nullif(F.col("c"), F.lit(0.0))
-    return flat.select("symbol", F.to_date(F.timestamp_seconds("t")).alias("date"), (F.col("o") * ratio).alias("open"), (F.col("h") * ratio).alias("high"), (F.col("l") * ratio).alias("low"), F.col("a").alias("close"), F.col("a").alias("adj_close"), F.col("v").alias("volume"))
+    return flat.select("symbol", F.to_date(F.timestamp_seconds("t")).alias("date"), (F.col("o") * ratio).alias("open"),
+        (F.col("h") * ratio).alias("high"), (F.col("l") * ratio).alias("low"), F.col("a").alias("close"), F.col("a").alias("adj_close"),
+        F.col("v").alias("volume"))
 
 
 def positional_rows(raw: DataFrame, text: str, wanted: list[str]) -> DataFrame:
@@ -124,7 +131,8 @@ def nested_facts(raw: DataFrame, text: str) -> DataFrame:
     a = raw.select(F.explode(F.from_json(text, schema)["facts"]).alias("taxonomy", "concepts"))
     b = a.select("taxonomy", F.explode("concepts").alias("concept", "c")).select("taxonomy", "concept", F.explode("c.units").alias("unit", "entries"))
     e = b.select("taxonomy", "concept", "unit", F.explode("entries").alias("e"))
-    return e.select("taxonomy", "concept", "unit", F.col("e.val").alias("value"), F.try_to_date("e.end", "yyyy-MM-dd").alias("period_end"), F.try_to_date("e.filed", "yyyy-MM-dd").alias("filed"), F.col("e.accn").alias("accession"))
+    return e.select("taxonomy", "concept", "unit", F.col("e.val").alias("value"), F.try_to_date("e.end", "yyyy-MM-dd").alias("period_end"),
+        F.try_to_date("e.filed", "yyyy-MM-dd").alias("filed"), F.col("e.accn").alias("accession"))
 
 
 def daily_index(lines: DataFrame, form_pattern: str = r"^[345](/A)?$") -> DataFrame:
@@ -139,15 +147,18 @@ def daily_index(lines: DataFrame, form_pattern: str = r"^[345](/A)?$") -> DataFr
 def catalogue_links(pages: DataFrame, html: str) -> DataFrame:
     """(year, quarter, url) of links to quarterly archives in HTML."""
     urls = pages.select(F.explode(F.regexp_extract_all(F.col(html), F.lit(r'href="([^"]*?(\d{4})q([1-4])[^"]*\.zip)"'), F.lit(1))).alias("url"))
-    return urls.select(F.regexp_extract("url", r"(\d{4})q([1-4])", 1).cast("int").alias("year"), F.regexp_extract("url", r"(\d{4})q([1-4])", 2).cast("int").alias("quarter"), "url").distinct()
+    return urls.select(F.regexp_extract("url", r"(\d{4})q([1-4])", 1).cast("int").alias("year"),
+        F.regexp_extract("url", r"(\d{4})q([1-4])", 2).cast("int").alias("quarter"), "url").distinct()
 
 
 def submission_envelope(texts: DataFrame, text: str) -> DataFrame:
     """(accession, form, accepted_at, document) of complete submissions: header fields and the embedded XML."""
     t = F.col(text)
     return texts.select(
-        F.nullif(F.regexp_extract(t, r"ACCESSION NUMBER:\s*(\S+)", 1), F.lit("")).alias("accession"), F.nullif(F.regexp_extract(t, r"CONFORMED SUBMISSION TYPE:\s*(\S+)", 1), F.lit("")).alias("form"),
-        F.try_to_timestamp(F.regexp_extract(t, r"<ACCEPTANCE-DATETIME>(\d{14})", 1), F.lit("yyyyMMddHHmmss")).alias("accepted_at"), F.nullif(F.regexp_extract(t, r"(?s)<XML>\s*(.*?)\s*</XML>", 1), F.lit("")).alias("document"),
+        F.nullif(F.regexp_extract(t, r"ACCESSION NUMBER:\s*(\S+)", 1), F.lit("")).alias("accession"),
+            F.nullif(F.regexp_extract(t, r"CONFORMED SUBMISSION TYPE:\s*(\S+)", 1), F.lit("")).alias("form"),
+        F.try_to_timestamp(F.regexp_extract(t, r"<ACCEPTANCE-DATETIME>(\d{14})", 1), F.lit("yyyyMMddHHmmss")).alias("accepted_at"),
+            F.nullif(F.regexp_extract(t, r"(?s)<XML>\s*(.*?)\s*</XML>", 1), F.lit("")).alias("document"),
     )
 
 

@@ -10,7 +10,9 @@ from ..operators import nested
 
 _LINES = ["nonDerivativeTransaction", "derivativeTransaction"]
 #: Members of a transaction that become columns.
-_FIELDS = {"transactionDate": "transaction_date", "transactionCode": "code", "transactionShares": "shares", "transactionPricePerShare": "price", "transactionAcquiredDisposedCode": "acquired_disposed", "sharesOwnedFollowingTransaction": "shares_after", "directOrIndirectOwnership": "nature", "securityTitle": "security"}
+_FIELDS = {"transactionDate": "transaction_date", "transactionCode": "code", "transactionShares": "shares", "transactionPricePerShare": "price",
+    "transactionAcquiredDisposedCode": "acquired_disposed", "sharesOwnedFollowingTransaction": "shares_after",
+    "directOrIndirectOwnership": "nature", "securityTitle": "security"}
 #: What a transaction code stands for; every other code is OTHER.
 CODES = {
     "P": "OPEN_MARKET_PURCHASE", "S": "OPEN_MARKET_SALE", "A": "AWARD", "M": "OPTION_EXERCISE", "G": "GIFT", "F": "TAX_WITHHOLDING", "T": "TRANSFER", "X": "TRANSFER",
@@ -53,13 +55,23 @@ def transactions(records: DataFrame, record: str, document: str) -> DataFrame:
     owner_field = F.when(F.col("owner").isNotNull() & name.isin("rptOwnerCik", "officerTitle", "isDirector", "isOfficer", "isTenPercentOwner", "isOther"), name)
     group = F.coalesce(F.col("line.pre"), F.col("owner.pre"), F.when(name.isin([*_LINES, "reportingOwner"]), F.col("pre")))
     kind = F.coalesce(F.col("line.name"), F.col("owner.name"), F.when(name.isin([*_LINES, "reportingOwner"]), name))
-    rows = linked.select("record", group.alias("group"), kind.alias("kind"), F.coalesce(F.col("line.ordinal"), F.when(name.isin(_LINES), F.col("ordinal"))).alias("line"), F.coalesce(as_field, owner_field).alias("f"), value.alias("v")).filter("group is not null")
+    rows = linked.select("record", group.alias("group"), kind.alias("kind"),
+        F.coalesce(F.col("line.ordinal"), F.when(name.isin(_LINES), F.col("ordinal"))).alias("line"),
+        F.coalesce(as_field, owner_field).alias("f"), value.alias("v")).filter("group is not null")
     pick = lambda f: F.max(F.when(F.col("f") == f, F.col("v")))
-    each = rows.groupBy("record", "group", "kind").agg(F.max("line").alias("line"), *[pick(f).alias(c) for f, c in _FIELDS.items()], *[pick(f).alias(f) for f in ("rptOwnerCik", "officerTitle", "isDirector", "isOfficer", "isTenPercentOwner", "isOther")])
-    owner = F.struct(N.cik(F.col("rptOwnerCik")).alias("owner_cik"), roles(F.col("officerTitle"), F.col("isDirector"), F.col("isOfficer"), F.col("isTenPercentOwner"), F.col("isOther")).alias("roles"))
+    each = rows.groupBy("record", "group", "kind").agg(F.max("line").alias("line"), *[pick(f).alias(c) for f, c in _FIELDS.items()],
+        *[pick(f).alias(f) for f in ("rptOwnerCik", "officerTitle", "isDirector", "isOfficer", "isTenPercentOwner", "isOther")])
+    owner = F.struct(N.cik(F.col("rptOwnerCik")).alias("owner_cik"),
+        roles(F.col("officerTitle"), F.col("isDirector"), F.col("isOfficer"), F.col("isTenPercentOwner"), F.col("isOther")).alias("roles"))
     owners = F.collect_list(F.when(F.col("kind") == "reportingOwner", owner)).over(Window.partitionBy("record"))
     lines = each.withColumn("owners", owners).filter(F.col("kind") != "reportingOwner")
-    return lines.select("record", F.when(F.col("kind") == "derivativeTransaction", "D").otherwise("N").alias("table"), "line", F.explode_outer("owners").alias("o"), N.loose_date(F.col("transaction_date")).alias("transaction_date"), "code", classification(F.col("code")).alias("classification"), F.col("shares").try_cast("decimal(38,6)").alias("shares"), F.col("price").try_cast("decimal(38,6)").alias("price"), "acquired_disposed", F.col("shares_after").try_cast("decimal(38,6)").alias("shares_after"), "nature", "security").select("record", "table", "line", "o.owner_cik", "o.roles", "transaction_date", "code", "classification", "shares", "price", "acquired_disposed", "shares_after", "nature", "security")
+    return lines.select("record", F.when(F.col("kind") == "derivativeTransaction", "D").otherwise("N").alias("table"), "line",
+        F.explode_outer("owners").alias("o"), N.loose_date(F.col("transaction_date")).alias("transaction_date"), "code",
+        classification(F.col("code")).alias("classification"), F.col("shares").try_cast("decimal(38,6)").alias("shares"),
+        F.col("price").try_cast("decimal(38,6)").alias("price"), "acquired_disposed",
+        F.col("shares_after").try_cast("decimal(38,6)").alias("shares_after"), "nature", "security").select("record", "table", "line",
+        "o.owner_cik", "o.roles", "transaction_date", "code", "classification", "shares", "price", "acquired_disposed", "shares_after", "nature",
+        "security")
 
 
 def fingerprints(records: DataFrame, record: str, document: str) -> DataFrame:
@@ -74,14 +86,19 @@ def fingerprints(records: DataFrame, record: str, document: str) -> DataFrame:
     linked = nested.enclosing(nodes, {"line": _LINES, "field": list(_FIELDS), "owner": ["reportingOwner"]})
     name, value = F.col("name"), F.nullif(F.trim("value"), F.lit(""))
     alone = name.isin([*_LINES, "reportingOwner", "issuerCik", nested.BROKEN])
-    f = F.when(F.col("line").isNotNull(), F.when(name.isin(list(_FIELDS)), name).when(F.col("field").isNotNull() & (name == "value"), F.col("field.name"))).when(F.col("owner").isNotNull(), name).when(name == "issuerCik", name)
-    rows = linked.select("record", F.coalesce(F.col("line.pre"), F.col("owner.pre"), F.when(alone, F.col("pre"))).alias("group"), F.coalesce(F.col("line.name"), F.col("owner.name"), F.when(alone, name)).alias("kind"), f.alias("f"), value.alias("v")).filter("group is not null")
+    f = F.when(F.col("line").isNotNull(), F.when(name.isin(list(_FIELDS)), name).when(F.col("field").isNotNull() & (name == "value"),
+        F.col("field.name"))).when(F.col("owner").isNotNull(), name).when(name == "issuerCik", name)
+    rows = linked.select("record", F.coalesce(F.col("line.pre"), F.col("owner.pre"), F.when(alone, F.col("pre"))).alias("group"),
+        F.coalesce(F.col("line.name"), F.col("owner.name"), F.when(alone, name)).alias("kind"), f.alias("f"),
+        value.alias("v")).filter("group is not null")
     pick = lambda f: F.max(F.when(F.col("f") == f, F.col("v")))
     each = rows.groupBy("record", "group", "kind").agg(*[pick(x).alias(x) for x in [*_FIELDS, "issuerCik", "rptOwnerCik", "officerTitle", *flags]])
     number = lambda c: F.col(c).try_cast("decimal(38,6)").cast("string")
     fact = F.struct(
-        "kind", N.cik(F.col("issuerCik")).alias("issuer"), N.cik(F.col("rptOwnerCik")).alias("owner"), F.upper("officerTitle").alias("title"), F.array_join(roles(F.col("officerTitle"), *map(F.col, flags)), ",").alias("roles"),
-        F.coalesce(N.loose_date(F.col("transactionDate")).cast("string"), F.col("transactionDate")).alias("date"), *[F.upper(c).alias(c) for c in ("transactionCode", "transactionAcquiredDisposedCode", "directOrIndirectOwnership", "securityTitle")],
+        "kind", N.cik(F.col("issuerCik")).alias("issuer"), N.cik(F.col("rptOwnerCik")).alias("owner"), F.upper("officerTitle").alias("title"),
+            F.array_join(roles(F.col("officerTitle"), *map(F.col, flags)), ",").alias("roles"),
+        F.coalesce(N.loose_date(F.col("transactionDate")).cast("string"), F.col("transactionDate")).alias("date"),
+            *[F.upper(c).alias(c) for c in ("transactionCode", "transactionAcquiredDisposedCode", "directOrIndirectOwnership", "securityTitle")],
         *[F.coalesce(number(c), F.col(c)).alias(c) for c in ("transactionShares", "transactionPricePerShare", "sharesOwnedFollowingTransaction")],
     )
     g = each.groupBy("record").agg(F.sort_array(F.collect_list(fact)).alias("facts"), F.bool_or(F.col("kind") == nested.BROKEN).alias("broken"))

@@ -59,7 +59,8 @@ def flat_transactions(rows: DataFrame, keep: list[str] | None = None) -> DataFra
     Codes and flags are upper case, a value that isn't stated is shares times price, and what has a usual value gets it: the
     non-derivative table, an UNKNOWN rule, an ACTIVE status. Fields that can't be read as their type are null."""
     f = {name: first_of(rows, paths).try_cast(kind) for name, (kind, paths) in TRANSACTION.items()}
-    for name, usual in (("issuer_cik", ""), ("owner_cik", ""), ("code", ""), ("acquired_disposed", ""), ("table_type", "NON_DERIVATIVE"), ("rule_10b5_1", "UNKNOWN"), ("lifecycle_status", "ACTIVE")):
+    for name, usual in (("issuer_cik", ""), ("owner_cik", ""), ("code", ""), ("acquired_disposed", ""), ("table_type", "NON_DERIVATIVE"),
+        ("rule_10b5_1", "UNKNOWN"), ("lifecycle_status", "ACTIVE")):
         f[name] = F.coalesce(f[name], F.lit(usual))
     for name in ("code", "acquired_disposed", "rule_10b5_1"):
         f[name] = F.upper(f[name])
