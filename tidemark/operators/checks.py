@@ -36,8 +36,8 @@ def split_valid(rows: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, D
 def set_difference(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
     """(key, side): keys on one side only; null keys compare as values."""
     a, b = left.select(*key).distinct().withColumn("__a", F.lit(1)), right.select(*key).distinct().withColumn("__b", F.lit(1))
-    both = a.unionByName(b, allowMissingColumns=True).groupBy(*key).agg(F.max("__a").alias("a"), F.max("__b").alias("b"))
-    return both.filter("a is null or b is null").select(*key, F.when(F.col("b").isNull(), "left").otherwise("right").alias("side"))
+    both = a.unionByName(b, allowMissingColumns=True).groupBy(*key).agg(F.max("__a").alias("__in_a"), F.max("__b").alias("__in_b"))
+    return both.filter("__in_a is null or __in_b is null").select(*key, F.when(F.col("__in_b").isNull(), "left").otherwise("right").alias("side"))
 
 
 def changes(before: DataFrame, after: DataFrame, key: list[str], content: list[str]) -> DataFrame:
