@@ -333,5 +333,6 @@ def mislabelled(labelled: DataFrame) -> DataFrame:
     """(doc_id, lang), distinct: of documents whose label is missing or not of their languages, or that have several, a row
     per language they have whole sentences in. ``labelled`` is what ``segments`` gives."""
     langs = F.array_distinct(F.transform(F.filter("segments", lambda s: s["sentences"] > 0), lambda s: s["lang"]))
-    cases = labelled.select("doc_id", "label", langs.alias("langs")).filter((F.size("langs") > 1) | ((F.size("langs") == 1) & ~F.coalesce(F.array_contains("langs", F.col("label")), F.lit(False))))
+    cases = labelled.select("doc_id", "label", langs.alias("langs")).filter((F.size("langs") > 1) | ((F.size("langs") == 1) & ~F.coalesce(F.array_contains("langs",
+        F.col("label")), F.lit(False))))
     return cases.select("doc_id", F.explode("langs").alias("lang")).distinct()
