@@ -143,6 +143,20 @@ def test_cases(spark, samples):
     assert langid.mislabelled(langid.segments(df.limit(0), samples)).count() == 0
 
 
+def test_neighbours_change_nothing(held_out, monkeypatch):
+    """Texts scored together or alone, in blocks of any size, get the very same."""
+    model, rest = held_out
+    texts = [None, "", *[" ".join(t for _, t in rest[i : i + 4]) for i in range(0, 40, 3)], "no sentence here", rest[3][1] * 40]
+    alone = [langid.document_languages(model, t) for t in texts]
+    assert langid.documents_languages(model, texts) == alone == langid.documents_languages(model, texts[::-1])[::-1]
+    flat = [langid.letters(rest[5][1] * 30)]
+    whole = model.scores(flat)
+    monkeypatch.setattr(langid, "BLOCK", 97)
+    import numpy as np
+
+    assert np.allclose(model.scores(flat), whole, rtol=1e-5)
+
+
 def test_long_text(held_out):
     model, rest = held_out
     by = {lang: t for lang, t in rest}

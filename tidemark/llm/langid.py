@@ -28,6 +28,8 @@ TRAINING_ROWS = 20_000
 REFIT_DOCUMENTS, REFIT_SENTENCES = 3_000, 6
 #: Orders of the character n-grams, and the hashed table's rows.
 ORDERS, BUCKETS = (1, 2, 3, 4, 5), 1 << 17
+#: Letters scored at a time.
+BLOCK = 1 << 16
 #: Share of an n-gram's probability that is spread over all n-grams.
 SMOOTHING = 0.05
 #: N-grams of all orders overlap, so each counts for a part only.
@@ -45,7 +47,7 @@ _HAS_SCRAP = re.compile(r"[#`<&{(（\[]|://")
 _BREAK = re.compile(r"(?<=[。！？])|(?<=[.!?…])[\"'”»)]*\s+|\n\s*\n|\n(?=\s*(?:[-*#•]|\d+[.)]|[A-Z]:)\s)")
 _ASCII_CONTROLS = {i: None for i in range(32) if not chr(i).isspace()} | {127: None}
 _INVISIBLE = regex.compile(r"[\p{Cf}\p{Co}\p{Cn}]|[\p{Cc}--\s]", regex.V1)
-_CODE = re.compile(r"[A-Za-z]*\d[A-Za-z\d]*")
+_CODE = re.compile(r"(?<![A-Za-z])[A-Za-z]*\d[A-Za-z\d]*")
 #: Ends of a sentence, maybe in quotes; what begins or ends with dots was cut off.
 _ENDED = re.compile(r"[.!?。！？;:][\"'”»)\]]*$")
 _UNLETTER = regex.compile(r"[^\p{L}\p{M}]+")
@@ -100,23 +102,28 @@ def is_whole(sentence: str, flat: str) -> bool:
     return len(flat.split()) >= SENTENCE_WORDS and len(flat.replace(" ", "")) >= SENTENCE_LETTERS
 
 
-def _grams(flats: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
-    """(table rows, owner): of each order, and of blocks of letters at last, the row of the n-gram that begins at each
-    letter, BUCKETS if it would end in another of ``flats``; and which of them each letter belongs to (ascending)."""
+def _grams(flats: list[str]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """(table rows, owner) of blocks of BLOCK letters: of each order, and of blocks of letters at last, the row of the n-gram
+    that begins at each letter, BUCKETS if it would end in another of ``flats``; and which of them each letter belongs to
+    (ascending)."""
     codes = np.frombuffer("".join(flats).encode("utf-32-le"), np.uint32)
     owner = np.repeat(np.arange(len(flats)), [len(f) for f in flats])
-    found = []
-    h = np.zeros(len(codes), np.uint32)
-    for k in range(max(ORDERS)):
-        h = (h[: len(codes) - k] ^ (codes[k:] + np.uint32(k + 1))) * np.uint32(0x9E3779B1)
-        h ^= h >> np.uint32(15)
-        if k + 1 in ORDERS:
-            rows = np.full(len(codes), BUCKETS)
-            rows[: len(h)] = np.where(owner[: len(h)] == owner[k:], h & np.uint32(BUCKETS - 1), BUCKETS)
-            found.append(rows)
-    # which script a letter is of says something of letters never seen, too
-    found.append(((codes >> np.uint32(7)) * np.uint32(0x9E3779B1) >> np.uint32(9) & np.uint32(BUCKETS - 1)).astype(np.int64))
-    return found, owner
+    for lo in range(0, len(codes), BLOCK):
+        n = min(BLOCK, len(codes) - lo)
+        here, whose = codes[lo : lo + n + max(ORDERS) - 1], owner[lo : lo + n + max(ORDERS) - 1]
+        found = []
+        h = np.zeros(len(here), np.uint32)
+        for k in range(max(ORDERS)):
+            h = (h[: len(here) - k] ^ (here[k:] + np.uint32(k + 1))) * np.uint32(0x9E3779B1)
+            h ^= h >> np.uint32(15)
+            if k + 1 in ORDERS:
+                rows = np.full(n, BUCKETS)
+                m = min(n, len(h))
+                rows[:m] = np.where(whose[:m] == whose[k : k + m], h[:m] & np.uint32(BUCKETS - 1), BUCKETS)
+                found.append(rows)
+        # which script a letter is of says something of letters never seen, too
+        found.append(((here[:n] >> np.uint32(7)) * np.uint32(0x9E3779B1) >> np.uint32(9) & np.uint32(BUCKETS - 1)).astype(np.int64))
+        yield found, whose[:n]
 
 
 @dataclass
@@ -128,12 +135,21 @@ class Model:
     def scores(self, flats: list[str], table: np.ndarray | None = None) -> np.ndarray:
         """Log likelihood of each of ``flats`` (none empty) in each language."""
         table = self.table if table is None else table
-        rows, owner = _grams(flats)
-        each = table.take(rows[0], axis=0)
-        for more in rows[1:]:
-            each += table.take(more, axis=0)
-        starts = np.concatenate([[0], np.flatnonzero(np.diff(owner)) + 1])
-        return np.add.reduceat(each, starts, axis=0).astype(float) * OVERLAP
+        out = np.zeros((len(flats), table.shape[1]))
+        cuts, letters_ = [0], 0
+        for i, f in enumerate(flats):  # blocks begin with a sentence, so its sums don't hang on what stands before it
+            if letters_ and letters_ + len(f) > BLOCK:
+                cuts.append(i)
+                letters_ = 0
+            letters_ += len(f)
+        for lo, hi in zip(cuts, [*cuts[1:], len(flats)]):
+            for rows, owner in _grams(flats[lo:hi]):
+                each = table.take(rows[0], axis=0)
+                for more in rows[1:]:
+                    each += table.take(more, axis=0)
+                starts = np.concatenate([[0], np.flatnonzero(np.diff(owner)) + 1])
+                out[lo + owner[starts]] += np.add.reduceat(each, starts, axis=0)
+        return out * OVERLAP
 
     def fragment(self, flats: list[str]) -> tuple[int, float]:
         """(language, confidence) of letters that make no whole sentence. Besides the languages there is a blend of all,
@@ -155,12 +171,13 @@ def _fitted(samples: list[tuple[str, str]]) -> Model:
         texts = [t for lang, t in samples if lang == language]
         plain = ["".join(c for c in unicodedata.normalize("NFD", t) if not unicodedata.combining(c)) for t in texts]
         for forms, weight in ((texts, 1.0), (plain, 0.4)):
-            for order, rows in enumerate(_grams([letters(f) for f in forms])[0]):
-                times = np.bincount(rows, minlength=BUCKETS + 1)
-                times[BUCKETS] = 0
-                counts[:, k] += weight * times
-                totals[order, k] += weight * times.sum()
-                kind[times > 0] = order
+            for found, _ in _grams([letters(f) for f in forms]):
+                for order, rows in enumerate(found):
+                    times = np.bincount(rows, minlength=BUCKETS + 1)
+                    times[BUCKETS] = 0
+                    counts[:, k] += weight * times
+                    totals[order, k] += weight * times.sum()
+                    kind[times > 0] = order
     share = counts / np.maximum(totals[kind], 1.0)
     table = np.log((1 - SMOOTHING) * share + SMOOTHING / 2000.0).astype(np.float32)
     table[BUCKETS] = 0.0
@@ -222,6 +239,8 @@ def mixture(scores: np.ndarray, penalty: float) -> tuple[list[int], np.ndarray,
     idle = {int(k) for k in order[np.cumsum(loss[order]) < 1e-3 * penalty][: len(kept) - 1]}
     if idle:
         kept = [k for k in kept if k not in idle]
+        if len(kept) == 1:
+            return kept, np.ones(1), np.ones((len(scores), 1))
         value, share, post = proportions(scores[:, kept])
     while len(kept) > 1:
         tries = [(proportions(scores[:, [k for k in kept if k != out]]), out) for out in kept]
@@ -233,29 +252,51 @@ def mixture(scores: np.ndarray, penalty: float) -> tuple[list[int], np.ndarray,
     return kept, share, post
 
 
-def document_languages(model: Model, text: str | None) -> tuple[list[tuple[int, str, str, float, int]], list[tuple[str, float]]]:
-    """(segments, languages). Segments, in order: (number, text, language, confidence, whole sentences). Languages: (language,
-    proportion), the greatest first. A text with letters but without whole sentences is one segment of 0 sentences with
-    the language it is likeliest of; one without letters has none."""
+def _parts(text: str | None) -> tuple[list[tuple[str, str]], bool]:
+    """((sentence, its letters) of whole sentences, True), or of all stretches with letters, False, if none is whole."""
     parts = [(s, letters(s)) for s in sentences(text or "")]
     whole = [(s, f) for s, f in parts if is_whole(s, f)]
+    return (whole, True) if whole else ([(s, f) for s, f in parts if f.strip()], False)
+
+
+def _languages_of(model: Model, parts: list[tuple[str, str]], whole: bool, scores: np.ndarray) -> tuple[list[tuple], list[tuple]]:
+    """(segments, languages) of a document's parts and their scores; see ``document_languages``."""
+    if not parts:
+        return [], []
     if not whole:
-        flats = [f for _, f in parts if f.strip()]
-        if not flats:
-            return [], []
-        k, confidence = model.fragment(flats)
+        k, confidence = model.fragment([f for _, f in parts])
         return [(1, " ".join(s for s, _ in parts), model.languages[k], confidence, 0)], [(model.languages[k], 1.0)]
-    kept, share, post = mixture(model.temper * model.scores([f for _, f in whole]), model.temper * PENALTY)
+    kept, share, post = mixture(model.temper * scores, model.temper * PENALTY)
     best = post.argmax(axis=1)
     out: list[list] = []
-    for (sentence, _), k, p in zip(whole, best, post):
+    for (sentence, _), k, p in zip(parts, best.tolist(), post[np.arange(len(best)), best].tolist()):
         if out and out[-1][2] == model.languages[kept[k]]:
-            out[-1][1] += " " + sentence
-            out[-1][3].append(p[k])
+            out[-1][1].append(sentence)
+            out[-1][3].append(p)
         else:
-            out.append([len(out) + 1, sentence, model.languages[kept[k]], [p[k]]])
+            out.append([len(out) + 1, [sentence], model.languages[kept[k]], [p]])
     languages = sorted(((model.languages[k], float(x)) for k, x in zip(kept, share)), key=lambda x: (-x[1], x[0]))
-    return [(n, t, lang, float(np.mean(c)), len(c)) for n, t, lang, c in out], languages
+    return [(n, " ".join(t), lang, sum(c) / len(c), len(c)) for n, t, lang, c in out], languages
+
+
+def documents_languages(model: Model, texts: list[str | None]) -> list[tuple[list[tuple], list[tuple]]]:
+    """(segments, languages) of each text. Sentences of all of them are scored together; what a text gets depends on it alone."""
+    split = [_parts(t) for t in texts]
+    flats = [f for parts, whole in split if whole for _, f in parts]
+    scores = model.scores(flats) if flats else np.zeros((0, len(model.languages)))
+    out, at = [], 0
+    for parts, whole in split:
+        n = len(parts) if whole else 0
+        out.append(_languages_of(model, parts, whole, scores[at : at + n]))
+        at += n
+    return out
+
+
+def document_languages(model: Model, text: str | None) -> tuple[list[tuple[int, str, str, float, int]], list[tuple[str, float]]]:
+    """(segments, languages). Segments, in order: (number, text, language, confidence, whole sentences). Languages: (language,
+    proportion), the greatest first. A text with letters but without whole sentences is one segment of 0 sentences with
+    the language it is likeliest of; one without letters has none."""
+    return documents_languages(model, [text])[0]
 
 
 _SEGMENT = pa.list_(pa.struct([("segment", pa.int32()), ("text", pa.string()), ("lang", pa.string()), ("confidence", pa.float64()), ("sentences", pa.int32())]))
@@ -270,9 +311,9 @@ def _named(rows: list[tuple], kind: pa.ListType) -> list[dict]:
 def _segments(batches: Iterator[pa.RecordBatch], model: object) -> Iterator[pa.RecordBatch]:
     m: Model = model.value
     for batch in batches:
-        for lo in range(0, batch.num_rows, 256):
-            part = batch.slice(lo, 256)
-            found = [document_languages(m, t) for t in part.column("text").to_pylist()]
+        for lo in range(0, batch.num_rows, 32):
+            part = batch.slice(lo, 32)
+            found = documents_languages(m, part.column("text").to_pylist())
             segments, languages = pa.array([_named(s, _SEGMENT) for s, _ in found], _SEGMENT), pa.array([_named(x, _LANGUAGE) for _, x in found], _LANGUAGE)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), segments, languages], names=["doc_id", "label", "segments", "languages"])
 
