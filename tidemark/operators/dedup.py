@@ -8,21 +8,28 @@ from pyspark.sql import functions as F
 _RANK = "__arrival_rank"
 
 
+def _first(work: DataFrame, order: list[Column]) -> DataFrame:
+    """Of rows with an identifier the earliest of each. Rank 1 is asked for directly above the window, so Spark limits the ranks
+    in every task before the shuffle: a message with a third of all rows sends one row per task."""
+    w = Window.partitionBy("__identifier").orderBy(*[o.asc_nulls_last() for o in order])
+    return work.withColumn(_RANK, F.row_number().over(w)).filter(F.col(_RANK) == 1).drop(_RANK)
+
+
 def keep_first(messages: DataFrame, identifier: Column, order: list[Column]) -> DataFrame:
     """The earliest copy of each message, by ``order`` (nulls last), which must end in a column that breaks ties.
 
-    Rows without identifier can't be copies of anything and all stay. Rank 1 is asked for directly above the window, so
-    Spark limits the ranks in every task before the shuffle: a message with a third of all rows sends one row per task."""
+    Rows without identifier can't be copies of anything and all stay."""
     work = messages.withColumn("__identifier", identifier)
-    w = Window.partitionBy("__identifier").orderBy(*[o.asc_nulls_last() for o in order])
-    first = work.filter(F.col("__identifier").isNotNull()).withColumn(_RANK, F.row_number().over(w)).filter(F.col(_RANK) == 1).drop(_RANK)
+    first = _first(work.filter(F.col("__identifier").isNotNull()), order)
     return first.unionByName(work.filter(F.col("__identifier").isNull())).drop("__identifier")
 
 
 def copies(messages: DataFrame, identifier: Column, order: list[Column], unique: str) -> DataFrame:
     """All rows that ``keep_first`` drops. ``unique`` names a column without repetitions, by which kept rows are told
-    from dropped ones; a join on it can't be skewed, while one on the identifier could. A null in it drops no row."""
-    return messages.join(keep_first(messages, identifier, order).select(unique).filter(F.col(unique).isNotNull()), unique, "left_anti")
+    from dropped ones; a join on it can't be skewed, while one on the identifier could. Rows with a null there or without
+    identifier are copies of nothing."""
+    work = messages.withColumn("__identifier", identifier).filter(F.col("__identifier").isNotNull() & F.col(unique).isNotNull())
+    return work.join(_first(work, order).select(unique), unique, "left_anti").drop("__identifier")
 
 
 def new_messages(batch: DataFrame, stored: DataFrame, identifier: Column, stored_identifier: Column, order: list[Column]) -> DataFrame:
