@@ -195,3 +195,15 @@ def test_day_checkpoints_name_their_content(spark):
     one, two = f(rows), f(rows[::-1])
     assert (one["d1"].discovered, one["d1"].stored, one["d1"].failed, one["d1"].complete, one["d2"].complete) == (2, 1, 1, False, True)
     assert one["d1"].name == two["d1"].name and f([("d1", "a", True), ("d1", "b", True)])["d1"].name != one["d1"].name
+
+
+def test_distinct_members_like_brute_force(spark):
+    from tidemark.operators import overlap
+
+    r = random.Random(6)
+    rows = [(r.choice("ab"), r.choice(["p", "q", "r", None]), r.choice([0, 1, 5, 30, 31, 32, 61, 62, 63, 95, 200, None])) for _ in range(120)]
+    df = spark.createDataFrame([(k, m, None if n is None else dt.date(2024, 1, 1) + dt.timedelta(n), 0) for k, m, n in rows], "k string, m string, d date, members int")
+    got = {(x.k, (x.d - dt.date(2024, 1, 1)).days): x.members for x in overlap.distinct_in_span(df, "k", "m", "d", 30).collect()}
+    known = {(k, m, n) for k, m, n in rows if m is not None and n is not None}
+    assert got == {(k, n): len({m for j, m, o in known if j == k and n - 30 <= o <= n}) for k, _, n in known}
+    assert overlap.distinct_in_span(df.limit(0), "k", "m", "d", 30).count() == 0

@@ -17,6 +17,24 @@ def points_in_intervals(points: DataFrame, intervals: DataFrame, key: str, at: s
     return p.join(i, [key, "__bin"]).filter((F.col(at) > F.col(starts)) & (F.col(at) <= F.col(ends))).drop("__bin")
 
 
+def distinct_in_span(rows: DataFrame, key: str, member: str, day: str, days: int) -> DataFrame:
+    """(key, day, members): on each day a key has rows, how many distinct members it has had within the ``days`` days before
+    or on it.
+
+    A member is there on the union of the spans [day, day + days] of its days. So it enters where a day isn't covered by
+    the one before, and leaves where a span isn't taken over by the next: +1 and -1, summed by key and day before they
+    are run through, in as many rows as the calendar has days. Null keys, members and days count for nothing."""
+    once = rows.select(F.col(key).alias("k"), F.col(member).alias("m"), F.unix_date(day).alias("n")).filter("k is not null and m is not null and n is not null").distinct()
+    own = Window.partitionBy("k", "m").orderBy("n")
+    marked = once.withColumns({"before": F.lag("n").over(own), "next": F.lead("n").over(own)})
+    enters = F.coalesce(F.col("n") > F.col("before") + days, F.lit(True)).cast("int")
+    leaves = F.coalesce(F.col("next") > F.col("n") + days, F.lit(True)).cast("int")
+    steps = F.array(F.struct(F.col("n").alias("n"), enters.alias("d"), F.lit(True).alias("seen")), F.struct((F.col("n") + days + 1).alias("n"), (-leaves).alias("d"), F.lit(False).alias("seen")))
+    moves = marked.select("k", F.explode(steps).alias("s")).groupBy("k", "s.n").agg(F.sum("s.d").alias("d"), F.max("s.seen").alias("seen"))
+    there = F.sum("d").over(Window.partitionBy("k").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
+    return moves.withColumn("members", there).filter("seen").select(F.col("k").alias(key), F.date_from_unix_date("n").alias(day), F.col("members").cast("long").alias("members"))
+
+
 def cluster_triggers(rows: DataFrame, days: int, least: int, strong: int) -> DataFrame:
     """(issuer, session, owners, anchor, strong): for each day of disclosure the window [anchor - days, anchor] of trading
     days with most distinct owners.

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import windows as Wf
-from ..operators import overlap, rolling
+from ..operators import overlap, quantiles, rolling
 from ..sources.tables import table
 from .adapters import JOINT_SQL, TX_SQL, joint_transactions, transactions
 from .registry import Registry
@@ -52,10 +52,9 @@ def value_fallback(spark: SparkSession, d: str) -> DataFrame:
   CAST(count(DISTINCT b.owner) AS BIGINT) AS owners_30d FROM (SELECT DISTINCT issuer, tx_date FROM o) a JOIN o b ON a.issuer = b.issuer
   AND b.tx_date BETWEEN a.tx_date - 30 AND a.tx_date GROUP BY ALL""")
 def cluster_30d(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct owners buying within 30 days up to each day: a range frame instead of a self join."""
-    days = transactions(spark, d).filter("code = 'P'").groupBy("issuer", "tx_date").agg(F.collect_set("owner").alias("owners"))
-    w = Window.partitionBy("issuer").orderBy(_day("tx_date")).rangeBetween(-30, 0)
-    return days.select("issuer", "tx_date", F.size(F.array_distinct(F.flatten(F.collect_list("owners").over(w)))).cast("long").alias("owners_30d"))
+    """Distinct owners buying within 30 days up to each day: each owner counts over the union of the spans its days open, so
+    it is a running sum of entries and exits, whatever the number of owners."""
+    return overlap.distinct_in_span(transactions(spark, d).filter("code = 'P'"), "issuer", "owner", "tx_date", 30).withColumnRenamed("members", "owners_30d")
 
 
 @query(_X + """, p AS (SELECT issuer, owner, tx_date, count(*) AS n, sum(value) AS v FROM tx WHERE code = 'P' GROUP BY ALL) SELECT issuer, owner,
@@ -155,7 +154,8 @@ def pulse_percentiles(spark: SparkSession, d: str) -> DataFrame:
   WHEN n >= 200 THEN round(q, 6) END AS cap FROM c""")
 def winsor_cap(spark: SparkSession, d: str) -> DataFrame:
     """Interpolated 99.5 % quantile of values, from 200 observations on."""
-    g = transactions(spark, d).filter("code = 'P'").groupBy("issuer").agg(F.percentile("value", 0.995).alias("q"), F.count("*").alias("n"))
+    t = transactions(spark, d).filter("code = 'P'")
+    g = t.groupBy("issuer").agg(F.count("*").alias("n")).join(quantiles.quantiles(t, ["issuer"], "value", {"q": 0.995}), "issuer", "left")
     return g.select("issuer", F.when(F.col("n") >= 200, F.round("q", 6)).alias("cap"))
 
 

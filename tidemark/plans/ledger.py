@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import normal as N
 from ..functions import predicates as P
-from ..operators import checks, fold, resolve, rolling
+from ..operators import checks, fold, quantiles, resolve, rolling
 from ..sources import ownership, records
 from ..sources.tables import table
 from .adapters import BARS_SQL, SIGNALS_SQL, TX_SQL, bars, sessions, signals, transactions
@@ -144,7 +144,7 @@ SELECT CASE WHEN p IS NULL OR u IS NULL OR p <= 0 OR u <= 0 THEN 'UNAVAILABLE' W
 def price_reviews(spark: SparkSession, d: str) -> DataFrame:
     """Prices a thousand times off the usual one of their part, either way."""
     led = ledger(spark, d)
-    usual = led.groupBy("part").agg(F.percentile("price", 0.5).alias("usual"))
+    usual = quantiles.quantiles(led, ["part"], "price", {"usual": 0.5})
     j = led.join(usual, "part").select(F.when(F.col("part") % 23 == 0, F.col("price") * 5000).otherwise(F.col("price")).alias("p"),
         F.when(F.col("part") % 29 == 0, F.lit(0.0)).otherwise(F.col("usual")).alias("u"))
     there = P.positive(F.col("p")) & P.positive(F.col("u"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import normal as N
 from ..functions import scores
-from ..operators import bootstrap, overlap, resolve
+from ..operators import bootstrap, overlap, quantiles, resolve
 from ..sources import ownership
 from ..sources.tables import spread_table, table
 from .adapters import BARS_SQL, JOINT_SQL, SIGNALS_SQL, TX_SQL, bars, joint_transactions, signals, transactions
@@ -71,7 +71,7 @@ SELECT issuer, round(sum(score * weight) / sum(weight), 6) AS component, count(*
 def weighted_components(spark: SparkSession, d: str) -> DataFrame:
     """Dollar-weighted mean of a score, weights capped at the issuer's 99 % quantile."""
     t = transactions(spark, d).filter("code in ('P', 'S')").select("issuer", F.when(F.col("code") == "P", 100.0).otherwise(0.0).alias("score"), "value")
-    cap = t.groupBy("issuer").agg(F.percentile("value", 0.99).alias("cap"))
+    cap = quantiles.quantiles(t, ["issuer"], "value", {"cap": 0.99})
     w = t.join(cap, "issuer").withColumn("weight", F.least("value", "cap"))
     return w.groupBy("issuer").agg(F.round(F.sum(F.col("score") * F.col("weight")) / F.sum("weight"), 6).alias("component"), F.count("*").alias("n"))
 
