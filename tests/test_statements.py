@@ -207,3 +207,27 @@ def test_distinct_members_like_brute_force(spark):
     known = {(k, m, n) for k, m, n in rows if m is not None and n is not None}
     assert got == {(k, n): len({m for j, m, o in known if j == k and n - 30 <= o <= n}) for k, _, n in known}
     assert overlap.distinct_in_span(df.limit(0), "k", "m", "d", 30).count() == 0
+
+
+def test_packed_files_are_named_by_content():
+    name, packed = snapshot.pack(b"content" * 100)
+    assert (name, packed) == snapshot.pack(b"content" * 100) and snapshot.unpack(name, packed) == b"content" * 100
+    with pytest.raises(snapshot.SnapshotConflict):
+        snapshot.unpack(name, snapshot.pack(b"other")[1])
+
+
+def test_input_manifest(spark, tmp_path):
+    import hashlib
+
+    store = storage.Storage(spark, str(tmp_path))
+    store.write("a/b.json", b"{}")
+    good = {"as_of": "2024-07-01T20:00:00+00:00", "inputs": [{"path": "a/b.json", "sha256": hashlib.sha256(b"{}").hexdigest()}]}
+    snapshot.check_input_manifest(store, good)
+    snapshot.check_input_manifest(store, {**good, "as_of": "2024-01-02T21:00:00+00:00"})
+    bad = [{**good, "as_of": "2024-07-01T21:00:00+00:00"}, {**good, "inputs": good["inputs"] * 2}, {**good, "inputs": [{"path": "a", "sha256": ""}, *good["inputs"]]}, {**good, "inputs": [{"path": "../b", "sha256": ""}]}]
+    for manifest in bad:
+        with pytest.raises(ValueError):
+            snapshot.check_input_manifest(store, manifest)
+    store.write("a/b.json", b"[]")
+    with pytest.raises(snapshot.SnapshotConflict):
+        snapshot.check_input_manifest(store, good)

@@ -155,6 +155,21 @@ def alert_keys(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy(key.alias("key")).agg(F.count("*").alias("candidates"), F.max("score").alias("score"), F.count_if(~F.col("score").between(0, 100)).alias("out_of_range"))
 
 
+@query("""WITH b AS (SELECT o_orderkey AS k, o_orderstatus AS s, o_orderdate AS at FROM orders), before AS (SELECT k FROM b WHERE s <> 'O'),
+  fixed AS (SELECT DISTINCT l_orderkey AS k FROM lineitem JOIN b ON b.k = l_orderkey WHERE s = 'O' AND l_linestatus = 'F')
+SELECT (SELECT count(*) FROM before) AS previous, (SELECT count(*) FROM fixed) AS resolved, count(*) AS rows, (SELECT count(*)
+  FROM before) + (SELECT count(*) FROM fixed) = count(*) AS adds_up FROM (SELECT k FROM before UNION SELECT k FROM fixed)""")
+def repair_receipt(spark: SparkSession, d: str) -> DataFrame:
+    """What a repair left: previous rows and keys it resolved must add up to the rows there are now, each key once."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), "o_orderstatus")
+    before = o.filter("o_orderstatus <> 'O'").select("k").withColumn("was", F.lit(1))
+    lines = table(spark, d, "lineitem").filter("l_linestatus = 'F'").select(F.col("l_orderkey").alias("k"))
+    fixed = o.filter("o_orderstatus = 'O'").join(lines, "k", "left_semi").select("k").distinct().withColumn("resolved", F.lit(1))
+    now = before.unionByName(fixed, allowMissingColumns=True).groupBy("k").agg(F.sum("was").alias("was"), F.sum("resolved").alias("resolved"))
+    n = now.agg(F.coalesce(F.sum("was"), F.lit(0)).alias("previous"), F.coalesce(F.sum("resolved"), F.lit(0)).alias("resolved"), F.count("*").alias("rows"))
+    return n.withColumn("adds_up", F.col("previous") + F.col("resolved") == F.col("rows"))
+
+
 # ---------------------------------------------------------------- orders and limits
 
 

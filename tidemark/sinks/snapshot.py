@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import gzip
 import hashlib
 import json
 from collections.abc import Callable
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,3 +106,37 @@ def deliver_at_most_once(df: DataFrame, path: str, key: str, spark: SparkSession
     claimed = spark.read.schema(df.select(key).schema).parquet(f"{path}/batch={batch_id}")
     send(df.dropDuplicates([key]).join(claimed, key, "left_semi"))
     return True
+
+
+def pack(content: bytes) -> tuple[str, bytes]:
+    """(name, gzip bytes) of a small file: the same content gives the same bytes on any day, and the name is its hash."""
+    return f"{hashlib.sha256(content).hexdigest()}.gz", gzip.compress(content, 9, mtime=0)
+
+
+def unpack(name: str, packed: bytes) -> bytes:
+    """The content; raises if it isn't what the name says."""
+    content = gzip.decompress(packed)
+    if f"{hashlib.sha256(content).hexdigest()}.gz" != name:
+        raise SnapshotConflict(f"{name} holds other content")
+    return content
+
+
+def check_input_manifest(store: Storage, manifest: dict) -> None:
+    """Raises unless ``as_of`` is the very close of a New York session (16:00 there, in UTC), every input is a plain relative path
+    inside the folder, none comes twice or lies within another, and each has the hash it is stated with.
+
+    manifest: {"as_of": "2024-07-01T20:00:00Z", "inputs": [{"path": ..., "sha256": ...}]}; inputs are small files."""
+    at = dt.datetime.fromisoformat(manifest["as_of"]).astimezone(ZoneInfo("America/New_York"))
+    if (at.hour, at.minute, at.second, at.microsecond) != (16, 0, 0, 0):
+        raise ValueError(f"as_of is no close: {manifest['as_of']}")
+    paths = [x["path"] for x in manifest["inputs"]]
+    for path in paths:
+        for part in path.split("/"):
+            checked_name(part)
+    parts = sorted(p.split("/") for p in paths)
+    for a, b in zip(parts, parts[1:]):
+        if b[: len(a)] == a:
+            raise ValueError(f"inputs overlap: {'/'.join(a)}, {'/'.join(b)}")
+    for x in manifest["inputs"]:
+        if hashlib.sha256(store.read(x["path"])).hexdigest() != x["sha256"]:
+            raise SnapshotConflict(f"{x['path']} was changed")
