@@ -53,9 +53,9 @@ def summary(outcomes: DataFrame, group: list[str]) -> DataFrame:
     plain = outcomes.groupBy(*group).agg(F.count("*").alias("events"), F.count(x).alias("outcomes"), F.avg(x).alias("mean"), F.avg((x > 0).cast("double")).alias("win_rate"))
     kinds = F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("x")) for c in ("forward_return", "worst")]))
     q = quantiles.quantiles(outcomes.select(*group, kinds.alias("v")).select(*group, "v.kind", "v.x"), [*group, "kind"], "x", {"median": 0.5, "p10": 0.1})
-    own = q.filter("kind = 'forward_return'").select(*group, "median", "p10")
-    worst = q.filter("kind = 'worst'").select(*group, F.col("median").alias("median_worst"))
-    return quantiles.joined_by(group, [plain, own, worst]).select(*group, "events", "outcomes", "mean", "median", "win_rate", "p10", "median_worst")
+    of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
+    both = q.groupBy(*group).agg(of("forward_return", "median").alias("median"), of("forward_return", "p10").alias("p10"), of("worst", "median").alias("median_worst"))
+    return quantiles.joined_by(group, [plain, both]).select(*group, "events", "outcomes", "mean", "median", "win_rate", "p10", "median_worst")
 
 
 def top_share(rows: DataFrame, group: list[str], order: list, share: float) -> DataFrame:
